@@ -66,3 +66,13 @@ def line_index(lines: DataFrame, name: str = "line") -> DataFrame:
     out = tagged.join(offsets, ["file_path", "_blk"])
     return (out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long"))
             .drop("_blk", "_mid", "_first", "_off"))
+
+
+BROADCAST_ROWS = 2_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after checking its row count; else leave the join
+    strategy to Spark (sort-merge, or AQE's runtime switch)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
