@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.functions import TOKEN_PATTERN
+from topicspark.functions import TOKEN_PATTERN, bounded_broadcast
 
 INLINE_LIMIT = 20_000        # dictionary rows inlined as an IN set
 BROADCAST_LIMIT = 2_000_000  # dictionary rows broadcast to every task
@@ -51,18 +51,29 @@ def window_matches(df: DataFrame, dictionary: DataFrame, keys, toks: str = "toks
 
     ``dictionary`` is <key, label> (key: space-joined tokens). Overlaps are kept.
     """
+    spark = df.sparkSession
     d = dictionary.select("key", "label").distinct()
-    n_dict = d.count()  # the checked size drives the physical choice below
-    lengths = [r[0] for r in d.select(F.size(F.split("key", " ")).alias("n")).distinct().collect()]
+    # one action decides the plan: a dictionary of at most INLINE_LIMIT rows is
+    # brought to the driver (bounded) and inlined; a larger one is checkpointed
+    rows = d.limit(INLINE_LIMIT + 1).collect()
+    if len(rows) <= INLINE_LIMIT:
+        lengths = sorted({len(r["key"].split(" ")) for r in rows})
+        key_list = sorted({r["key"] for r in rows})
+        dd = F.broadcast(spark.createDataFrame(rows, "key string, label string"))
+    else:
+        from topicspark.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        d = d.checkpoint(eager=True)
+        lengths = [r[0] for r in d.select(F.size(F.split("key", " ")).alias("n")).distinct().collect()]
+        key_list = None
+        dd = bounded_broadcast(d, BROADCAST_LIMIT)
     if not lengths:
         return df.select(*keys, F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("start"),
                          F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("key")).limit(0)
     wins = windows(F.col(toks), lengths)
-    if n_dict <= INLINE_LIMIT:
-        key_list = [r[0] for r in d.select("key").distinct().collect()]
+    if key_list is not None:
         wins = F.filter(wins, lambda w: w["key"].isin(key_list))
     ex = df.select(*keys, F.explode(wins).alias("w")).select(*keys, "w.start", "w.end", "w.key")
-    dd = F.broadcast(d) if n_dict <= BROADCAST_LIMIT else d
     return ex.join(dd, "key").select(*keys, "label", "start", "end", "key")
 
 

@@ -5,6 +5,8 @@ DuckDB inlines CTEs, so only the fixtures a query uses are computed.
 
 from __future__ import annotations
 
+import re
+
 from topicspark.plans.fixtures import N_TOPICS, THEMES, THESAURUS_ROWS, VOCAB_MIN_COUNT
 
 
@@ -64,6 +66,6 @@ def with_fixtures(sql: str) -> str:
     """``sql`` is either ``<ctes> SELECT ...`` starting with a CTE list after
     a leading comma-free marker, or a plain SELECT."""
     body = sql.strip()
-    if body.upper().startswith("WITH "):
+    if re.match(r"(?i)^WITH\s", body):
         return "WITH " + FIXTURE_CTES + ",\n" + body[5:]
     return "WITH " + FIXTURE_CTES + "\n" + body
