@@ -89,3 +89,4 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 from topicspark.plans import catalog_topics  # noqa: E402,F401  (registers queries)
 from topicspark.plans import catalog_text  # noqa: E402,F401
 from topicspark.plans import catalog_labels  # noqa: E402,F401
+from topicspark.plans import catalog_compare  # noqa: E402,F401

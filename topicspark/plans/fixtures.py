@@ -68,10 +68,10 @@ def fx_topic_term(tok: DataFrame, vocab: DataFrame) -> DataFrame:
     return j.select("topic", "step", "word_id", F.col("w").alias("word"), (F.col("c") / tot).alias("prob"))
 
 
-def fx_model(tok: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Two static models: model = floor(doc_id / 20) % 2, prob per (model, topic)."""
+def fx_model(tok: DataFrame, vocab: DataFrame, n_models: int = 2) -> DataFrame:
+    """Static models: model = floor(doc_id / 20) % n_models, prob per (model, topic)."""
     en = tok.filter(F.col("lang") == "en").select(
-        (F.floor(F.col("doc_id") / 20) % 2).cast("int").alias("model"), topic_of_source().alias("topic"), "w")
+        (F.floor(F.col("doc_id") / 20) % n_models).cast("int").alias("model"), topic_of_source().alias("topic"), "w")
     c = en.groupBy("model", "topic", "w").agg(F.count(F.lit(1)).alias("c"))
     j = c.join(vocab.select("word_id", F.col("word").alias("w")), "w")
     tot = F.sum("c").over(Window.partitionBy("model", "topic"))
@@ -136,3 +136,33 @@ def fx_part_thesaurus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_null_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.lit(None).cast("string")).otherwise(F.col("text")))
+
+
+# Fixed test values: thesaurus labels by part type (MT) and size (domain);
+# several need the remapping / correction tables, two share a category.
+EUROVOC_MT = [
+    ("STANDARD", 25, "2016 Trade"),
+    ("STANDARD", 50, "2006 Trade policy"),
+    ("ECONOMY", 25, "1621 Economic structure"),
+    ("ECONOMY", 50, "1606 Economic policy"),
+    ("MEDIUM", 50, "6626 Soft energy"),
+    ("PROMO", 50, "6616 Oil industry"),
+    ("LARGE", 50, "6621 Electrical and nuclear industries"),
+    ("SMALL", 50, "0821 Defence"),
+]
+
+
+def eurovoc_mt(p_type="p_type", p_size="p_size") -> F.Column:
+    e = None
+    for t, max_size, label in EUROVOC_MT:
+        cond = (F.col(p_type) == t) & (F.col(p_size) <= max_size)
+        e = F.when(cond, label) if e is None else e.when(cond, label)
+    return e
+
+
+def fx_eurovoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EuroVoc-shaped thesaurus from ``part``: <pos, phrase, MT, domain>."""
+    p = table(spark, sf_dir, "part")
+    domain = F.when(F.col("p_size") % 2 == 0, F.lit("2026 Consumption")).otherwise(F.lit("6606 Energy policy"))
+    return p.select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("phrase"),
+                    eurovoc_mt().alias("MT"), domain.alias("domain"))

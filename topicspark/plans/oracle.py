@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from topicspark.plans.fixtures import N_TOPICS, THEMES, THESAURUS_ROWS, VOCAB_MIN_COUNT
+from topicspark.plans.fixtures import EUROVOC_MT, N_TOPICS, THEMES, THESAURUS_ROWS, VOCAB_MIN_COUNT
 
 
 def _q(s: str) -> str:
@@ -15,6 +15,7 @@ def _q(s: str) -> str:
 
 
 _THES_VALUES = ", ".join(f"({p}, {_q(ph)}, {_q(lb)})" for p, ph, lb in THESAURUS_ROWS)
+_MT_CASE = "CASE " + " ".join(f"WHEN p_type = {_q(t)} AND p_size <= {m} THEN {_q(lb)}" for t, m, lb in EUROVOC_MT) + " END"
 _THEME_VALUES = ", ".join(f"({_q(t)}, {_q(k)})" for t, ks in THEMES.items() for k in ks)
 
 FIXTURE_CTES = rf"""
@@ -57,6 +58,15 @@ fx_part_thesaurus AS (
   SELECT p_name AS phrase, min(p_type) AS label FROM part GROUP BY p_name),
 fx_null_text AS (
   SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE text END AS text, lang, source, n_chars FROM documents),
+fx_eurovoc AS (
+  SELECT p_partkey AS pos, p_name AS phrase, {_MT_CASE} AS MT,
+         CASE WHEN p_size % 2 = 0 THEN '2026 Consumption' ELSE '6606 Energy policy' END AS domain FROM part),
+fx_model3 AS (
+  SELECT c.model, c.topic, v.word_id, v.word, c.c / sum(c.c) OVER (PARTITION BY c.model, c.topic) AS prob
+  FROM (SELECT CAST(floor(doc_id / 20) % 3 AS INTEGER) AS model,
+               CAST(CAST(substr(source, 4) AS INTEGER) % {N_TOPICS} AS INTEGER) AS topic, w, count(*) AS c
+        FROM fx_tokens WHERE lang = 'en' GROUP BY ALL) c
+  JOIN fx_vocab v ON v.word = c.w),
 fx_share AS (
   SELECT step, topic, w / sum(w) OVER (PARTITION BY step) AS share
   FROM (SELECT step, topic, sum(weight) AS w FROM fx_doc_topic GROUP BY step, topic))"""
@@ -66,6 +76,9 @@ def with_fixtures(sql: str) -> str:
     """``sql`` is either ``<ctes> SELECT ...`` starting with a CTE list after
     a leading comma-free marker, or a plain SELECT."""
     body = sql.strip()
+    if re.match(r"(?i)^WITH\s+RECURSIVE\s", body):
+        rest = re.sub(r"(?i)^WITH\s+RECURSIVE\s", "", body)
+        return "WITH RECURSIVE " + FIXTURE_CTES + ",\n" + rest
     if re.match(r"(?i)^WITH\s", body):
         return "WITH " + FIXTURE_CTES + ",\n" + body[5:]
     return "WITH " + FIXTURE_CTES + "\n" + body
