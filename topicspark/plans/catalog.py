@@ -90,3 +90,4 @@ from topicspark.plans import catalog_topics  # noqa: E402,F401  (registers queri
 from topicspark.plans import catalog_text  # noqa: E402,F401
 from topicspark.plans import catalog_labels  # noqa: E402,F401
 from topicspark.plans import catalog_compare  # noqa: E402,F401
+from topicspark.plans import catalog_io  # noqa: E402,F401
