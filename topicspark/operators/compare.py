@@ -114,27 +114,30 @@ def compare_all_models(models: DataFrame) -> DataFrame:
     """Centred cosine for every unordered pair of models in one job:
     <model_1, model_2, topic_1, topic_2, similarity>.
 
-    Model pairs come from a theta self-join m1 < m2 of the (small) model list;
-    each model's rows are then keyed by the pairs it is part of.
+    The model ids (a grid of runs: bounded, brought to the driver) give the
+    pair list m1 < m2; each model row is keyed by the pairs it belongs to in
+    one broadcast join, and that keyed frame feeds all sums.
     """
-    ids = models.select("model").distinct()
-    pairs = ids.select(F.col("model").alias("model_1")).join(
-        ids.select(F.col("model").alias("model_2")), F.col("model_1") < F.col("model_2"))
-    pairs = F.broadcast(pairs)  # one row per model pair: bounded by (#models)^2
-    left = models.join(pairs, models.model == pairs.model_1).select("model_1", "model_2", "model", "topic", "word", "prob")
-    right = models.join(pairs, models.model == pairs.model_2).select("model_1", "model_2", "model", "topic", "word", "prob")
-    both = left.unionByName(right)
+    spark = models.sparkSession
+    ids = sorted(r[0] for r in models.select("model").distinct().collect())
+    rows = [(a, a, b, 1) for i, a in enumerate(ids) for b in ids[i + 1:]] + \
+           [(b, a, b, 2) for i, a in enumerate(ids) for b in ids[i + 1:]]
+    mtype = dict(models.dtypes)["model"]
+    pairs = spark.createDataFrame(rows, f"model {mtype}, model_1 {mtype}, model_2 {mtype}, side int")
+    keyed = models.join(F.broadcast(pairs), "model").select("model_1", "model_2", "side", "model", "topic", "word", "prob")
+    keyed = keyed.persist()
     keys = ["model_1", "model_2"]
-    m = centre_topics(both, keys)
+    m = centre_topics(keyed, keys)
     mm = m.groupBy(*keys).agg(F.sum(F.col("m") * F.col("m")).alias("mm"))
-    a = left.select(*keys, F.col("topic").alias("topic_1"), "word", F.col("prob").alias("x"))
-    b = right.select(*keys, F.col("topic").alias("topic_2"), "word", F.col("prob").alias("y"))
+    a = keyed.filter(F.col("side") == 1).select(*keys, F.col("topic").alias("topic_1"), "word", F.col("prob").alias("x"))
+    b = keyed.filter(F.col("side") == 2).select(*keys, F.col("topic").alias("topic_2"), "word", F.col("prob").alias("y"))
+    # x.y over shared words: a word has at most K1 + K2 rows per pair (no skew)
     xy = a.join(b, [*keys, "word"]).groupBy(*keys, "topic_1", "topic_2").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
     xa = a.join(m, [*keys, "word"]).groupBy(*keys, "topic_1").agg(F.sum(F.col("x") * F.col("m")).alias("xm"),
                                                                    F.sum(F.col("x") * F.col("x")).alias("xx"))
     yb = b.join(m, [*keys, "word"]).groupBy(*keys, "topic_2").agg(F.sum(F.col("y") * F.col("m")).alias("ym"),
                                                                    F.sum(F.col("y") * F.col("y")).alias("yy"))
-    # all topic pairs within each model pair: topics of model 2 per pair are a
+    # all topic pairs within each model pair: model-2 topics per pair form a
     # short array (bounded by its topic count), exploded next to each model-1 topic
     t2 = yb.groupBy(*keys).agg(F.collect_list("topic_2").alias("_t2"))
     allp = xa.join(t2, keys).select(*keys, "topic_1", "xm", "xx", F.explode("_t2").alias("topic_2"))

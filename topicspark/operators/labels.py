@@ -173,7 +173,12 @@ def top_labels(scores: DataFrame, labels: DataFrame, n: int = 4, keys=("topic",)
 def label_topics(top_words: DataFrame, thes: DataFrame, vectors: DataFrame | None = None, top_n: int = 1,
                  score_type: str = "embedding", raw: bool = False, keys=("topic",),
                  pattern: str = TOKEN_PATTERN) -> DataFrame:
-    """Public entry: labels for any number of topics given as <keys..., word, prob>."""
+    """Public entry: labels for any number of topics given as <keys..., word, prob>.
+
+    The top words (topics x n rows, bounded by the model) feed the dictionary
+    planning, the scores and the key list, so they are persisted once.
+    """
+    top_words = top_words.persist()
     if score_type == "tfidf":
         scores = label_scores_tfidf(top_words, label_docs(thes, pattern), keys, pattern)
         missing = "zero"

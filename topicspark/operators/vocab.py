@@ -7,10 +7,10 @@ dense ids from a distributed ordered index, never a one-task window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.functions import ordered_index
+from topicspark.functions import bounded_broadcast, ordered_index
 
 
 def split_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
@@ -34,10 +34,13 @@ def vocab(tok: DataFrame, min_freq: int = 150, order: str = "doc_order") -> Data
 
     First appearance = min (doc order, position). Returns <word_id, word, cnt>.
     """
-    first = tok.groupBy("w").agg(F.count(F.lit(1)).alias("cnt"),
-                                 F.min(F.struct(F.col(order), F.col("pos"))).alias("_first"))
+    # two hash aggregates (numeric buffers, partial aggregation on the map
+    # side) instead of one sort-based min over a struct
+    per_doc = tok.groupBy("w", order).agg(F.count(F.lit(1)).alias("_c"), F.min("pos").alias("_p"))
+    first = per_doc.groupBy("w").agg(F.sum("_c").alias("cnt"), F.min(order).alias("_d"),
+                                     F.min_by("_p", F.col(order)).alias("_p"))
     kept = first.filter(F.col("cnt") > min_freq)
-    ids = ordered_index(kept, [F.col("_first")], name="word_id")
+    ids = ordered_index(kept, [F.col("_d"), F.col("_p")], name="word_id")
     return ids.select("word_id", F.col("w").alias("word"), "cnt")
 
 
@@ -48,14 +51,19 @@ def doc_term_counts(tok: DataFrame, voc: DataFrame, key: str = "doc_id", keep=()
     distinct pairs only; AQE broadcasts the vocabulary when it is small.
     """
     g = tok.groupBy(key, *keep, "w").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
-    return g.join(voc.select(F.col("word").alias("w"), "word_id"), "w").drop("w")
+    # the vocabulary is broadcast after a row-count check (it is bounded by
+    # min_freq); the token side then keeps its partitioning by document
+    v = bounded_broadcast(voc.select(F.col("word").alias("w"), "word_id"))
+    return g.join(v, "w").drop("w")
 
 
 def filter_docs(dtc: DataFrame, min_tokens: int = 15, min_unique: int = 5, key: str = "doc_id") -> DataFrame:
     """Keep docs with tokens > min_tokens and distinct tokens > min_unique (both strict)."""
-    stats = dtc.groupBy(key).agg(F.sum("cnt").alias("_n"), F.count(F.lit(1)).alias("_u"))
-    ok = stats.filter((F.col("_n") > min_tokens) & (F.col("_u") > min_unique)).select(key)
-    return dtc.join(ok, key, "left_semi")
+    # window per document instead of aggregate + semi join: no second pass
+    # over the counts and no exchange when dtc is partitioned by document
+    w = Window.partitionBy(key)
+    out = dtc.withColumn("_n", F.sum("cnt").over(w)).withColumn("_u", F.count(F.lit(1)).over(w))
+    return out.filter((F.col("_n") > min_tokens) & (F.col("_u") > min_unique)).drop("_n", "_u")
 
 
 def bow_rows(dtc: DataFrame, key: str = "doc_id", keep=()) -> DataFrame:

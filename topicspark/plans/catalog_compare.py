@@ -249,8 +249,7 @@ JOIN nrm n1 ON n1.model_1 = dot.model_1 AND n1.model_2 = dot.model_2 AND n1.mode
 JOIN nrm n2 ON n2.model_1 = dot.model_1 AND n2.model_2 = dot.model_2 AND n2.model = dot.model_2 AND n2.topic = topic_2""")
 def q_compare_all_models(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    m3 = fx.fx_model(c.tokens, c.vocab, n_models=3)
-    return rounded(C.compare_all_models(m3), "similarity")
+    return rounded(C.compare_all_models(c.model3), "similarity")
 
 
 @register("vector_similarity", """
