@@ -162,7 +162,7 @@ def order_topics(share_long: DataFrame, sort_by: str = "peak_pos", step: str = "
     if sort_by == "peak_pos":
         order = [F.col("peak_step"), F.col("topic_name")]
     else:
-        order = [F.try_cast(F.col("topic_name"), "int").asc_nulls_last(), F.col("topic_name")]
+        order = [F.col("topic_name").try_cast("int").asc_nulls_last(), F.col("topic_name")]
     # one row per topic: ordering the topic list in one task is fine
     return peak.withColumn("ord", F.row_number().over(Window.orderBy(*order)) - 1)
 

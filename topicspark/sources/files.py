@@ -49,7 +49,7 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     lines = read_lines(spark, path)
     parts = F.split(F.col("value"), "\t")
     return lines.select(F.col("line").alias("word_id"), F.trim(parts[0]).alias("word"),
-                        F.try_cast(F.get(parts, 1), "long").alias("cnt"))
+                        F.get(parts, 1).try_cast("long").alias("cnt"))
 
 
 def read_doc_steps(spark: SparkSession, path: str) -> DataFrame:
