@@ -217,9 +217,9 @@ def test_measure_space_null_text(spark):
     df = spark.createDataFrame([(1, None), (2, "Coal mine and coal.")], "doc_id long, text string")
     themes = spark.createDataFrame([("coal", "coal"), ("coal", "coal mine")], "theme string, keyword string")
     out = {r.doc_id: r for r in M.measure_space(df, themes).collect()}
-    assert out[1].text is None and out[1].lucy_counts == {}
-    assert out[2].lucy_counts == {"coal": 2}
-    assert out[2].lucy_terms == {"coal mine": 1, "coal": 1}
+    assert out[1].text is None and out[1].theme_counts == {}
+    assert out[2].theme_counts == {"coal": 2}
+    assert out[2].theme_terms == {"coal mine": 1, "coal": 1}
 
 
 def test_sample_docs_repeatable(spark):

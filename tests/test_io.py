@@ -107,11 +107,11 @@ def test_theme_counts_round_trip(spark, scratch):
     themes = spark.createDataFrame([("fossil", "coal"), ("fossil", "gas")], "theme string, keyword string")
     ms = M.measure_space(df, themes)
     W.write_theme_counts(ms, f"{scratch}/pq")
-    back = {r.doc_id: r.lucy_counts for r in W.read_theme_counts(spark, f"{scratch}/pq").collect()}
+    back = {r.doc_id: r.theme_counts for r in W.read_theme_counts(spark, f"{scratch}/pq").collect()}
     assert back == {1: {"fossil": 2}, 2: {}}
     W.write_theme_counts(ms, f"{scratch}/csv", fmt="csv")
     rows = spark.read.option("header", True).option("escape", '"').csv(f"{scratch}/csv").collect()
-    assert {r.doc_id: json.loads(r.lucy_counts) for r in rows} == {"1": {"fossil": 2}, "2": {}}
+    assert {r.doc_id: json.loads(r.theme_counts) for r in rows} == {"1": {"fossil": 2}, "2": {}}
 
 
 def test_ngrams_round_trip(spark, scratch):

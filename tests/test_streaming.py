@@ -19,6 +19,6 @@ def test_stream_equals_batch(spark, scratch):
     batch = M.measure_space(docs, themes)
 
     def flat(df):
-        return {r.doc_id: sorted(r.lucy_counts.items()) for r in df.select("doc_id", "lucy_counts").collect()}
+        return {r.doc_id: sorted(r.theme_counts.items()) for r in df.select("doc_id", "theme_counts").collect()}
     assert flat(out) == flat(batch)
     assert out.select(F.countDistinct("batch_id")).first()[0] >= 2

@@ -189,7 +189,7 @@ def term_counts(kept: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def measure_space(df: DataFrame, themes: DataFrame, text: str = "text", key: str = "doc_id",
-                  prefix: str = "lucy_", mode: str = "fold", pattern: str = TOKEN_PATTERN,
+                  prefix: str = "theme_", mode: str = "fold", pattern: str = TOKEN_PATTERN,
                   lemmas: DataFrame | None = None) -> DataFrame:
     """Corpus enriched with ``<prefix>counts`` (theme -> n) and ``<prefix>terms``
     (term -> n). Null text counts as empty; the text column keeps its null."""
@@ -210,7 +210,7 @@ def measure_space(df: DataFrame, themes: DataFrame, text: str = "text", key: str
                .withColumn(prefix + "terms", F.coalesce(prefix + "terms", empty)))
 
 
-def theme_trend(measured: DataFrame, by: str = "step", prefix: str = "lucy_") -> DataFrame:
+def theme_trend(measured: DataFrame, by: str = "step", prefix: str = "theme_") -> DataFrame:
     """Theme counts summed per step (or per source): <by, theme, cnt>."""
     ex = measured.select(by, F.explode(prefix + "counts").alias("theme", "n"))
     return ex.groupBy(by, "theme").agg(F.sum("n").alias("cnt"))

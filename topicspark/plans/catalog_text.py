@@ -411,7 +411,7 @@ def q_measure_space(spark, sf_dir):
         return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(
             e["key"], F.lit("="), e["value"].cast("string")))), ",")
     return ms.select("doc_id", F.col("text").isNull().alias("null_text"),
-                     flat("lucy_counts").alias("counts"), flat("lucy_terms").alias("terms"))
+                     flat("theme_counts").alias("counts"), flat("theme_terms").alias("terms"))
 
 
 @register("theme_trend", _MATCH_SQL + """

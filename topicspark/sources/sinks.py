@@ -67,7 +67,7 @@ def write_doc_topics(doc_topic: DataFrame, path: str, n_topics: int, split: bool
         arr.write.mode(mode).option("header", True).csv(path)
 
 
-def write_theme_counts(measured: DataFrame, path: str, fmt: str = "parquet", prefix: str = "lucy_",
+def write_theme_counts(measured: DataFrame, path: str, fmt: str = "parquet", prefix: str = "theme_",
                        mode: str = "overwrite") -> None:
     """Enriched corpus: parquet keeps the maps; CSV stores them as JSON text."""
     if fmt == "parquet":

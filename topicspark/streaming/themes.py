@@ -19,7 +19,7 @@ from topicspark.operators.match import measure_space
 def stream_theme_counts(stream: DataFrame, themes: DataFrame, out_path: str, checkpoint: str,
                         text: str = "text", key: str = "doc_id", pattern: str = TOKEN_PATTERN,
                         trigger_once: bool = True):
-    """Start a streaming query writing <key, lucy_counts, lucy_terms, batch_id> as parquet."""
+    """Start a streaming query writing <key, theme_counts, theme_terms, batch_id> as parquet."""
     themes = themes.cache()
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
