@@ -31,7 +31,7 @@ def test_label_scores_tfidf(spark):
     docs = L.label_docs(thes)
     lens = {r.label: r.doc_len for r in docs.collect()}
     assert lens == {"sport": 8, "art": 5}
-    scores = {r.label: r.score for r in L.label_scores_tfidf(_topic_df(spark), docs).collect()}
+    scores = {r.label: r.score for r in L.label_scores_tfidf(_topic_df(spark), thes).collect()}
     assert scores["sport"] == pytest.approx((0.6 * 1 / 8 + 0.01 * 4 / 8) * math.log(2), abs=1e-6)
     assert scores["art"] == pytest.approx(0.3 * 1 / 5 * math.log(2), abs=1e-6)
 

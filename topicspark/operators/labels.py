@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicspark.functions import TOKEN_PATTERN, bounded_broadcast, strip_label_code, unjoin_terms
-from topicspark.operators.match import window_matches
 
 
 def _toks(c, pattern):
@@ -60,30 +59,72 @@ def term_keys(top_words: DataFrame, pattern: str = TOKEN_PATTERN) -> DataFrame:
     return top_words.withColumn("term", F.array_join(_toks(unjoin_terms("word"), pattern), " "))
 
 
-def term_label_tfidf(terms: DataFrame, docs: DataFrame) -> DataFrame:
+def label_token_positions(thes: DataFrame, pattern: str = TOKEN_PATTERN):
+    """Tokens of each (lowercased) label's concatenated phrases with their global
+    position: (<label, g, tok>, <label, doc_len>).
+
+    Offsets are a running sum of phrase lengths over phrase rows (a streaming,
+    spill-able window per label); no label's phrases are collected into one row.
+    """
+    t = thes.select("pos", F.lower("label").alias("label"), _toks(F.col("phrase"), pattern).alias("toks"))
+    t = t.withColumn("_n", F.size("toks"))
+    w = Window.partitionBy("label").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    tok = t.select("label", "_off", F.posexplode("toks").alias("ti", "tok")) \
+        .select("label", (F.col("_off") + F.col("ti")).alias("g"), "tok")
+    lens = t.groupBy("label").agg(F.sum("_n").alias("doc_len"))
+    return tok, lens
+
+
+def label_window_matches(thes: DataFrame, terms: list[str], pattern: str = TOKEN_PATTERN) -> DataFrame:
+    """<label, term, start> for every window of a label document equal to a term.
+
+    Each token is copied to the window starts it belongs to (at most the
+    longest term length), windows are assembled per (label, start): groups of
+    bounded size, spread over all positions, so a label holding a third of the
+    thesaurus is still split across tasks. Windows may cross phrase borders (Q2).
+    """
+    tok, _ = label_token_positions(thes, pattern)
+    lengths = sorted({len(t.split(" ")) for t in terms})
+    max_len = max(lengths)
+    copies = tok.select("label", "tok", "g", F.explode(F.sequence(F.lit(0), F.lit(max_len - 1))).alias("k")) \
+        .select("label", (F.col("g") - F.col("k")).alias("start"), "k", "tok").filter(F.col("start") >= 0)
+    win = copies.groupBy("label", "start").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("k", "tok"))), lambda x: x["tok"]).alias("w"))
+    keys = F.filter(F.array(*[F.when(F.size("w") >= n, F.array_join(F.slice("w", 1, n), " ")) for n in lengths]),
+                    lambda x: x.isNotNull() & x.isin(terms))
+    return win.select("label", "start", F.explode(keys).alias("term"))
+
+
+def term_label_tfidf(terms: DataFrame, thes: DataFrame, pattern: str = TOKEN_PATTERN) -> DataFrame:
     """<term, label, cnt, tfidf>: tf = matches / label doc length, idf = ln(#labels / #labels matching).
 
     ``terms`` has a ``term`` column (distinct over all topics: tf and idf do not
-    depend on the topic, Q3). Matches may cross phrase borders (Q2).
+    depend on the topic, Q3); the term list is bounded by topics x n words and
+    is inlined as a hash set.
     """
-    dic = terms.select(F.col("term").alias("key"), F.col("term").alias("label")).filter(F.col("key") != "").distinct()
-    m = window_matches(docs.select(F.col("label").alias("doc_label"), "toks"), dic, ["doc_label"], "toks")
-    cnt = m.groupBy(F.col("label").alias("term"), F.col("doc_label").alias("label")).agg(F.count(F.lit(1)).alias("cnt"))
-    n_labels = docs.select(F.count(F.lit(1))).scalar()
+    term_list = sorted({r[0] for r in terms.select("term").filter(F.col("term") != "").distinct().collect()})
+    _, lens = label_token_positions(thes, pattern)
+    if not term_list:
+        return lens.select(F.lit(None).cast("string").alias("term"), "label", F.lit(0).cast("long").alias("cnt"),
+                           F.lit(0.0).alias("tfidf")).limit(0)
+    m = label_window_matches(thes, term_list, pattern)
+    cnt = m.groupBy("term", "label").agg(F.count(F.lit(1)).alias("cnt"))
+    n_labels = lens.select(F.count(F.lit(1))).scalar()
     nd = cnt.groupBy("term").agg(F.count(F.lit(1)).alias("_nd"))
-    j = cnt.join(nd, "term").join(docs.select("label", "doc_len"), "label")
+    j = cnt.join(nd, "term").join(lens, "label")
     tfidf = (F.col("cnt") / F.col("doc_len")) * F.log(n_labels / F.col("_nd"))
     return j.select("term", "label", "cnt", tfidf.alias("tfidf"))
 
 
-def label_scores_tfidf(top_words: DataFrame, docs: DataFrame, keys=("topic",),
+def label_scores_tfidf(top_words: DataFrame, thes: DataFrame, keys=("topic",),
                        pattern: str = TOKEN_PATTERN) -> DataFrame:
     """<keys..., label, score>: sum over matches of word weight x tfidf (c matches add c x, Q3).
 
     Sparse: labels without a match are absent (their score is 0).
     """
     tw = term_keys(top_words, pattern)
-    tf = term_label_tfidf(tw.select("term").distinct(), docs)
+    tf = term_label_tfidf(tw.select("term").distinct(), thes, pattern)
     j = tw.join(tf, "term")
     return j.groupBy(*keys, "label").agg(F.sum(F.col("prob") * F.col("cnt") * F.col("tfidf")).alias("score"))
 
@@ -180,7 +221,7 @@ def label_topics(top_words: DataFrame, thes: DataFrame, vectors: DataFrame | Non
     """
     top_words = top_words.persist()
     if score_type == "tfidf":
-        scores = label_scores_tfidf(top_words, label_docs(thes, pattern), keys, pattern)
+        scores = label_scores_tfidf(top_words, thes, keys, pattern)
         missing = "zero"
     elif score_type == "embedding":
         if vectors is None:

@@ -200,12 +200,19 @@ def measure_space(df: DataFrame, themes: DataFrame, text: str = "text", key: str
         docs = lemmatize(docs.withColumn("toks", F.array("toks")), lemmas, "toks", key) \
             .withColumn("toks", F.flatten("toks"))
     kept = dedupe_matches(phrase_match(docs, themes, "toks", key, pattern=pattern), mode, key)
-    counts = theme_counts(kept, key).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("theme", "cnt"))).alias(prefix + "counts"))
-    terms = term_counts(kept, key).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "cnt"))).alias(prefix + "terms"))
+    # one pass builds both maps: (doc, theme, term) counts regrouped per
+    # document (no exchange on doc-partitioned input), maps assembled in the row
+    per = kept.groupBy(key, "theme", "term").agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy(key).agg(F.collect_list(F.struct("theme", "term", "n")).alias("_e"))
+
+    def count_map(field):
+        names = F.array_sort(F.array_distinct(F.transform("_e", lambda e: e[field])))
+        sums = F.transform(names, lambda t: F.aggregate(F.filter("_e", lambda e: e[field] == t),
+                                                          F.lit(0).cast("long"), lambda acc, e: acc + e["n"]))
+        return F.map_from_arrays(names, sums)
+    maps = per.select(key, count_map("theme").alias(prefix + "counts"), count_map("term").alias(prefix + "terms"))
     empty = F.create_map().cast("map<string,bigint>")
-    out = df.join(counts, key, "left").join(terms, key, "left")
+    out = df.join(maps, key, "left")
     return (out.withColumn(prefix + "counts", F.coalesce(prefix + "counts", empty))
                .withColumn(prefix + "terms", F.coalesce(prefix + "terms", empty)))
 

@@ -87,13 +87,13 @@ def q_unjoin_terms(spark, sf_dir):
 def q_term_label_tfidf(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     tw = L.term_keys(_tw(c))
-    return rounded(L.term_label_tfidf(tw.select("term").distinct(), L.label_docs(c.thesaurus)), "tfidf")
+    return rounded(L.term_label_tfidf(tw.select("term").distinct(), c.thesaurus), "tfidf")
 
 
 @register("label_scores_tfidf", "WITH " + _TFIDF + "\nSELECT topic, label, round(score, 6) AS score FROM sc")
 def q_label_scores_tfidf(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return rounded(L.label_scores_tfidf(_tw(c), L.label_docs(c.thesaurus)), "score")
+    return rounded(L.label_scores_tfidf(_tw(c), c.thesaurus), "score")
 
 
 @register("top_labels", "WITH " + _TFIDF + """
