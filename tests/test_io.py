@@ -133,6 +133,8 @@ def test_read_npy(spark, scratch):
     np.save(f"{scratch}/beta.npy", arr)
     cells = {(r.row, r.col): r.value for r in R.read_npy(spark, f"{scratch}/beta.npy").collect()}
     assert len(cells) == 12 and cells[(2, 3)] == pytest.approx(1.1)
+    chunked = {(r.row, r.col): r.value for r in R.read_npy(spark, f"{scratch}/beta.npy", rows_per_task=1).collect()}
+    assert chunked == cells
 
 
 def test_read_word_vectors(spark, scratch):

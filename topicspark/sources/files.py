@@ -84,32 +84,51 @@ def read_topic_term(spark: SparkSession, path_glob: str, n_steps: int,
                         F.exp(F.trim("value").cast("double")).alias("prob"))
 
 
-def read_npy(spark: SparkSession, path: str, row: str = "row", col: str = "col", value: str = "value") -> DataFrame:
+def _npy_header(path: str):
+    """Shape, dtype and data offset of a ``.npy`` file (reads the header bytes only)."""
+    import numpy as np
+    with open(path, "rb") as fh:
+        major, _ = np.lib.format.read_magic(fh)
+        if major == 1:
+            shape, fortran, dtype = np.lib.format.read_array_header_1_0(fh)
+        else:
+            shape, fortran, dtype = np.lib.format.read_array_header_2_0(fh)
+        return shape, fortran, dtype
+
+
+def read_npy(spark: SparkSession, path: str, row: str = "row", col: str = "col", value: str = "value",
+             rows_per_task: int = 50_000) -> DataFrame:
     """2-D ``.npy`` matrices (static beta / theta) as long rows <row, col, value>.
 
-    Each file is decoded by numpy inside a task (``mapInPandas``); the cells
-    are emitted in row chunks so no task materialises more than one chunk.
+    Only the header is read on the driver. The row range is split into chunks
+    of ``rows_per_task``; each task memory-maps the file and emits its own rows
+    (``mapInPandas``), so no task holds more than one chunk. ``path`` must be
+    readable from the executors (shared file system).
     """
-    def decode(batches):
-        import io
+    import glob as _glob
+    files = sorted(_glob.glob(path)) or [path]
+    parts = []
+    for f in files:
+        shape, _, _ = _npy_header(f)
+        n = shape[0] if len(shape) == 2 else 1
+        parts.extend((f, lo, min(n, lo + rows_per_task)) for lo in range(0, n, rows_per_task))
 
+    def decode(batches):
         import numpy as np
         import pandas as pd
         for pdf in batches:
-            for content in pdf["content"]:
-                arr = np.load(io.BytesIO(content), allow_pickle=False)
+            for f, lo, hi in zip(pdf["file"], pdf["lo"], pdf["hi"]):
+                arr = np.load(f, mmap_mode="r", allow_pickle=False)
                 if arr.ndim == 1:
                     arr = arr.reshape(1, -1)
-                n, k = arr.shape
-                step = max(1, 1_000_000 // max(k, 1))
-                for lo in range(0, n, step):
-                    block = arr[lo:lo + step]
-                    rows = np.repeat(np.arange(lo, lo + block.shape[0]), k)
-                    cols = np.tile(np.arange(k), block.shape[0])
-                    yield pd.DataFrame({row: rows.astype("int64"), col: cols.astype("int32"),
-                                        value: block.reshape(-1).astype("float64")})
-    bins = spark.read.format("binaryFile").load(path).select("content")
-    return bins.mapInPandas(decode, f"{row} long, {col} int, {value} double")
+                block = np.asarray(arr[lo:hi], dtype="float64")
+                k = block.shape[1]
+                yield pd.DataFrame({row: np.repeat(np.arange(lo, hi, dtype="int64"), k),
+                                    col: np.tile(np.arange(k, dtype="int32"), hi - lo),
+                                    value: block.reshape(-1)})
+    chunks = spark.createDataFrame(parts, "file string, lo long, hi long")
+    chunks = chunks.repartition(max(1, min(len(parts), spark.sparkContext.defaultParallelism * 4)))
+    return chunks.mapInPandas(decode, f"{row} long, {col} int, {value} double")
 
 
 def read_bow(spark: SparkSession, mult_path: str, vocab: DataFrame) -> DataFrame:
