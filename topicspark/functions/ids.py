@@ -73,5 +73,11 @@ BROADCAST_ROWS = 2_000_000
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only after checking its row count; else leave the join
     strategy to Spark (sort-merge, or AQE's runtime switch)."""
+    # persisted so the size check and the broadcast share one computation;
+    # what stays cached is at most max_rows rows
+    df = df.persist()
     n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    if n <= max_rows:
+        return F.broadcast(df)
+    df.unpersist()
+    return df

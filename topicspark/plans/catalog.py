@@ -54,7 +54,12 @@ class Ctx:
         return _SHARED[key]
 
     def t(self, name: str) -> DataFrame:
-        return fx.table(self.spark, self.sf_dir, name)
+        df = fx.table(self.spark, self.sf_dir, name)
+        if name == "documents":
+            # text work is per document: partition the corpus by id once, so
+            # tokenising runs on every core and per-document regrouping reuses it
+            df = df.repartition("doc_id")
+        return df
 
     @cached_property
     def corpus(self):
