@@ -238,3 +238,10 @@ def test_fit_topics_grid(spark):
     assert len(sums) == 2 and all(s == pytest.approx(1.0, abs=1e-6) for s in sums)
     per_doc = [r.s for r in dt.groupBy("doc_id").agg(F.sum("weight").alias("s")).collect()]
     assert len(per_doc) == 20 and all(s == pytest.approx(1.0, abs=1e-6) for s in per_doc)
+
+
+def test_order_topics_callable(spark):
+    rows = [(2001, 0, 0.5, "10"), (1999, 1, 0.6, "9"), (1999, 2, 0.4, "x")]
+    sl = spark.createDataFrame(rows, "step int, topic int, share double, topic_name string")
+    order = [r.topic_name for r in T.order_topics(sl, sort_by=lambda c: F.length(c)).orderBy("ord").collect()]
+    assert order == ["9", "x", "10"]

@@ -266,6 +266,16 @@ def label_share_over_time(topic_term: DataFrame, thes: DataFrame, vectors: DataF
     return s.select("topic", step, "label", F.try_divide(F.col("score"), tot).alias("value"))
 
 
+def label_share_views(label_share: DataFrame, labels: list[str] | None = None, step: str = "step") -> dict:
+    """The two other return types: ``map`` (<topic, step, scores map<label, value>>)
+    and ``matrix`` (one column per label, in label order; pass ``labels`` to
+    skip the distinct-values job)."""
+    as_map = label_share.groupBy("topic", step).agg(
+        F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("scores"))
+    matrix = label_share.groupBy("topic", step).pivot("label", sorted(labels) if labels else None).agg(F.first("value"))
+    return {"map": as_map, "matrix": matrix}
+
+
 def chosen_labels_over_time(label_share: DataFrame, labels: list[str], step: str = "step") -> DataFrame:
     """(topic, step, label without code, value) for the chosen labels."""
     chosen = [x.lower() for x in labels]

@@ -152,14 +152,18 @@ def topic_share_pct(share_long: DataFrame, keep: list | None = None, step: str =
     return out if keep is None else out.filter(F.col("topic_name").isin([str(k) for k in keep]))
 
 
-def order_topics(share_long: DataFrame, sort_by: str = "peak_pos", step: str = "step") -> DataFrame:
-    """Topic order: by first step of peak share then name, or numeric/alpha name.
+def order_topics(share_long: DataFrame, sort_by="peak_pos", step: str = "step") -> DataFrame:
+    """Topic order: by first step of peak share then name (Q26), numeric/alpha
+    name, or a caller's ``Column -> Column`` key.
 
     Returns <topic_name, peak_step, ord>.
     """
     peak = share_long.groupBy("topic_name").agg(
         F.max_by(F.col(step), F.struct(F.col("share"), -F.col(step))).alias("peak_step"))
-    if sort_by == "peak_pos":
+    if callable(sort_by):
+        # caller's order: a Column -> Column key over the topic name
+        order = [sort_by(F.col("topic_name")), F.col("topic_name")]
+    elif sort_by == "peak_pos":
         order = [F.col("peak_step"), F.col("topic_name")]
     else:
         order = [F.col("topic_name").try_cast("int").asc_nulls_last(), F.col("topic_name")]
