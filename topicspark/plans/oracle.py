@@ -51,7 +51,7 @@ fx_word_vec AS (
 fx_vec_phrases AS (
   SELECT CAST(vec_id AS VARCHAR) AS phrase, 'L' || CAST(label AS VARCHAR) AS label, embedding AS vec FROM embeddings),
 fx_thesaurus AS (
-  SELECT * FROM (VALUES {_THES_VALUES}) t(pos, phrase, label)),
+  SELECT CAST(pos AS BIGINT) AS pos, phrase, label FROM (VALUES {_THES_VALUES}) t(pos, phrase, label)),
 fx_themes AS (
   SELECT * FROM (VALUES {_THEME_VALUES}) t(theme, keyword)),
 fx_part_thesaurus AS (
