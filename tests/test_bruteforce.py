@@ -65,3 +65,57 @@ def test_join_ngrams_corpus_phrases_equal_brute_force(spark):
     want = {r.doc_id: [_greedy_join(list(s), phrases, [2, 3]) for s in r.sents] for r in rows}
     assert {k: [list(s) for s in v] for k, v in got.items()} == want
     assert sum(t.count("_") for v in want.values() for s in v for t in s) > 100
+
+
+def test_merge_labels_query_equals_brute_force(spark):
+    """Registered ``merge_labels`` vs a numpy loop: label vector = mean of its
+    phrase vectors, pairs with cosine >= threshold, connected components merged
+    into the label with most pairs (ties: smallest label), up to 4 rounds."""
+    from collections import Counter
+
+    import numpy as np
+
+    from topicspark.plans.catalog_compare import PAIR_THRESHOLD
+
+    got = sorted(tuple(r) for r in QUERIES["merge_labels"](spark, SF)
+                 .select("iteration", "merged_into", "label").collect())
+
+    rows = fx.fx_vec_phrases(spark, SF).collect()
+    vec = {r.phrase: np.asarray(r.vec, dtype=float) for r in rows}
+    label_of = {r.phrase: r.label.lower() for r in rows}
+    want = []
+    for it in range(4):
+        members: dict[str, list] = {}
+        for p, lab in label_of.items():
+            members.setdefault(lab, []).append(vec[p])
+        labs = sorted(members)
+        m = np.array([np.mean(members[lab], axis=0) for lab in labs])
+        nrm = np.linalg.norm(m, axis=1)
+        sim = (m @ m.T) / np.outer(nrm, nrm)
+        pairs = [(labs[i], labs[j]) for i in range(len(labs)) for j in range(i + 1, len(labs))
+                 if sim[i, j] >= PAIR_THRESHOLD]
+        if not pairs:
+            break
+        parent = {lab: lab for pr in pairs for lab in pr}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+        for a, b in pairs:
+            ra, rb = root(a), root(b)
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+        freq = Counter(lab for pr in pairs for lab in pr)
+        comps: dict[str, list] = {}
+        for lab in parent:
+            comps.setdefault(root(lab), []).append(lab)
+        plan = {}
+        for labs_c in comps.values():
+            rep = min(labs_c, key=lambda x: (-freq[x], x))
+            plan.update({lab: rep for lab in labs_c})
+        want += [(it, rep, lab) for lab, rep in plan.items()]
+        label_of = {p: plan.get(lab, lab) for p, lab in label_of.items()}
+
+    assert got == sorted(want)
+    assert len(want) > 0
