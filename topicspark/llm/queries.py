@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import exact_dedup, line_dedup, mixing, warc
+from topicspark.llm import embedding_dedup, exact_dedup, line_dedup, mixing, warc
 from topicspark.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -26,5 +30,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_exact_dedup, op8_warc, op10_line_dedup)}
-SQL = {"op3_exact_dedup": exact_dedup.ORACLE, "op8_warc": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_exact_dedup, op4_embedding_dedup, op8_warc, op10_line_dedup)}
+SQL = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_embedding_dedup": embedding_dedup.ORACLE, "op8_warc": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
