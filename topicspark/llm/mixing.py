@@ -23,7 +23,7 @@ from topicspark.llm.common import fresh, same, written
 #: Weights of the sources in order of code point, repeating; share of all words to take; most passes over a source.
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), 1.5, 2, 42
 #: Documents per hash bucket aimed at, and the most buckets of one (source, length).
-BUCKET_DOCS, MAX_BUCKETS = 5_000, 1 << 20
+BUCKET_DOCS, MAX_BUCKETS = 500, 1 << 30
 
 _WORD = r"[^\x20\x09-\x0D]+"
 

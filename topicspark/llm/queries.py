@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import embedding_dedup, exact_dedup, line_dedup, mixing, near_dedup, pii, token_files, warc
+from topicspark.llm import embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, pii, token_files, warc
 from topicspark.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -42,5 +46,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_files, op3_exact_dedup, op4_embedding_dedup, op6_pii, op7_near_dedup, op8_warc, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_files, op3_exact_dedup, op4_embedding_dedup, op5_language_id, op6_pii, op7_near_dedup, op8_warc, op10_line_dedup)}
 SQL = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_embedding_dedup": embedding_dedup.ORACLE, "op8_warc": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
