@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, pii, token_files, warc
+from topicspark.llm import embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, pieces, pii, token_files, warc
 from topicspark.llm.common import table
 
 
@@ -41,10 +41,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.summary(pieces.encode(table(spark, sf_dir, "documents")))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_files, op3_exact_dedup, op4_embedding_dedup, op5_language_id, op6_pii, op7_near_dedup, op8_warc, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_files, op3_exact_dedup, op4_embedding_dedup, op5_language_id, op6_pii, op7_near_dedup, op8_warc, op9_pieces, op10_line_dedup)}
 SQL = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_embedding_dedup": embedding_dedup.ORACLE, "op8_warc": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
