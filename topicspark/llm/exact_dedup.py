@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import SPACE, at_starts, same, small_batches, utf8, written
+from topicspark.llm.common import SPACE, at_starts, fresh, same, small_batches, utf8, written
 
 #: A cut falls on one position of 2**CUT_BITS on average; longer chunks are cut at MAX_CHUNK bytes.
 CUT_BITS, MAX_CHUNK, WINDOW = 11, 1 << 16, 32
@@ -70,10 +70,10 @@ def _recipes(seed: int):
         for b in batches:
             rows = list(chunked(b.column("text"), seed))
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"),
+                b.column("doc_id"), b.column("text_hash"),
                 pa.array([hashlib.sha256(t).hexdigest() for t, _, _ in rows], pa.string()),
                 pa.array([b"".join(ids) for _, _, ids in rows], pa.binary()),
-            ], ["doc_id", "text_sha256", "recipe"])
+            ], ["doc_id", "text_hash", "text_sha256", "recipe"])
     return run
 
 
@@ -86,17 +86,31 @@ def _chunks(seed: int):
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """<doc_id, text_sha256, recipe> with verified chunk identifiers."""
+    """<doc_id, text_hash, text_sha256, recipe> with verified chunk identifiers;
+    text_hash is that of the text as it stands."""
     small_batches(docs.sparkSession)
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     for seed in range(16):
         store = texts.select("text").mapInArrow(_chunks(seed), "chunk_id binary, chunk binary").distinct()
         if store.groupBy("chunk_id").count().where("count > 1").limit(1).count() == 0:
-            return written(texts.mapInArrow(_recipes(seed), f"doc_id {id_type}, text_sha256 string, recipe binary"), "recipes")
+            return written(texts.mapInArrow(_recipes(seed), f"doc_id {id_type}, text_hash bigint, text_sha256 string, recipe binary"), "recipes")
     raise RuntimeError("chunk identifiers collide under 16 seeds")
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    r = recipes(docs)
+    groups = r.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    # copies of one text may be a third of all rows: only their ids and recipes move; the groups
+    # are written first, so that both sides of the join are plain exchanges whose large
+    # partitions adaptive execution splits
+    groups = written(groups, "groups")
+    out = r.join(groups.withColumn("in_group", F.lit(True)), "recipe", "left").select(
+        "doc_id", F.when(F.col("in_group"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256", "text_hash")
+    return out.withColumn("kept", same("doc_id", "keep_id"))
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` <doc_id, text>: doc_id, keep_id, group_size,
     kept, text_sha256.
@@ -108,21 +122,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     doc_id is kept only where its group has no other id. An empty table gives
     no rows; other columns of ``docs`` are not read.
     """
-    r = recipes(docs)
-    groups = r.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    # copies of one text may be a third of all rows: only their ids and recipes move, and
-    # adaptive execution splits the large partition of this join
-    out = r.join(groups.withColumn("in_group", F.lit(True)), "recipe", "left").select(
-        "doc_id", F.when(F.col("in_group"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
-    return out.withColumn("kept", same("doc_id", "keep_id")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return _grouped(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that
-    repeat doc_id and text one stays."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, one for each different normalised text,
+    with all their columns: of rows that repeat the kept doc_id one stays."""
+    row, hashed = fresh(docs, "_kept_id"), fresh(docs, "_text_hash")
+    kept = _grouped(docs).where("kept").groupBy(F.col("doc_id").alias(row), "text_sha256").agg(F.min("text_hash").alias(hashed)).drop("text_sha256")
+    own = F.xxhash64("text")
+    out = docs.join(kept, same("doc_id", row) & (own == F.col(hashed)), "left_semi")
     return out.dropDuplicates(["doc_id", "text"])
 
 

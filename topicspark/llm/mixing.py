@@ -62,11 +62,11 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     """How many documents of each length to take so that their words come
     nearest to ``budget``, at most ``counts`` of each.
 
-    Every length first gives the same share of its documents; single documents
-    of rising length follow while they fit. What then remains is smaller than the longest
-    document left, and a bounded knapsack over the lengths left fills it: bit s
-    of an integer tells whether s words can be made up, counts enter by
-    doubling, and the parts are traced back.
+    Every length first gives the same share of its documents, and some more or
+    fewer until two to four times the longest length remain (or all of a small
+    budget). A bounded knapsack over the documents left fills that: bit s of an
+    integer tells whether s words can be made up, counts enter by doubling, and
+    the parts are traced back.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -77,17 +77,18 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     rest = budget - int((lengths * take).sum())
     longest = int(lengths.max())
     for i in np.argsort(-lengths, kind="stable"):  # one more of each length as long as much remains
-        if rest > 2 * longest and take[i] < counts[i] and lengths[i] > 0:
+        if rest > 4 * longest and take[i] < counts[i] and lengths[i] > 0:
             take[i] += 1
             rest -= int(lengths[i])
-    i = len(lengths) - 1
-    while rest > 2 * longest and i >= 0:  # only where rounding left even more
-        more = min(int(counts[i] - take[i]), (rest - 2 * longest) // max(1, int(lengths[i])) + 1) if lengths[i] else 0
-        more = max(0, min(more, rest // max(1, int(lengths[i]))))
+    for i in np.argsort(-lengths, kind="stable"):  # only where rounding left even more, or less than the knapsack can use
+        size = max(1, int(lengths[i]))
+        if rest > 4 * longest:
+            more = min(int(counts[i] - take[i]), (rest - 4 * longest) // size + 1)
+        else:
+            more = -min(int(take[i]), max(0, -(-(2 * longest - rest) // size)))
         take[i] += more
         rest -= more * int(lengths[i])
-        i -= 1
-    limit = rest + int(lengths[lengths > 0].min())
+    limit = rest + longest
     mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
     for i in np.argsort(lengths, kind="stable"):
         size, left = int(lengths[i]), int(counts[i] - take[i])
