@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import heapq
 import zlib
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -285,14 +286,17 @@ class Segmenter:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.clear()
-
-    def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.ids: list[bytes] = []
         self.score, self.gap, self.size = np.zeros(1024), np.zeros(1024), np.zeros(1024, np.int64)
         self.best: dict[tuple[int, int], list[tuple[float, bytes]]] = {}
 
+    def forget(self, keep: int) -> None:
+        """Keep the units met first, mostly the frequent ones."""
+        self.place = dict(islice(self.place.items(), keep))
+        del self.ids[keep:]
+        self.best = {k: v for k, v in self.best.items() if k[0] < keep}
+
     def learn(self, keys: set[str]) -> None:
         by_size: dict[int, list[str]] = {}
         for k in sorted(keys):
@@ -320,10 +324,15 @@ class Segmenter:
         edits of the best path: place, pieces replaced, ids instead), best first."""
         cut = [unit_keys(t) for t in texts]
         if len(self.ids) > CACHE_UNITS:
-            self.clear()
-        if new := set().union(*cut).difference(self.place):
-            self.learn(new)
-        return [self._of(keys, n) for keys in cut]
+            self.forget(CACHE_UNITS // 2)
+        known = self.place.get
+        found = [list(map(known, keys)) for keys in cut]
+        open_ = [k for k, f in enumerate(found) if None in f]
+        if open_:
+            self.learn({u for k in open_ for u, f in zip(cut[k], found[k]) if f is None})
+            for k in open_:
+                found[k] = list(map(self.place.__getitem__, cut[k]))
+        return [self._of(keys, f, n) for keys, f in zip(cut, found)]
 
     def _unit(self, i: int, key: str, n: int) -> list[tuple[float, bytes]]:
         """The ``n`` best paths of a unit, its remembered best path first: (loss against it, ids)."""
@@ -333,8 +342,7 @@ class Segmenter:
             self.best[i, n] = [(0.0, self.ids[i]), *others][:n]
         return self.best[i, n]
 
-    def _of(self, keys: list[str], n: int):
-        found = list(map(self.place.__getitem__, keys))
+    def _of(self, keys: list[str], found: list[int], n: int):
         at, own = np.array(found, np.int64), self.ids
         ids = b"".join([own[i] for i in found])
         best = float(self.score[at].sum())
