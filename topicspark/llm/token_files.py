@@ -18,6 +18,7 @@ import os
 import re
 import struct
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -132,19 +133,39 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a character of a byte-level token stands for a byte
+            self.bytes[i] = len(token)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode different words, many in one text: byte lengths of the tokens tell where each ends."""
+        ends = [w for w in words if w[-1:].isspace()]  # the last word of a text; its white space must stay last
+        for w, e in zip(ends, self.tokenizer.encode_batch_fast([" " + w for w in ends], add_special_tokens=False)):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+        words = [w for w in words if not w[-1:].isspace()]
+        texts = [words[s:s + 512] for s in range(0, len(words), 512)]
+        for own, e in zip(texts, self.tokenizer.encode_batch_fast([" " + " ".join(t) for t in texts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum([1 + len(w.encode()) for w in own])
+            bounds = (4 * np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right")).tolist()
+            data = ids.tobytes()
+            self.words.update(zip(own, [data[s:t] for s, t in zip([0, *bounds], bounds)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [words_of(t) for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = list(set().union(*(w[1:] for w in cut)).difference(self.words))
-        self.words.update(zip(new, self._ids([" " + w for w in new])))
-        known = self.words.__getitem__
-        return [first + b"".join(map(known, w[1:])) for first, w in zip(self._ids([w[0] for w in cut]), cut)]
+        firsts = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w[0] for w in cut], add_special_tokens=False)]
+        if len(self.words) > CACHE_WORDS:  # words met early are mostly the frequent ones
+            self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))
+        known = self.words.get
+        found = [list(map(known, w)) for w in cut]
+        open_ = [k for k, f in enumerate(found) if None in f]
+        # the first word of a text has no space before it and is done on its own
+        self._learn(list({w for k in open_ for w, f in zip(cut[k][1:], found[k][1:]) if f is None}))
+        for k in open_:
+            found[k] = [self.words.get(w, b"") if f is None else f for w, f in zip(cut[k], found[k])]
+        return [first + b"".join(f[1:]) for first, f in zip(firsts, found)]
 
 
 @functools.cache
