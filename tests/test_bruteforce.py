@@ -11,16 +11,15 @@ SF = "/root/testdata/sf0.001"
 
 
 def _greedy_join(sent: list[str], phrases: set[str], lengths: list[int]) -> list[str]:
-    """Longest phrase first, then phrase text, then leftmost; spans never overlap."""
+    """The phrase of longest text first, then leftmost; spans never overlap."""
     cands = []
     for n in lengths:
         for i in range(len(sent) - n + 1):
             key = " ".join(sent[i:i + n])
             if key in phrases:
-                cands.append((-n, key, i))
+                cands.append((-len(key), i, i + n, key))
     taken: list[tuple[int, int, str]] = []
-    for neg, key, i in sorted(cands):
-        s, e = i, i - neg
+    for _, s, e, key in sorted(cands):
         if all(e <= a or b <= s for a, b, _ in taken):
             taken.append((s, e, key))
     starts = {s: (e, key) for s, e, key in taken}
@@ -43,7 +42,7 @@ def test_join_ngrams_query_equals_brute_force(spark):
     phrases = {r.ngram.strip() for r in X.build_ngram_list(parts.withColumnRenamed("p_name", "value")).collect()}
     phrases = {p for p in phrases if " " in p}
     lengths = sorted({len(p.split(" ")) for p in phrases})
-    docs = X.filter_tokens(X.tokenize_sentences(X.by_doc(fx.table(spark, SF, "documents"))))
+    docs = X.filter_tokens(X.tokenize_sentences(fx.table(spark, SF, "documents")))
     want = {r.doc_id: " ".join(t for s in r.sents for t in _greedy_join(list(s), phrases, lengths))
             for r in docs.collect()}
 
@@ -53,7 +52,7 @@ def test_join_ngrams_query_equals_brute_force(spark):
 def test_join_ngrams_corpus_phrases_equal_brute_force(spark):
     """Overlapping 2- and 3-grams taken from the corpus itself, so longest-first
     and the tie rules decide many spans."""
-    docs = X.filter_tokens(X.tokenize_sentences(X.by_doc(fx.table(spark, SF, "documents"))))
+    docs = X.filter_tokens(X.tokenize_sentences(fx.table(spark, SF, "documents")))
     rows = docs.collect()
     phrases = set()
     for r in rows[::7]:

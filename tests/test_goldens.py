@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,40 +15,78 @@ from topicspark.operators import thesaurus as H
 from topicspark.operators import topics as T
 from topicspark.operators import vocab as V
 
-SPORT_ART = {
-    "soccer": "sport", "basketball": "sport", "painting": "art", "musician": "art", "tennis": "sport",
-    "tennis player": "sport", "ronaldo": "sport", "lebron james": "sport", "james taylor": "art", "strings": "art",
-}
-TOPIC = [(0.6, "basketball"), (0.04, "layup"), (0.02, "referee"), (0.01, "court"), (0.01, "tennis"),
-         (0.3, "strings"), (0.02, "run")]
+# weather: rain storm snow storm rain cloud (6 tokens); food: bread rice fish soup (4)
+THESAURUS = {"rain": "weather", "bread": "food", "storm": "weather", "snow storm": "weather", "rice": "food",
+             "fish soup": "food", "rain cloud": "weather"}
+TOPIC = [(0.5, "storm"), (0.2, "rice"), (0.2, "rain_cloud"), (0.1, "unheard")]
 
 
 def _topic_df(spark):
     return spark.createDataFrame([(0, w, p) for p, w in TOPIC], "topic int, word string, prob double")
 
 
+def test_label_docs(spark):
+    tok, lens = L.label_docs(L.thesaurus_from_dict(spark, THESAURUS))
+    assert {r.label: r.doc_len for r in lens.collect()} == {"weather": 6, "food": 4}
+    got = sorted((r.label, r.g, r.tok) for r in tok.collect())
+    assert [t for lab, _, t in got if lab == "weather"] == "rain storm snow storm rain cloud".split()
+
+
+def test_label_docs_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(L, "CHUNK", 2)
+    tok, _ = L.label_docs(L.thesaurus_from_dict(spark, THESAURUS))
+    assert sorted((r.g, r.tok) for r in tok.collect() if r.label == "food") == [(0, "bread"), (1, "rice"), (2, "fish"), (3, "soup")]
+
+
 def test_label_scores_tfidf(spark):
-    thes = L.thesaurus_from_dict(spark, SPORT_ART)
-    docs = L.label_docs(thes)
-    lens = {r.label: r.doc_len for r in docs.collect()}
-    assert lens == {"sport": 8, "art": 5}
+    thes = L.thesaurus_from_dict(spark, THESAURUS)
     scores = {r.label: r.score for r in L.label_scores_tfidf(_topic_df(spark), thes).collect()}
-    assert scores["sport"] == pytest.approx((0.6 * 1 / 8 + 0.01 * 4 / 8) * math.log(2), abs=1e-6)
-    assert scores["art"] == pytest.approx(0.3 * 1 / 5 * math.log(2), abs=1e-6)
+    # storm: 2 matches x tf 2/6; rain cloud: 1 x 1/6; rice: 1 x 1/4; idf ln 2
+    assert scores["weather"] == pytest.approx((0.5 * 2 * 2 / 6 + 0.2 * 1 / 6) * math.log(2), abs=1e-9)
+    assert scores["food"] == pytest.approx(0.2 * 1 / 4 * math.log(2), abs=1e-9)
+
+
+def test_raw_scores_hold_every_label(spark):
+    """Labels without a match score 0 and are there."""
+    thes = L.thesaurus_from_dict(spark, {**THESAURUS, "stone": "geology"})
+    raw = L.label_topics(_topic_df(spark), thes, score_type="tfidf", raw=True)
+    assert {r.label: r.score for r in raw.collect()}["geology"] == 0.0
 
 
 def test_top_labels(spark):
-    thes = L.thesaurus_from_dict(spark, SPORT_ART)
+    thes = L.thesaurus_from_dict(spark, THESAURUS)
     top = L.label_topics(_topic_df(spark), thes, top_n=1, score_type="tfidf").collect()
-    assert [(r.label, r.score) for r in top] == [("sport", 0.06)]
+    assert [(r.label, r.score) for r in top] == [("weather", 0.25)]
 
 
 def test_top_labels_zero_fill(spark):
     """A topic without any match still gets its n labels (score 0, label order)."""
-    thes = L.thesaurus_from_dict(spark, SPORT_ART)
+    thes = L.thesaurus_from_dict(spark, THESAURUS)
     tw = spark.createDataFrame([(5, "nothing", 1.0)], "topic int, word string, prob double")
     top = L.label_topics(tw, thes, top_n=2, score_type="tfidf").orderBy("rank").collect()
-    assert [(r.label, r.score) for r in top] == [("art", 0.0), ("sport", 0.0)]
+    assert [(r.label, r.score) for r in top] == [("food", 0.0), ("weather", 0.0)]
+
+
+def test_topic_without_vectors_gets_no_embedding_label(spark):
+    thes = L.thesaurus_from_dict(spark, {"rain": "weather", "bread": "food"})
+    vec = spark.createDataFrame([("rain", [1.0, 0.0]), ("bread", [0.0, 1.0]), ("snow", [0.9, 0.1])], "word string, vec array<float>")
+    tw = spark.createDataFrame([(0, "snow", 1.0), (1, "unheard", 1.0)], "topic int, word string, prob double")
+    got = L.label_topics(tw, thes, vec, top_n=1).collect()
+    assert [(r.topic, r.label) for r in got] == [(0, "weather")]
+
+
+LEMMAS = [("mines", "mine"), ("storms", "storm"), ("xs", "x")]
+
+
+def _lemmas(spark):
+    return spark.createDataFrame(LEMMAS, "form string, lemma string")
+
+
+def test_terms_and_phrases_match_by_lemma(spark):
+    thes = L.thesaurus_from_dict(spark, {"storms": "weather", "bread": "food"})
+    tw = spark.createDataFrame([(0, "storm", 1.0)], "topic int, word string, prob double")
+    scores = {r.label: r.score for r in L.label_scores_tfidf(tw, thes, lemmas=_lemmas(spark)).collect()}
+    assert scores["weather"] > 0 and scores["food"] == 0
 
 
 def _spans(spark, spans, theme="t"):
@@ -56,17 +95,17 @@ def _spans(spark, spans, theme="t"):
     return spark.createDataFrame(rows, "doc_id long, theme string, start int, end int, term string")
 
 
-Q1 = [(0, 5), (1, 2), (1, 3), (5, 6), (9, 10), (10, 11)]
+SPANS = [(0, 4), (2, 3), (2, 6), (7, 8), (7, 9), (8, 12)]
 
 
 def test_dedupe_fold(spark):
-    kept = M.dedupe_matches(_spans(spark, Q1), "fold").orderBy("start").collect()
-    assert [(r.start, r.end) for r in kept] == [(1, 3), (5, 6), (9, 10)]
+    kept = M.dedupe_matches(_spans(spark, SPANS), "fold").orderBy("start").collect()
+    assert [(r.start, r.end) for r in kept] == [(2, 6), (7, 9), (8, 12)]
 
 
 def test_dedupe_longest(spark):
-    kept = M.dedupe_matches(_spans(spark, Q1), "longest").orderBy("start").collect()
-    assert [(r.start, r.end) for r in kept] == [(0, 5), (5, 6), (9, 10), (10, 11)]
+    kept = M.dedupe_matches(_spans(spark, SPANS), "longest").orderBy("start").collect()
+    assert [(r.start, r.end) for r in kept] == [(0, 4), (2, 6), (7, 9), (8, 12)]
 
 
 def test_dedupe_same_start(spark):
@@ -84,13 +123,32 @@ def _sents(spark, docs):
 
 
 def test_join_ngrams(spark):
-    df = _sents(spark, [[["here", "is", "new", "south", "wales"]], [["a", "coal", "mine", "coal", "mine", "b"]],
-                        [["new", "south", "wales", "x"]]])
-    ng = spark.createDataFrame([("new south wales",), ("coal mine",), ("south wales",)], "ngram string")
+    df = _sents(spark, [[["the", "old", "stone", "bridge"]], [["a", "river", "bank", "river", "bank", "b"], []],
+                        [["old", "stone", "bridge", "x"]]])
+    ng = spark.createDataFrame([("old stone bridge",), ("river bank",), ("stone bridge",)], "ngram string")
     out = {r.doc_id: r.sents for r in X.join_ngrams(df, ng).collect()}
-    assert out[0] == [["here", "is", "new_south_wales"]]
-    assert out[1] == [["a", "coal_mine", "coal_mine", "b"]]
-    assert out[2] == [["new_south_wales", "x"]]
+    assert out[0] == [["the", "old_stone_bridge"]]
+    assert out[1] == [["a", "river_bank", "river_bank", "b"], []]
+    assert out[2] == [["old_stone_bridge", "x"]]
+
+
+def test_longest_text_joins_first(spark):
+    """The order is that of text length, not of the number of words."""
+    df = _sents(spark, [[["a", "of", "an", "international-agreement", "now"]]])
+    ng = spark.createDataFrame([("a of an",), ("an international-agreement",)], "ngram string")
+    assert X.join_ngrams(df, ng).first().sents == [["a", "of", "an_international-agreement", "now"]]
+
+
+def test_length_and_digit_rules_look_at_the_lemma(spark):
+    df = spark.createDataFrame([(0, "Xs and storms of 12 b2b mines, a")], "doc_id long, text string")
+    out = X.preprocess(df, lemmas=_lemmas(spark), stopwords=["and", "of"]).first().sents
+    assert out == [["storm", "mine"]]
+
+
+def test_lemmatize_keeps_other_columns_and_empty_rows(spark):
+    df = spark.createDataFrame([(0, "kept", [["mines"], [], ["x"]]), (1, None, []), (2, "c", [[]])], "doc_id long, other string, sents array<array<string>>")
+    got = {r.doc_id: (r.other, r.sents) for r in X.lemmatize(df, _lemmas(spark)).collect()}
+    assert got == {0: ("kept", [["mine"], [], ["x"]]), 1: (None, []), 2: ("c", [[]])}
 
 
 def test_merge_sentences_and_docs(spark):
@@ -156,6 +214,21 @@ def test_merge_plan(spark):
     assert plan == {"a": "b", "b": "b", "c": "b", "d": "d", "e": "d"}
 
 
+def test_merge_plan_of_a_long_chain(spark):
+    """Components of any length are found whole."""
+    names = [f"n{i:03d}" for i in range(150)]
+    pairs = spark.createDataFrame(list(zip(names, names[1:])), "l1 string, l2 string")
+    plan = H.merge_plan(pairs).collect()
+    assert {r.merged_into for r in plan} == {"n001"} and {r.group_size for r in plan} == {150}
+
+
+def test_merge_by_category_of_lowercased_labels(spark):
+    thes = spark.createDataFrame([("1011 european union law",), ("1016 european construction",)], "MT string")
+    assert {(r.merged_into, r.label) for r in H.merge_by_category(thes).collect() if r.label != r.merged_into} \
+        in (set(), {("1011 european union law", "1016 european construction")})
+    assert "1011 european union law" in {r.merged_into for r in H.merge_by_category(thes).collect()}
+
+
 def test_merge_by_category(spark):
     thes = spark.createDataFrame([("1606 economic policy",), ("1621 economic structure",),
                                   ("6626 soft energy",), ("6611 coal and mining industries",)], "MT string")
@@ -180,21 +253,35 @@ def _models(spark, m1, m2):
     return spark.createDataFrame(rows, "model int, topic int, word string, prob double")
 
 
+M1 = [{"tea": .6, "cup": .4}, {"cup": .5, "milk": .5}]
+M2 = [{"tea": .25, "pot": .75}, {"milk": 1.0}]
+
+
+def _dense_cosines(m1, m2):
+    words = sorted({w for d in m1 + m2 for w in d})
+    x = np.array([[d.get(w, 0) for w in words] for d in m1 + m2])
+    x = x - x.mean(axis=0)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return {(i, j): x[i] @ x[len(m1) + j] for i in range(len(m1)) for j in range(len(m2))}
+
+
 def test_topic_similarity(spark):
-    m = _models(spark, [{"cat": .7, "hat": .3}, {"hat": .5, "door": .5}],
-                [{"cat": .2, "mouse": .4, "jerry": .4}, {"cat": .6, "hat": .2, "door": .2}])
-    sim = {(r.topic_1, r.topic_2): r.similarity for r in C.topic_similarity(m).collect()}
-    assert sim[(0, 0)] == pytest.approx(-0.449699, abs=1e-6)
-    assert sim[(0, 1)] == pytest.approx(0.797115, abs=1e-6)
-    assert sim[(1, 0)] == pytest.approx(-0.359965, abs=1e-6)
-    assert sim[(1, 1)] == pytest.approx(-0.441529, abs=1e-6)
+    sim = {(r.topic_1, r.topic_2): r.similarity for r in C.topic_similarity(_models(spark, M1, M2)).collect()}
+    assert sim == pytest.approx(_dense_cosines(M1, M2), abs=1e-9)
 
 
 def test_topic_similarity_one_topic(spark):
-    m = _models(spark, [{"cat": .7, "hat": .3}], [{"cat": .2, "mouse": .8}])
+    m = _models(spark, [{"tea": .7, "cup": .3}], [{"tea": .2, "pot": .8}])
     assert C.topic_similarity(m).collect()[0].similarity == pytest.approx(-1.0, abs=1e-9)
 
 
+def test_vector_similarity_of_sparse_vectors(spark):
+    x = spark.createDataFrame([("a", 0, 3.0), ("a", 2, 4.0), ("z", 1, 0.0)], "xid string, dim int, v double")
+    y = spark.createDataFrame([("b", 0, 1.0), ("c", 5, 2.0)], "yid string, dim int, v double")
+    got = {(r.xid, r.yid): r.similarity for r in C.vector_similarity(x, y).collect()}
+    assert got == {("a", "b"): pytest.approx(0.6), ("a", "c"): 0.0, ("z", "b"): None, ("z", "c"): None}
+
+
 def test_order_topics(spark):
     rows = [(2001, 0, 0.5, "x"), (1999, 0, 0.1, "x"), (1999, 1, 0.6, "y"), (2001, 1, 0.2, "y"),
             (1999, 2, 0.4, "z"), (2001, 2, 0.3, "z")]
@@ -204,8 +291,7 @@ def test_order_topics(spark):
 
 
 def test_compare_all_models_matches_pairwise(spark):
-    m = _models(spark, [{"cat": .7, "hat": .3}, {"hat": .5, "door": .5}],
-                [{"cat": .2, "mouse": .4, "jerry": .4}, {"cat": .6, "hat": .2, "door": .2}])
+    m = _models(spark, M1, M2)
     allp = {(r.topic_1, r.topic_2): r.similarity for r in C.compare_all_models(m).collect()}
     one = {(r.topic_1, r.topic_2): r.similarity for r in C.topic_similarity(m).collect()}
     assert allp.keys() == one.keys()
@@ -222,6 +308,40 @@ def test_measure_space_null_text(spark):
     assert out[2].theme_terms == {"coal mine": 1, "coal": 1}
 
 
+def _match(spark, text, keyword, lemmas=None):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    themes = spark.createDataFrame([("t", keyword)], "theme string, keyword string")
+    return tuple(sorted(M.measure_space(df, themes, lemmas=lemmas).first()["theme_terms"].items()))
+
+
+def test_keywords_match_by_lemma_and_keep_the_surface(spark):
+    lem = _lemmas(spark)
+    for keyword in ("coal mines", "coal mine"):
+        assert _match(spark, "Old coal mines closed; one coal mine stayed", keyword, lem) == (("coal mine", 1), ("coal mines", 1))
+    assert not _match(spark, "Old coal mines closed", "coal mine")
+
+
+def test_punctuation_and_line_ends_block_a_match(spark):
+    assert not _match(spark, "They sold coal. Mine workers left", "coal mine")
+    assert not _match(spark, "coal\nmine", "coal mine")
+    assert _match(spark, "a coal  mine, too", "coal mine") == (("coal mine", 1),)
+
+
+def test_a_step_without_mapping_fails(spark):
+    df = spark.createDataFrame([(1, 1997), (2, 1998)], "doc_id long, step int")
+    mapping = spark.createDataFrame([(1997, 0)], "step int, mapped int")
+    with pytest.raises(Exception, match="step without a mapping: 1998"):
+        S.apply_step_map(df, mapping).collect()
+    assert S.apply_step_map(df.filter("step = 1997"), mapping).first().step == 0
+
+
+def test_share_series_is_in_percent_of_the_topics_own_total(spark):
+    share = spark.createDataFrame([(1, 0, 0.2), (2, 0, 0.6), (1, 1, 0.8), (2, 1, 0.4)], "step int, topic int, share double")
+    words = spark.createDataFrame([(0, 1, 0.1), (0, 2, 0.3)], "topic int, step int, w double")
+    got = {r.step: r._prop for r in T.words_with_share(words, share).collect()}
+    assert got == {1: pytest.approx(25.0), 2: pytest.approx(75.0)}
+
+
 def test_sample_docs_repeatable(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a = [r.doc_id for r in S.sample_docs(d, 20).collect()]

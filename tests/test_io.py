@@ -103,7 +103,7 @@ def test_doc_topics_csv(spark, scratch):
 def test_theme_counts_round_trip(spark, scratch):
     # "coal gas" touch: the exact fold drops a same-theme span starting where
     # the previous one ends (Q1), so the theme counts 2, not 3
-    df = spark.createDataFrame([(1, "coal, gas and coal"), (2, None)], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "coal gas and coal"), (2, None)], "doc_id long, text string")
     themes = spark.createDataFrame([("fossil", "coal"), ("fossil", "gas")], "theme string, keyword string")
     ms = M.measure_space(df, themes)
     W.write_theme_counts(ms, f"{scratch}/pq")
@@ -128,13 +128,15 @@ def test_merge_steps_json(spark, scratch):
     assert back == [("b", "a"), ("b", "c")]
 
 
-def test_read_npy(spark, scratch):
+def test_read_npy(spark, scratch, monkeypatch):
     arr = np.arange(12, dtype="float64").reshape(3, 4) / 10
     np.save(f"{scratch}/beta.npy", arr)
     cells = {(r.row, r.col): r.value for r in R.read_npy(spark, f"{scratch}/beta.npy").collect()}
     assert len(cells) == 12 and cells[(2, 3)] == pytest.approx(1.1)
-    chunked = {(r.row, r.col): r.value for r in R.read_npy(spark, f"{scratch}/beta.npy", rows_per_task=1).collect()}
-    assert chunked == cells
+    np.save(f"{scratch}/theta.npy", np.asfortranarray(arr * 2))
+    both = R.read_npy(spark, f"{scratch}/*.npy")
+    assert {r.file.rsplit("/", 1)[1]: r.n for r in both.groupBy("file").agg(F.count("*").alias("n")).collect()} == {"beta.npy": 12, "theta.npy": 12}
+    assert {(r.row, r.col): r.value for r in both.filter("file like '%theta.npy'").collect()} == {k: 2 * v for k, v in cells.items()}
 
 
 def test_read_word_vectors(spark, scratch):

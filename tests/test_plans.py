@@ -26,15 +26,10 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in p2 and "ReadSchema: struct<doc_id:bigint,lang:string>" in p2
 
 
-def test_doc_partitioned_chain_has_no_extra_exchange(spark):
-    """From the doc-partitioned tokens to the rows, per-document aggregation
-    and the document filter reuse the partitioning (vocabulary is broadcast)."""
-    df = QUERIES["bow_rows"](spark, SF_SMALL)
-    df.write.format("noop").mode("overwrite").save()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    top = plan.split("BroadcastExchange")[0]
-    assert "Exchange hashpartitioning(doc_id" not in top.split("InMemoryTableScan")[0].replace(
-        "REPARTITION_BY_COL", "")  # only the one-time repartition below the cache
+def test_in_row_text_work_needs_one_scan_and_no_exchange(spark):
+    for name in ["tokenize_sentences", "filter_tokens", "drop_terms", "merge_sentences", "merge_docs", "split_tokens"]:
+        plan = _plan(QUERIES[name](spark, SF_SMALL))
+        assert "Exchange" not in plan and plan.count("Scan parquet") == 1, name
 
 
 def test_topk_uses_group_limit(spark):
@@ -44,7 +39,11 @@ def test_topk_uses_group_limit(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_inline_dictionary_uses_hash_set(spark):
-    df = QUERIES["phrase_match"](spark, SF_SMALL)
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "INSET" in plan.upper()
+def test_no_large_table_meets_in_one_task(spark):
+    """Only frames of one row per step, topic, label or partition go to a single partition."""
+    for name in ["check_model", "label_docs", "term_label_tfidf", "topic_terms"]:
+        df = QUERIES[name](spark, SF_SMALL)
+        df.write.format("noop").mode("overwrite").save()
+        for line in _plan(df).split("\n"):
+            if "Window [" in line:
+                assert "pos" in line or "step" in line or "_c" in line or "topic" in line or "_pid" in line, (name, line)

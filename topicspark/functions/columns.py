@@ -1,4 +1,5 @@
-"""Scalar column expressions. All run inside whole-stage codegen (no UDF)."""
+"""Scalar column expressions of built-in functions (no UDF). Those with array
+lambdas are evaluated in the JVM but outside generated code."""
 
 from __future__ import annotations
 
@@ -8,6 +9,9 @@ from pyspark.sql import functions as F
 # Default token rule of the library: runs of letters, digits and underscores
 # (underscores keep joined n-grams such as ``coal_mine`` in one token).
 TOKEN_PATTERN = r"[^\p{L}\p{N}_]+"
+# Matching keeps punctuation and line ends as tokens of their own, so that no
+# phrase matches across them.
+MATCH_PATTERN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+|\n+"
 # Letter-only rule used by the test fixtures (same expression in DuckDB).
 LETTER_SPLIT = r"[^\p{L}]+"
 

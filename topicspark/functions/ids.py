@@ -67,17 +67,12 @@ def line_index(lines: DataFrame, name: str = "line") -> DataFrame:
             .drop("_blk", "_mid", "_first", "_off"))
 
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count; else leave the join
-    strategy to Spark (sort-merge, or AQE's runtime switch)."""
-    # persisted so the size check and the broadcast share one computation;
-    # what stays cached is at most max_rows rows
-    df = df.persist()
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df)
-    df.unpersist()
-    return df
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of ``df`` where its plan statistics bound its size; else
+    leave the join strategy to Spark, which decides at run time from the real
+    size. No action is run and nothing stays cached."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= max_bytes else df

@@ -10,10 +10,11 @@ No dense matrix is built.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.functions import ordered_index
+from topicspark.functions import bounded_broadcast, ordered_index
+from topicspark.operators.vectors import cosines, paired_in_blocks
 
 
 def common_vocab(*vocabs: DataFrame) -> DataFrame:
@@ -35,46 +36,70 @@ def centre_topics(aligned: DataFrame, keys=()) -> DataFrame:
     if not keys:
         k = aligned.select("model", "topic").distinct().select(F.count(F.lit(1))).scalar()
         return s.select("word", (F.col("_s") / k).alias("m"))
-    # one row per model pair: bounded by the number of compared models
     k = aligned.select(*keys, "model", "topic").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
-    j = s.join(F.broadcast(k), list(keys))
+    j = s.join(bounded_broadcast(k), list(keys))
     return j.select(*keys, "word", (F.col("_s") / F.col("_k")).alias("m"))
 
 
+def _sides(models: DataFrame) -> DataFrame:
+    """<model, topic, xx, xs, k, ss>: per topic its squared length and its dot
+    product with the word sums of every model (a map), per model its topic count
+    and the dot products of its word sums with those of every model."""
+    sums = models.groupBy("model", "word").agg(F.sum("prob").alias("s"))
+    other = sums.select(F.col("model").alias("other"), "word", F.col("s").alias("t"))
+
+    def by_other(df, keys, value, name):
+        # one entry for each compared model
+        d = df.groupBy(*keys, "other").agg(F.sum(value).alias("d"))
+        return d.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("other", "d"))).alias(name))
+    topics = models.groupBy("model", "topic").agg(F.sum(F.col("prob") * F.col("prob")).alias("xx"))
+    xs = by_other(models.join(other, "word"), ["model", "topic"], F.col("prob") * F.col("t"), "xs")
+    ss = by_other(sums.join(other, "word"), ["model"], F.col("s") * F.col("t"), "ss")
+    k = topics.groupBy("model").agg(F.count(F.lit(1)).alias("k"))
+    return topics.join(xs, ["model", "topic"]).join(k, "model").join(ss, "model")
+
+
+def _similarities(models: DataFrame, condition, centred: bool = True) -> DataFrame:
+    """<model_1, model_2, topic_1, topic_2, similarity> of the model pairs for
+    which ``condition`` on <model_1, model_2> holds.
+
+    The mean of a pair is (S1 + S2) / (K1 + K2) with S the models' word sums, so
+    all products with it come from products with single models, made once.
+    """
+    m = models.select("model", "topic", "word", "prob")
+    a = m.select(F.col("model").alias("model_1"), F.col("topic").alias("topic_1"), "word", F.col("prob").alias("x"))
+    b = m.select(F.col("model").alias("model_2"), F.col("topic").alias("topic_2"), "word", F.col("prob").alias("y"))
+    # x.y over shared words; a word has at most one row per topic
+    xy = a.join(b, "word").filter(condition).groupBy("model_1", "model_2", "topic_1", "topic_2").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    side = _sides(m)
+
+    def numbered(i):
+        return side.select(*[F.col(c).alias(f"{c}_{i}") for c in side.columns])
+    # every pair of topics, also those that share no word (x.y = 0)
+    j = paired_in_blocks(numbered(1), numbered(2), condition).join(xy, ["model_1", "model_2", "topic_1", "topic_2"], "left")
+    at = lambda col, key: F.coalesce(F.element_at(col, F.col(key)), F.lit(0.0))
+    k = F.col("k_1") + F.col("k_2")
+    xm = (at("xs_1", "model_1") + at("xs_1", "model_2")) / k
+    ym = (at("xs_2", "model_1") + at("xs_2", "model_2")) / k
+    mm = (at("ss_1", "model_1") + 2 * at("ss_1", "model_2") + at("ss_2", "model_2")) / (k * k)
+    if not centred:
+        xm = ym = mm = F.lit(0.0)
+    dot = F.coalesce(F.col("xy"), F.lit(0.0)) - xm - ym + mm
+    nx, ny = F.col("xx_1") - 2 * xm + mm, F.col("xx_2") - 2 * ym + mm
+    return j.select("model_1", "model_2", "topic_1", "topic_2", F.try_divide(dot, F.sqrt(nx * ny)).alias("similarity"))
+
+
 def topic_similarity(models: DataFrame, m1=0, m2=1, centred: bool = True) -> DataFrame:
     """Cosine between every topic of model m1 and every topic of model m2:
     <topic_1, topic_2, similarity>."""
     both = models.filter(F.col("model").isin([m1, m2]))
-    a = both.filter(F.col("model") == m1).select(F.col("topic").alias("topic_1"), "word", F.col("prob").alias("x"))
-    b = both.filter(F.col("model") == m2).select(F.col("topic").alias("topic_2"), "word", F.col("prob").alias("y"))
-    # x.y over shared words; a frequent word has at most K1 + K2 rows, so no skew
-    xy = a.join(b, "word").groupBy("topic_1", "topic_2").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    if centred:
-        m = centre_topics(both.select("model", "topic", "word", "prob"))
-        mm = m.select(F.sum(F.col("m") * F.col("m"))).scalar()
-        xa = a.join(m, "word").groupBy("topic_1").agg(F.sum(F.col("x") * F.col("m")).alias("xm"),
-                                                       F.sum(F.col("x") * F.col("x")).alias("xx"))
-        yb = b.join(m, "word").groupBy("topic_2").agg(F.sum(F.col("y") * F.col("m")).alias("ym"),
-                                                       F.sum(F.col("y") * F.col("y")).alias("yy"))
-    else:
-        mm = F.lit(0.0)
-        xa = a.groupBy("topic_1").agg(F.lit(0.0).alias("xm"), F.sum(F.col("x") * F.col("x")).alias("xx"))
-        yb = b.groupBy("topic_2").agg(F.lit(0.0).alias("ym"), F.sum(F.col("y") * F.col("y")).alias("yy"))
-    # every pair of topics, also those sharing no word (x.y = 0): model 2 topic
-    # ids (bounded by its topic count) are attached as an array and exploded
-    t2 = [r[0] for r in yb.select("topic_2").orderBy("topic_2").collect()]
-    pairs = xa.select("topic_1", "xm", "xx", F.explode(F.array(*[F.lit(t) for t in t2])).alias("topic_2"))
-    j = pairs.join(F.broadcast(yb), "topic_2").join(xy, ["topic_1", "topic_2"], "left")
-    dot = F.coalesce(F.col("xy"), F.lit(0.0)) - F.col("xm") - F.col("ym") + mm
-    nx = F.col("xx") - 2 * F.col("xm") + mm
-    ny = F.col("yy") - 2 * F.col("ym") + mm
-    return j.select("topic_1", "topic_2", F.try_divide(dot, F.sqrt(nx * ny)).alias("similarity"))
+    s = _similarities(both, (F.col("model_1") == m1) & (F.col("model_2") == m2), centred)
+    return s.select("topic_1", "topic_2", "similarity")
 
 
 def vector_similarity(x: DataFrame, y: DataFrame, x_key: str = "xid", y_key: str = "yid") -> DataFrame:
     """Cosine of caller-given long vectors <key, dim, v> (not centred)."""
-    from topicspark.operators.labels import cosine_long
-    return cosine_long(x, y, [x_key], [y_key]).withColumnRenamed("score", "similarity")
+    return cosines(x, y, [x_key], [y_key]).withColumnRenamed("score", "similarity")
 
 
 def similarity_matrix(sim: DataFrame, names_1: DataFrame | None = None, names_2: DataFrame | None = None,
@@ -96,10 +121,12 @@ def topic_names(labels: DataFrame) -> DataFrame:
 
 
 def similar_topics(sim: DataFrame, words_1: DataFrame, words_2: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Pairs with similarity > threshold with both top-word lists (<topic, words>)."""
+    """Pairs with similarity > threshold with what is known of both topics: the
+    other columns of <topic, words, ...>, numbered by side."""
+    def side(df, i):
+        return df.select(*[F.col(c).alias(f"{c}_{i}") for c in df.columns])
     s = sim.filter(F.col("similarity") > threshold)
-    return (s.join(words_1.select(F.col("topic").alias("topic_1"), F.col("words").alias("words_1")), "topic_1")
-             .join(words_2.select(F.col("topic").alias("topic_2"), F.col("words").alias("words_2")), "topic_2"))
+    return s.join(side(words_1, 1), "topic_1").join(side(words_2, 2), "topic_2")
 
 
 def unique_topics(sim: DataFrame, threshold: float = 0.25) -> DataFrame:
@@ -112,44 +139,11 @@ def unique_topics(sim: DataFrame, threshold: float = 0.25) -> DataFrame:
 
 def compare_all_models(models: DataFrame) -> DataFrame:
     """Centred cosine for every unordered pair of models in one job:
-    <model_1, model_2, topic_1, topic_2, similarity>.
-
-    The model ids (a grid of runs: bounded, brought to the driver) give the
-    pair list m1 < m2; each model row is keyed by the pairs it belongs to in
-    one broadcast join, and that keyed frame feeds all sums.
-    """
-    spark = models.sparkSession
-    ids = sorted(r[0] for r in models.select("model").distinct().collect())
-    rows = [(a, a, b, 1) for i, a in enumerate(ids) for b in ids[i + 1:]] + \
-           [(b, a, b, 2) for i, a in enumerate(ids) for b in ids[i + 1:]]
-    mtype = dict(models.dtypes)["model"]
-    pairs = spark.createDataFrame(rows, f"model {mtype}, model_1 {mtype}, model_2 {mtype}, side int")
-    keyed = models.join(F.broadcast(pairs), "model").select("model_1", "model_2", "side", "model", "topic", "word", "prob")
-    keyed = keyed.persist()
-    keys = ["model_1", "model_2"]
-    m = centre_topics(keyed, keys)
-    mm = m.groupBy(*keys).agg(F.sum(F.col("m") * F.col("m")).alias("mm"))
-    a = keyed.filter(F.col("side") == 1).select(*keys, F.col("topic").alias("topic_1"), "word", F.col("prob").alias("x"))
-    b = keyed.filter(F.col("side") == 2).select(*keys, F.col("topic").alias("topic_2"), "word", F.col("prob").alias("y"))
-    # x.y over shared words: a word has at most K1 + K2 rows per pair (no skew)
-    xy = a.join(b, [*keys, "word"]).groupBy(*keys, "topic_1", "topic_2").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    xa = a.join(m, [*keys, "word"]).groupBy(*keys, "topic_1").agg(F.sum(F.col("x") * F.col("m")).alias("xm"),
-                                                                   F.sum(F.col("x") * F.col("x")).alias("xx"))
-    yb = b.join(m, [*keys, "word"]).groupBy(*keys, "topic_2").agg(F.sum(F.col("y") * F.col("m")).alias("ym"),
-                                                                   F.sum(F.col("y") * F.col("y")).alias("yy"))
-    # all topic pairs within each model pair: model-2 topics per pair form a
-    # short array (bounded by its topic count), exploded next to each model-1 topic
-    t2 = yb.groupBy(*keys).agg(F.collect_list("topic_2").alias("_t2"))
-    allp = xa.join(t2, keys).select(*keys, "topic_1", "xm", "xx", F.explode("_t2").alias("topic_2"))
-    j = allp.join(yb, [*keys, "topic_2"]).join(xy, [*keys, "topic_1", "topic_2"], "left").join(mm, keys)
-    dot = F.coalesce(F.col("xy"), F.lit(0.0)) - F.col("xm") - F.col("ym") + F.col("mm")
-    nx = F.col("xx") - 2 * F.col("xm") + F.col("mm")
-    ny = F.col("yy") - 2 * F.col("ym") + F.col("mm")
-    return j.select(*keys, "topic_1", "topic_2", F.try_divide(dot, F.sqrt(nx * ny)).alias("similarity"))
+    <model_1, model_2, topic_1, topic_2, similarity>."""
+    return _similarities(models, F.col("model_1") < F.col("model_2"))
 
 
 __all__ = [
     "common_vocab", "align_models", "centre_topics", "topic_similarity", "vector_similarity",
     "similarity_matrix", "topic_names", "similar_topics", "unique_topics", "compare_all_models",
 ]
-_ = Window

@@ -17,17 +17,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# The run keys and the directory name are the on-disk interface.
 def run_name(run: dict) -> str:
     return f"k{run['topics']}_a{run['alpha']}_var{run['topic_var']}"
 
 
 def fit_topics_grid(docs: DataFrame, runs: list[dict], tokens: str = "tokens", key: str = "doc_id",
-                    vocab_size: int = 1 << 18, min_df: float = 1.0, max_iter: int = 10, seed: int = 0,
-                    optimizer: str = "online"):
-    """Fit one LDA per run ({topics, alpha, topic_var}); returns (topic_term, doc_topic)."""
-    cv = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocab_size, minDF=min_df).fit(docs)
+                    max_iter: int = 10, seed: int = 0, optimizer: str = "online"):
+    """Fit one LDA per run ({topics, alpha, topic_var}); returns (topic_term, doc_topic).
+
+    Every word of ``docs`` is in the model: rare words are dropped before, by the
+    vocabulary's frequency rule. Spark's LDA keeps vocabulary and topic matrix
+    on the driver, so that rule must leave what fits there.
+    """
+    n_words = docs.select(F.explode(tokens).alias("w")).distinct().count()
+    cv = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=max(1, n_words), minDF=1.0).fit(docs)
     spark = docs.sparkSession
-    # the fitted vocabulary is a model parameter bounded by vocab_size
     voc = spark.createDataFrame(list(enumerate(cv.vocabulary)), "word_id long, word string")
     tf = cv.transform(docs).select(key, "_tf").filter(F.size(vector_to_array("_tf").cast("array<double>")) > 0)
     tf = tf.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else tf

@@ -1,176 +1,127 @@
 """Phrase matching and theme counts.
 
-Plan for ``phrase_match``:
-  1. token windows are built inside each row, only for the phrase lengths the
-     dictionary has (``transform(sequence) + slice + array_join``);
-  2. when the dictionary is small (its row count is checked), windows are
-     filtered in the row with a hashed ``IN`` set, so only real matches are
-     exploded; beyond that limit every window is exploded;
-  3. the exploded windows equi-join the dictionary, broadcast when its checked
-     size allows, else a shuffle join.
-Per-document regrouping (dedupe, counts) is shuffle-free when the documents
-were hash-partitioned by id first (``text.by_doc``).
+Texts and phrases are cut into tokens by one pattern: words, and runs of
+punctuation or newlines, which are tokens too and so separate words. Phrases
+match by lemma where a <form, lemma> table is given, on both sides; the matched
+surface text is carried along.
+
+Plan for ``phrase_match``: token windows are built inside each row, only for
+the phrase lengths that the dictionary has, exploded, and equi-joined to the
+dictionary. The join is the same at every size; Spark picks its strategy from
+the dictionary's size. Overlaps are resolved by windows over (document, theme),
+in time linear in the matches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.functions import TOKEN_PATTERN, bounded_broadcast
+from topicspark.functions import MATCH_PATTERN, bounded_broadcast
 
-INLINE_LIMIT = 20_000        # dictionary rows inlined as an IN set
-BROADCAST_LIMIT = 2_000_000  # dictionary rows broadcast to every task
 
-_SPAN = "struct<start:int,end:int,key:string>"
+def match_tokens(text, pattern: str = MATCH_PATTERN) -> Column:
+    """Lowercase tokens of a text, punctuation and newline runs included; null text has none."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(pattern), F.lit(0))
+
+
+def lemma_array(df: DataFrame, lemmas: DataFrame | None, col: str, key: str) -> DataFrame:
+    """``df`` with the token array ``col`` replaced by lemmas."""
+    if lemmas is None:
+        return df
+    from topicspark.operators.text import lemmatize
+    return lemmatize(df.withColumn(col, F.array(col)), lemmas, col, key).withColumn(col, F.flatten(col))
 
 
 def phrase_keys(phrases: DataFrame, phrase: str = "keyword", label: str = "theme",
-                pattern: str = TOKEN_PATTERN) -> DataFrame:
-    """Dictionary <key, label, n>: phrase tokens joined by single spaces."""
-    toks = F.filter(F.split(F.lower(F.col(phrase)), pattern), lambda x: x != "")
-    return (phrases.select(F.array_join(toks, " ").alias("key"), F.col(label).alias("label"),
-                           F.size(toks).alias("n"))
+                pattern: str = MATCH_PATTERN, lemmas: DataFrame | None = None) -> DataFrame:
+    """Dictionary <key, label, n>: phrase tokens (lemmas) joined by single spaces."""
+    pairs = phrases.select(F.col(phrase).alias("_p"), F.col(label).alias("label")).distinct()
+    toks = pairs.select("_p").distinct().withColumn("_t", match_tokens("_p", pattern))
+    toks = lemma_array(toks, lemmas, "_t", "_p")
+    keyed = pairs.join(toks, "_p") if lemmas is not None else pairs.withColumn("_t", match_tokens("_p", pattern))
+    return (keyed.select(F.array_join("_t", " ").alias("key"), "label", F.size("_t").alias("n"))
             .filter(F.col("n") > 0).distinct())
 
 
-def windows(toks: Column, lengths: list[int]) -> Column:
-    """All token windows of the given lengths: array<struct<start, end, key>>."""
-    parts = []
+def windows(toks: Column, lengths: list[int], surface: Column | None = None) -> Column:
+    """All token windows of the given lengths: array<struct<start, end, key, surface>>."""
+    surface = toks if surface is None else surface
+
     def win_of(n):
         return lambda i: F.struct(i.cast("int").alias("start"), (i + n).cast("int").alias("end"),
-                                  F.array_join(F.slice(toks, i + 1, n), " ").alias("key"))
+                                  F.array_join(F.slice(toks, i + 1, n), " ").alias("key"),
+                                  F.array_join(F.slice(surface, i + 1, n), " ").alias("surface"))
+    parts = []
     for n in sorted(set(lengths)):
         w = F.transform(F.sequence(F.lit(0), F.size(toks) - n), win_of(n))
-        parts.append(F.when(F.size(toks) >= n, w).otherwise(F.array().cast(f"array<{_SPAN}>")))
+        parts.append(F.when(F.size(toks) >= n, w).otherwise(
+            F.array().cast("array<struct<start:int,end:int,key:string,surface:string>>")))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def window_matches(df: DataFrame, dictionary: DataFrame, keys, toks: str = "toks") -> DataFrame:
-    """<keys..., label, start, end, key> for every window equal to a dictionary key.
+def window_matches(df: DataFrame, dictionary: DataFrame, keys, toks: str = "toks", surface: str | None = None) -> DataFrame:
+    """<keys..., label, start, end, key, surface> for every window equal to a dictionary key.
 
-    ``dictionary`` is <key, label> (key: space-joined tokens). Overlaps are kept.
+    ``dictionary`` is <key, label> (key: space-joined tokens). Overlaps are
+    kept. Only the distinct phrase lengths come to the driver.
     """
-    spark = df.sparkSession
     d = dictionary.select("key", "label").distinct()
-    # one action decides the plan: a dictionary of at most INLINE_LIMIT rows is
-    # brought to the driver (bounded) and inlined; a larger one is checkpointed
-    rows = d.limit(INLINE_LIMIT + 1).collect()
-    if len(rows) <= INLINE_LIMIT:
-        lengths = sorted({len(r["key"].split(" ")) for r in rows})
-        key_list = sorted({r["key"] for r in rows})
-        dd = F.broadcast(spark.createDataFrame(rows, "key string, label string"))
-    else:
-        from topicspark.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        d = d.checkpoint(eager=True)
-        lengths = [r[0] for r in d.select(F.size(F.split("key", " ")).alias("n")).distinct().collect()]
-        key_list = None
-        dd = bounded_broadcast(d, BROADCAST_LIMIT)
+    lengths = [r[0] for r in d.select(F.size(F.split("key", " ")).alias("n")).distinct().collect()]
     if not lengths:
-        return df.select(*keys, F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("start"),
-                         F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("key")).limit(0)
-    wins = windows(F.col(toks), lengths)
-    if key_list is not None:
-        wins = F.filter(wins, lambda w: w["key"].isin(key_list))
-    ex = df.select(*keys, F.explode(wins).alias("w")).select(*keys, "w.start", "w.end", "w.key")
-    return ex.join(dd, "key").select(*keys, "label", "start", "end", "key")
+        return df.select(*keys, F.lit("").alias("label"), F.lit(0).alias("start"), F.lit(0).alias("end"),
+                         F.lit("").alias("key"), F.lit("").alias("surface")).limit(0)
+    wins = windows(F.col(toks), lengths, F.col(surface or toks))
+    ex = df.select(*keys, F.explode(wins).alias("w")).select(*keys, "w.start", "w.end", "w.key", "w.surface")
+    return ex.join(bounded_broadcast(d), "key").select(*keys, "label", "start", "end", "key", "surface")
 
 
 def phrase_match(df: DataFrame, themes: DataFrame, toks: str = "toks", key: str = "doc_id",
-                 phrase: str = "keyword", label: str = "theme", pattern: str = TOKEN_PATTERN) -> DataFrame:
-    """All spans whose token sequence equals a keyword's; overlaps included.
+                 phrase: str = "keyword", label: str = "theme", pattern: str = MATCH_PATTERN,
+                 lemmas: DataFrame | None = None) -> DataFrame:
+    """All spans whose tokens (or lemmas, given a table) equal a keyword's; overlaps included.
 
-    Returns <key, theme, start, end, term>.
+    ``toks`` holds the documents' surface tokens (``match_tokens``). Returns
+    <key, theme, start, end, term>, term being the surface text.
     """
-    d = phrase_keys(themes, phrase, label, pattern)
-    m = window_matches(df, d, [key], toks)
-    return m.select(key, F.col("label").alias(label), "start", "end", F.col("key").alias("term"))
+    docs = df.select(key, F.col(toks).alias("_s"), F.col(toks).alias("_l"))
+    docs = lemma_array(docs, lemmas, "_l", key)
+    m = window_matches(docs, phrase_keys(themes, phrase, label, pattern, lemmas), [key], "_l", "_s")
+    return m.select(key, F.col("label").alias(label), "start", "end", F.col("surface").alias("term"))
 
 
 # ---------------------------------------------------------------- dedupe folds
 
-def _fold(spans: Column) -> Column:
-    """Exact match fold of the reference (Q1) over spans sorted by (start, end)."""
-    empty = F.array().cast(f"array<{_SPAN}>")
-    init = F.struct(empty.alias("kept"), F.lit(None).cast(_SPAN).alias("prev"))
-
-    def step(acc, m):
-        prev = acc["prev"]
-        kept = acc["kept"]
-        new_kept = (F.when(prev.isNull() | (m["start"] > prev["end"]), F.array_append(kept, m))
-                    .when(m["start"] == prev["start"],
-                          F.array_append(F.slice(kept, 1, F.size(kept) - 1), m))
-                    .when((m["start"] < prev["end"]) & (m["end"] > prev["end"]), F.array_append(kept, m))
-                    .otherwise(kept))
-        return F.struct(new_kept.alias("kept"), m.alias("prev"))
-    return F.aggregate(spans, init, step, lambda acc: acc["kept"])
-
-
-def _fold_simple(spans: Column) -> Column:
-    """Older variant: no same-start case (``_reduce_matches``)."""
-    empty = F.array().cast(f"array<{_SPAN}>")
-    init = F.struct(empty.alias("kept"), F.lit(None).cast(_SPAN).alias("prev"))
-
-    def step(acc, m):
-        prev = acc["prev"]
-        kept = acc["kept"]
-        new_kept = (F.when(prev.isNull() | (m["start"] > prev["end"]), F.array_append(kept, m))
-                    .when((m["start"] < prev["end"]) & (m["end"] > prev["end"]), F.array_append(kept, m))
-                    .otherwise(kept))
-        return F.struct(new_kept.alias("kept"), m.alias("prev"))
-    return F.aggregate(spans, init, step, lambda acc: acc["kept"])
-
-
-def _longest(spans: Column) -> Column:
-    """Keep spans not contained in another (documented intent). Input sorted by
-    (start asc, end desc): a span is contained iff an earlier one ends at or after it."""
-    empty = F.array().cast(f"array<{_SPAN}>")
-    init = F.struct(empty.alias("kept"), F.lit(-1).alias("maxend"))
-
-    def step(acc, m):
-        keep = m["end"] > acc["maxend"]
-        return F.struct(F.when(keep, F.array_append(acc["kept"], m)).otherwise(acc["kept"]).alias("kept"),
-                        F.greatest(acc["maxend"], m["end"]).alias("maxend"))
-    return F.aggregate(spans, init, step, lambda acc: acc["kept"])
-
-
-def dedupe_spans(spans: Column, mode: str = "fold") -> Column:
-    """Dedupe one theme's spans (array<struct<start,end,key>>) of one document."""
-    if mode == "longest":
-        srt = F.array_sort(F.array_distinct(spans), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
-                           .otherwise(b["end"] - a["end"]))
-        return _longest(srt)
-    srt = F.array_sort(spans)  # struct order = (start, end, key)
-    return _fold(srt) if mode == "fold" else _fold_simple(srt)
-
-
 def dedupe_matches(matches: DataFrame, mode: str = "fold", key: str = "doc_id", label: str = "theme") -> DataFrame:
     """Per (document, theme) drop spans covered by a longer one.
 
-    mode='fold' is the reference's exact fold (Q1); 'longest' keeps spans not
-    contained in another of the same theme; 'simple' is the older variant
-    without theme grouping and without the same-start case.
+    mode='fold' is the reference's exact fold (Q1) in (start, end, term) order:
+    a span starting after the one before it ends, or overlapping it and ending
+    later, is kept; one with the same start replaces the last kept; others are
+    skipped. 'longest' keeps spans not contained in another of the same theme;
+    'simple' is the older variant without theme grouping and without the
+    same-start case.
     """
-    spans = F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
-                                    F.col("term").alias("key")))
-    if mode == "simple":
-        # no theme grouping: one fold over all spans of the document, themes carried along
-        g = matches.groupBy(key).agg(F.collect_list(F.struct(
-            F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
-            F.col("term").alias("key"), F.col(label).alias("lab"))).alias("_m"))
-        srt = F.array_sort("_m")
-        kept = F.transform(_fold_simple(F.transform(srt, lambda x: F.struct(x["start"], x["end"],
-                                                                              F.concat_ws("\u0001", x["key"], x["lab"]).alias("key")))),
-                           lambda x: x)
-        ex = g.select(key, F.explode(kept).alias("k"))
-        parts = F.split(F.col("k.key"), "\u0001")
-        return ex.select(key, parts[1].alias(label), F.col("k.start").alias("start"), F.col("k.end").alias("end"),
-                         parts[0].alias("term"))
-    g = matches.groupBy(key, label).agg(spans.alias("_m"))
-    ex = g.select(key, label, F.explode(dedupe_spans(F.col("_m"), mode)).alias("k"))
-    return ex.select(key, label, F.col("k.start").alias("start"), F.col("k.end").alias("end"),
-                     F.col("k.key").alias("term"))
+    m = matches.select(key, label, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "term")
+    if mode == "longest":
+        w = Window.partitionBy(key, label).orderBy("start", F.desc("end"), "term").rowsBetween(Window.unboundedPreceding, -1)
+        seen = F.coalesce(F.max("end").over(w), F.lit(-1))
+        return m.distinct().withColumn("_seen", seen).filter(F.col("end") > F.col("_seen")).drop("_seen")
+    groups = [key] if mode == "simple" else [key, label]
+    order = ["start", "end", "term", *([label] if mode == "simple" else [])]
+    w = Window.partitionBy(*groups).orderBy(*order)
+    ps, pe = F.lag("start").over(w), F.lag("end").over(w)
+    overlaps = (F.col("start") < F.col("_pe")) & (F.col("end") > F.col("_pe"))
+    apart = F.col("_pe").isNull() | (F.col("start") > F.col("_pe"))
+    act = F.when(apart, "push")
+    if mode == "fold":
+        act = act.when(F.col("start") == F.col("_ps"), "replace")
+    act = act.when(overlaps, "push").otherwise("skip")
+    kept = m.withColumn("_ps", ps).withColumn("_pe", pe).withColumn("_a", act).filter(F.col("_a") != "skip")
+    if mode == "fold":  # a replacing span takes the place of the one kept before it
+        kept = kept.withColumn("_n", F.lead("_a").over(w)).filter(F.coalesce(F.col("_n"), F.lit("")) != "replace")
+    return kept.select(key, label, "start", "end", "term")
 
 
 def reduce_matches(matches: DataFrame, key: str = "doc_id", label: str = "theme") -> DataFrame:
@@ -189,28 +140,21 @@ def term_counts(kept: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def measure_space(df: DataFrame, themes: DataFrame, text: str = "text", key: str = "doc_id",
-                  prefix: str = "theme_", mode: str = "fold", pattern: str = TOKEN_PATTERN,
+                  prefix: str = "theme_", mode: str = "fold", pattern: str = MATCH_PATTERN,
                   lemmas: DataFrame | None = None) -> DataFrame:
     """Corpus enriched with ``<prefix>counts`` (theme -> n) and ``<prefix>terms``
-    (term -> n). Null text counts as empty; the text column keeps its null."""
-    toks = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), pattern), lambda x: x != "")
-    docs = df.select(key, toks.alias("toks"))
-    if lemmas is not None:
-        from topicspark.operators.text import lemmatize
-        docs = lemmatize(docs.withColumn("toks", F.array("toks")), lemmas, "toks", key) \
-            .withColumn("toks", F.flatten("toks"))
-    kept = dedupe_matches(phrase_match(docs, themes, "toks", key, pattern=pattern), mode, key)
-    # one pass builds both maps: (doc, theme, term) counts regrouped per
-    # document (no exchange on doc-partitioned input), maps assembled in the row
-    per = kept.groupBy(key, "theme", "term").agg(F.count(F.lit(1)).alias("n")) \
-        .groupBy(key).agg(F.collect_list(F.struct("theme", "term", "n")).alias("_e"))
-
-    def count_map(field):
-        names = F.array_sort(F.array_distinct(F.transform("_e", lambda e: e[field])))
-        sums = F.transform(names, lambda t: F.aggregate(F.filter("_e", lambda e: e[field] == t),
-                                                          F.lit(0).cast("long"), lambda acc, e: acc + e["n"]))
-        return F.map_from_arrays(names, sums)
-    maps = per.select(key, count_map("theme").alias(prefix + "counts"), count_map("term").alias(prefix + "terms"))
+    (surface text -> n). Null text counts as empty; the text column keeps its null."""
+    docs = df.select(key, match_tokens(text, pattern).alias("toks"))
+    kept = dedupe_matches(phrase_match(docs, themes, "toks", key, pattern=pattern, lemmas=lemmas), mode, key)
+    # both counts in one frame, regrouped once per document; a map's entries are ready-made
+    both = kept.select(key, F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("theme").alias("name")),
+                                              F.struct(F.lit(1).alias("k"), F.col("term").alias("name")))).alias("e"))
+    counts = both.groupBy(key, "e.k", "e.name").agg(F.count(F.lit(1)).alias("n"))
+
+    def count_map(k):
+        entries = F.collect_list(F.when(F.col("k") == k, F.struct("name", "n")))
+        return F.map_from_entries(F.array_sort(entries))
+    maps = counts.groupBy(key).agg(count_map(0).alias(prefix + "counts"), count_map(1).alias(prefix + "terms"))
     empty = F.create_map().cast("map<string,bigint>")
     out = df.join(maps, key, "left")
     return (out.withColumn(prefix + "counts", F.coalesce(prefix + "counts", empty))
@@ -224,15 +168,17 @@ def theme_trend(measured: DataFrame, by: str = "step", prefix: str = "theme_") -
 
 
 def select_spans(matches: DataFrame, keys) -> DataFrame:
-    """Non-overlapping spans per key group: longest first, then by key text, then
-    leftmost (n-gram joining, Q5). Returns <keys..., spans array<struct>>."""
+    """Non-overlapping spans per key group for n-gram joining (Q5): the longest
+    text first, then leftmost. Returns <keys..., spans array<struct<start, end,
+    key>>> in order of start."""
     g = matches.groupBy(*keys).agg(F.collect_list(F.struct(
-        (F.col("start") - F.col("end")).alias("neg_len"), F.col("key"), F.col("start").cast("int").alias("start"),
-        F.col("end").cast("int").alias("end"))).alias("_m"))
-    srt = F.array_sort("_m")
-    empty = F.array().cast("array<struct<neg_len:int,key:string,start:int,end:int>>")
+        (-F.length("key")).alias("neg_len"), F.col("start").cast("int").alias("start"),
+        F.col("end").cast("int").alias("end"), F.col("key"))).alias("_m"))
+    empty = F.array().cast("array<struct<neg_len:int,start:int,end:int,key:string>>")
 
     def step(acc, m):
         clash = F.exists(acc, lambda k: (m["start"] < k["end"]) & (k["start"] < m["end"]))
         return F.when(clash, acc).otherwise(F.array_append(acc, m))
-    return g.select(*keys, F.aggregate(srt, empty, step).alias("spans"))
+    taken = F.aggregate(F.array_sort("_m"), empty, step)
+    return g.select(*keys, F.array_sort(F.transform(taken, lambda k: F.struct(
+        k["start"].alias("start"), k["end"].alias("end"), k["key"].alias("key")))).alias("spans"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.functions import year_month, year_of_date
+from topicspark.functions import bounded_broadcast, year_month, year_of_date
 
 SEED = 42
 
@@ -48,12 +48,16 @@ def bucket_present_months(df: DataFrame, date_col: str, out: str = "step") -> Da
     mapping = present_month_mapping(df, date_col, out)
     keyed = df.withColumn("month", year_month(F.col(date_col)))
     # the mapping has one row per month of the data's span: small by construction
-    return keyed.join(F.broadcast(mapping), "month").drop("month")
+    return keyed.join(bounded_broadcast(mapping), "month").drop("month")
 
 
 def apply_step_map(df: DataFrame, mapping: DataFrame, key: str = "step", value: str = "mapped") -> DataFrame:
-    """Replace a document's step by a mapping <key, value> (bounded: one row per time unit)."""
-    return df.join(F.broadcast(mapping.select(key, value)), key).withColumn(key, F.col(value)).drop(value)
+    """Replace a document's step by a mapping <key, value> (one row per time unit).
+    A step that the mapping lacks fails the query and is named in the error."""
+    known = mapping.select(F.col(key).alias("_from"), F.col(value).alias("_to"), F.lit(True).alias("_known"))
+    j = df.join(bounded_broadcast(known), F.col(key).eqNullSafe(F.col("_from")), "left")
+    missing = F.raise_error(F.concat(F.lit("step without a mapping: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return j.withColumn(key, F.when(F.col("_known"), F.col("_to")).otherwise(missing.cast(mapping.schema[value].dataType))).drop("_from", "_to", "_known")
 
 
 def step_range(df: DataFrame, lo=None, hi=None, step: str = "step") -> DataFrame:
@@ -68,12 +72,16 @@ def step_range(df: DataFrame, lo=None, hi=None, step: str = "step") -> DataFrame
 
 def sample_docs(df: DataFrame, limit: int | None, key: str = "doc_id", seed: int = SEED,
                 shuffle: bool = True) -> DataFrame:
-    """Seeded, repeatable shuffle then the first ``limit`` rows (limit is the feature).
+    """Seeded, repeatable order and, with ``limit``, its first rows (limit is the feature).
 
-    Adds ``doc_order`` (the position in the shuffled order) only through the
-    sort key; ``orderBy(...).limit(n)`` runs as a distributed top-n.
+    ``doc_order`` is the sort key: the md5 of seed and id, or the id itself.
+    Rows are not sorted here. A limit ranks ids alone (every task keeps its own
+    first ones) and then picks the documents by a semi join, so no text is
+    sorted or sent to one task.
     """
-    order = F.xxhash64(F.col(key), F.lit(seed)) if shuffle else F.col(key)
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))) if shuffle else F.col(key)
     out = df.withColumn("doc_order", order)
-    out = out.orderBy("doc_order", key)
-    return out.limit(limit) if limit else out
+    if not limit:
+        return out
+    first = out.select(key, "doc_order").orderBy("doc_order", key).limit(limit).select(F.col(key).alias("_id"))
+    return out.join(first, F.col(key).eqNullSafe(F.col("_id")), "left_semi")

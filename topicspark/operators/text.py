@@ -1,11 +1,11 @@
 """Text preprocessing.
 
 Documents become ``sents array<array<string>>``. All rules are array
-higher-order functions evaluated inside the row (codegen, no UDF); lookups
+higher-order functions evaluated inside the row (no UDF, no shuffle); lookups
 against word lists use ``IN`` lists, which Catalyst turns into hash sets.
-Table lookups that are too big to inline (lemmas, n-grams) explode the tokens,
-join a size-checked broadcast table and regroup per document. Call
-``by_doc`` first so that regrouping needs no extra shuffle.
+Table lookups (lemmas, n-grams) explode the tokens, join the table and regroup
+per document; the document's other columns ride along with its first token, so
+the corpus is read once and shuffled once.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.functions import TOKEN_PATTERN, bounded_broadcast
+from topicspark.functions import TOKEN_PATTERN, bounded_broadcast, ordered_index
 
 SENTENCE_SPLIT = r"[.!?]+\s+|\n+"
 URL_PATTERN = r"(https?://|www\.)\S+"
@@ -58,29 +58,40 @@ def tokenize_sentences(df: DataFrame, text: str = "text", out: str = "sents",
     return df.withColumn(out, toks)
 
 
-def _keep_token(x: Column, stopwords: list[str]) -> Column:
-    return (~x.rlike(r"\p{N}")) & (~x.isin(NUMBER_WORDS)) & (~x.isin(stopwords)) & (F.length(x) > 1)
+def filter_surface(df: DataFrame, col: str = "sents", stopwords: list[str] | None = None) -> DataFrame:
+    """Rules on the surface form: drop numbers (all digits, or number words) and stopwords."""
+    sw = default_stopwords() if stopwords is None else stopwords
+    keep = lambda x: (~x.rlike(r"^\p{N}+$")) & (~x.isin(NUMBER_WORDS)) & (~x.isin(sw))
+    return df.withColumn(col, F.transform(col, lambda s: F.filter(s, keep)))
+
+
+def filter_lemmas(df: DataFrame, col: str = "sents") -> DataFrame:
+    """Rules on the lemma: drop those that hold a digit or have length <= 1."""
+    keep = lambda x: (~x.rlike(r"\p{N}")) & (F.length(x) > 1)
+    return df.withColumn(col, F.transform(col, lambda s: F.filter(s, keep)))
 
 
 def filter_tokens(df: DataFrame, col: str = "sents", stopwords: list[str] | None = None) -> DataFrame:
-    """Drop numbers (digits or number words), stopwords (surface form), length <= 1."""
-    sw = default_stopwords() if stopwords is None else stopwords
-    return df.withColumn(col, F.transform(col, lambda s: F.filter(s, lambda x: _keep_token(x, sw))))
+    """Both sets of rules on tokens that are their own lemmas. With a lemma table
+    the surface rules come before it and the lemma rules after (``preprocess``)."""
+    return filter_lemmas(filter_surface(df, col, stopwords), col)
 
 
 def lemmatize(df: DataFrame, lemmas: DataFrame | None, col: str = "sents", key: str = "doc_id") -> DataFrame:
     """Lemma (from a <form, lemma> table; identity if missing), lowercase, inner space -> '_'.
 
-    With a table: explode (sentence, position, token), broadcast-join the
-    lemma table, regroup per document in order.
+    With a table: explode (sentence, position, token), join the lemma table,
+    regroup per document in order. ``key`` identifies a document.
     """
     norm = lambda x: F.regexp_replace(F.lower(x), " ", "_")
     if lemmas is None:
         return df.withColumn(col, F.transform(col, lambda s: F.transform(s, norm)))
     # explode_outer keeps empty sentences and documents as null rows, so the
-    # regroup below needs no gap filling and no second join
-    flat = (df.select(key, F.posexplode_outer(col).alias("si", "s"))
-            .select(key, "si", F.posexplode_outer("s").alias("ti", "form")))
+    # regroup below needs no gap filling and no second read of the corpus
+    others = F.struct(F.lit(1).alias("_"), *[F.col(c) for c in df.columns if c not in (key, col)])
+    flat = (df.select(key, others.alias("row"), F.posexplode_outer(col).alias("si", "s"))
+            .select(key, F.when(F.coalesce("si", F.lit(0)) == 0, F.col("row")).alias("row"), "si", F.posexplode_outer("s").alias("ti", "form"))
+            .withColumn("row", F.when(F.coalesce("ti", F.lit(0)) == 0, F.col("row"))))
     lem = lemmas.select("form", F.col("lemma").alias("_lemma"))
     j = flat.join(bounded_broadcast(lem), "form", "left")
     j = j.withColumn("tok", norm(F.coalesce("_lemma", "form")))
@@ -88,12 +99,17 @@ def lemmatize(df: DataFrame, lemmas: DataFrame | None, col: str = "sents", key:
 
 
 def _regroup(df: DataFrame, flat: DataFrame, col: str, key: str) -> DataFrame:
-    """Rebuild ``array<array<string>>`` from <key, si, ti, tok> (null ti/si = empty)."""
-    per_sent = flat.groupBy(key, "si").agg(F.transform(F.array_sort(F.collect_list(
-        F.when(F.col("ti").isNotNull(), F.struct("ti", "tok")))), lambda x: x["tok"]).alias("s"))
-    per_doc = per_sent.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(
-        F.when(F.col("si").isNotNull(), F.struct("si", "s")))), lambda x: x["s"]).alias(col))
-    return df.drop(col).join(per_doc, key)
+    """Rebuild ``array<array<string>>`` from <key, si, ti, tok, row> (null ti/si =
+    empty); ``row``, on a document's first token only, holds its other columns."""
+    per_sent = flat.groupBy(key, "si").agg(
+        F.first("row", ignorenulls=True).alias("row"),
+        F.transform(F.array_sort(F.collect_list(
+            F.when(F.col("ti").isNotNull(), F.struct("ti", "tok")))), lambda x: x["tok"]).alias("s"))
+    per_doc = per_sent.groupBy(key).agg(
+        F.first("row", ignorenulls=True).alias("row"),
+        F.transform(F.array_sort(F.collect_list(
+            F.when(F.col("si").isNotNull(), F.struct("si", "s")))), lambda x: x["s"]).alias(col))
+    return per_doc.select(*[F.col(c) if c in (key, col) else F.col("row")[c].alias(c) for c in df.columns])
 
 
 def drop_terms(df: DataFrame, col: str = "sents", blacklist: list[str] | None = None) -> DataFrame:
@@ -115,8 +131,9 @@ def merge_docs(df: DataFrame, col: str = "sents", out: str = "doc", keep_empty:
 def join_ngrams(df: DataFrame, ngrams: DataFrame, col: str = "sents") -> DataFrame:
     """Replace known n-grams by ``a_b_c`` inside each sentence (Q5, fixed semantics).
 
-    Longest n-gram first, then leftmost; spans never overlap. ``ngrams`` is a
-    one-column frame ``ngram`` of space-separated phrases.
+    The n-gram of longest text first, then leftmost; spans never overlap.
+    ``ngrams`` is a one-column frame ``ngram`` of space-separated phrases. A
+    sentence is rebuilt from the stretches between its spans, each cut out once.
     """
     from topicspark.operators.match import select_spans, window_matches
     ng = ngrams.select(F.trim(F.col("ngram")).alias("ngram")).filter(F.col("ngram").contains(" ")).distinct()
@@ -124,15 +141,19 @@ def join_ngrams(df: DataFrame, ngrams: DataFrame, col: str = "sents") -> DataFra
     flat = df.select("doc_id", F.posexplode(col).alias("si", "toks"))
     matches = window_matches(flat, ng, keys=["doc_id", "si"], toks="toks")
     kept = select_spans(matches, keys=["doc_id", "si"])
-    j = flat.join(kept, ["doc_id", "si"], "left")
-    rebuilt = F.filter(
-        F.transform(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: F.when(
-            F.exists(F.coalesce("spans", F.array()), lambda k: k["start"] == i),
-            F.regexp_replace(F.get(F.filter("spans", lambda k: k["start"] == i), 0)["key"], " ", "_")).when(
-            F.exists(F.coalesce("spans", F.array()), lambda k: (i > k["start"]) & (i < k["end"])),
-            F.lit(None)).otherwise(F.get(F.col("toks"), i))),
-        lambda x: x.isNotNull())
-    per_sent = j.select("doc_id", "si", F.when(F.size("toks") > 0, rebuilt).otherwise(F.col("toks")).alias("s"))
+    none = F.array().cast("array<struct<start:int,end:int,key:string>>")
+    j = flat.join(kept, ["doc_id", "si"], "left").withColumn("spans", F.coalesce("spans", none))
+    # span i, then the tokens up to the next span; before the first there is an empty span at 0
+    edge = lambda at, key: F.struct(at.alias("start"), at.alias("end"), key.alias("key"))
+    j = j.withColumn("_at", F.concat(F.array(edge(F.lit(0), F.lit(None).cast("string"))), "spans",
+                                     F.array(edge(F.size("toks"), F.lit(None).cast("string")))))
+
+    def piece(i):
+        here, after = F.element_at("_at", i), F.element_at("_at", i + 1)
+        joined = F.when(here["key"].isNotNull(), F.array(F.regexp_replace(here["key"], " ", "_"))).otherwise(F.array().cast("array<string>"))
+        return F.concat(joined, F.slice("toks", here["end"] + 1, after["start"] - here["end"]))
+    rebuilt = F.flatten(F.transform(F.sequence(F.lit(1), F.size("spans") + 1), piece))
+    per_sent = j.select("doc_id", "si", F.when(F.size("spans") > 0, rebuilt).otherwise(F.col("toks")).alias("s"))
     per_doc = per_sent.groupBy("doc_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("si", "s"))), lambda x: x["s"]).alias("_s"))
     return df.drop(col).join(per_doc, "doc_id", "left").withColumnRenamed("_s", col)
@@ -142,10 +163,10 @@ def preprocess(df: DataFrame, text: str = "text", ngrams: DataFrame | None = Non
                lemmas: DataFrame | None = None, stopwords: list[str] | None = None,
                blacklist: list[str] | None = None, pattern: str = TOKEN_PATTERN,
                out: str = "sents") -> DataFrame:
-    """The whole pipeline: tokenize, filter, lemmatize, n-grams (optional), drop terms."""
+    """The whole pipeline: tokenize, filter surface forms, lemmatize, filter lemmas,
+    n-grams (optional), drop terms."""
     res = tokenize_sentences(df, text, out, pattern=pattern)
-    res = filter_tokens(res, out, stopwords)
-    res = lemmatize(res, lemmas, out)
+    res = filter_lemmas(lemmatize(filter_surface(res, out, stopwords), lemmas, out), out)
     if ngrams is not None:
         res = join_ngrams(res, ngrams, out)
     return drop_terms(res, out, blacklist)
@@ -153,7 +174,7 @@ def preprocess(df: DataFrame, text: str = "text", ngrams: DataFrame | None = Non
 
 def build_ngram_list(raw: DataFrame, col: str = "value", keep_empty: bool = False, **kw) -> DataFrame:
     """Preprocess raw n-grams into one clean phrase per row (Q6), longest first."""
-    base = raw.select(F.monotonically_increasing_id().alias("doc_id"), F.col(col).alias("text"))
+    base = ordered_index(raw.select(F.col(col).alias("text")), ["text"], "doc_id")
     pre = preprocess(base, **kw)
     merged = merge_docs(pre, keep_empty=keep_empty)
     return merged.select(F.col("doc").alias("ngram")).orderBy(F.length("ngram").desc(), "ngram")
@@ -168,11 +189,13 @@ def lemmatize_text(df: DataFrame, lemmas: DataFrame | None = None, text: str = "
     return tok.withColumn(out, F.array_join(F.flatten("_s"), " ")).drop("_s")
 
 
-def sort_keywords(themes: DataFrame, reverse: bool = True, pattern: str = TOKEN_PATTERN) -> DataFrame:
+def sort_keywords(themes: DataFrame, reverse: bool = True, pattern: str = TOKEN_PATTERN,
+                  lemmas: DataFrame | None = None) -> DataFrame:
     """Lemmatised keywords of each theme as an array sorted by length (longest first)."""
-    kw = themes.select("theme", F.array_join(F.filter(F.split(F.lower("keyword"), pattern),
-                                                      lambda x: x != ""), " ").alias("kw"))
-    g = kw.groupBy("theme").agg(F.collect_list("kw").alias("kws"))
+    toks = F.filter(F.split(F.lower("keyword"), pattern), lambda x: x != "")
+    words = themes.select("keyword").distinct().withColumn("_t", F.array(toks))
+    kw = lemmatize(words, lemmas, "_t", "keyword").select("keyword", F.array_join(F.flatten("_t"), " ").alias("kw"))
+    g = themes.select("theme", "keyword").join(kw, "keyword").groupBy("theme").agg(F.collect_list("kw").alias("kws"))
     sign = -1 if reverse else 1
 
     def cmp(a, b):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicspark.functions import bounded_broadcast, ordered_index, strip_label_code
-from topicspark.operators.labels import cosine_long, label_vectors, phrase_vectors
+from topicspark.operators.labels import label_vectors, phrase_vectors
+from topicspark.operators.vectors import dot, paired_in_blocks, unit_vectors
 from topicspark.session import ensure_checkpoint_dir
 
 # Label correction map applied after lowercasing (and remapping).
@@ -82,44 +83,47 @@ def whitelist_labels(thes: DataFrame, whitelist: DataFrame, col: str = "MT", ord
 
 
 def label_pairs_similarity(lvec: DataFrame) -> DataFrame:
-    """<l1, l2, similarity> for l1 < l2 (upper triangle of the label cosine matrix)."""
-    a = lvec.select(F.col("label").alias("l1"), "dim", "v")
-    b = lvec.select(F.col("label").alias("l2"), "dim", "v")
-    s = cosine_long(a, b, ["l1"], ["l2"])
-    return s.filter(F.col("l1") < F.col("l2")).withColumnRenamed("score", "similarity")
+    """<l1, l2, similarity> for l1 < l2 (upper triangle of the label cosine matrix).
+
+    Pairs of blocks of labels meet once (block i <= j) and the order of the
+    labels is tested inside, before any further shuffle.
+    """
+    v = unit_vectors(lvec, ["label"])
+    pairs = paired_in_blocks(v.select(F.col("label").alias("l1"), F.col("u").alias("u1")),
+                             v.select(F.col("label").alias("l2"), F.col("u").alias("u2")), F.col("l1") < F.col("l2"))
+    return pairs.select("l1", "l2", dot("u1", "u2").alias("similarity"))
 
 
 def similar_label_pairs(sim: DataFrame, threshold: float = 0.95) -> DataFrame:
     return sim.filter(F.col("similarity") >= threshold).select("l1", "l2")
 
 
-def merge_plan(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def merge_plan(pairs: DataFrame) -> DataFrame:
     """Connected components of the pair graph: <label, merged_into, group_size>.
 
-    Components by iterated min-label propagation (one join + aggregate per
-    round, lineage cut with checkpoint); the representative is the label that
-    occurs in most pairs, ties by label asc (Q22).
+    Each round takes the smallest component among a label's neighbours and then
+    jumps to that component's own one, so rounds grow with the logarithm of the
+    longest chain; they end when nothing changes. Lineage is cut by a checkpoint
+    per round. The representative is the label that occurs in most pairs, ties
+    by label asc (Q22).
     """
     spark = pairs.sparkSession
     ensure_checkpoint_dir(spark)
     edges = pairs.select(F.col("l1").alias("a"), F.col("l2").alias("b")).union(
         pairs.select(F.col("l2").alias("a"), F.col("l1").alias("b"))).distinct().checkpoint(eager=True)
-    comp = edges.select(F.col("a").alias("label")).distinct().withColumn("comp", F.col("label")).checkpoint(eager=True)
-    for _ in range(max_rounds):
-        nb = edges.join(comp.withColumnRenamed("label", "b"), "b").groupBy("a").agg(F.min("comp").alias("nmin"))
-        new = comp.join(nb.withColumnRenamed("a", "label"), "label", "left").select(
-            "label", F.least("comp", F.coalesce("nmin", "comp")).alias("comp")).checkpoint(eager=True)
-        changed = new.join(comp.withColumnRenamed("comp", "old"), "label").filter(F.col("comp") != F.col("old")) \
-            .limit(1).count()
-        comp = new
-        if changed == 0:
-            break
+    comp = edges.groupBy(F.col("a").alias("label")).agg(F.least("label", F.min("b")).alias("comp")).checkpoint(eager=True)
+    changed = True
+    while changed:
+        near = edges.join(comp.withColumnRenamed("label", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        least = comp.join(near.withColumnRenamed("a", "label"), "label").select("label", "comp", F.least("comp", "near").alias("next"))
+        jump = comp.select(F.col("label").alias("next"), F.col("comp").alias("jump"))
+        new = least.join(jump, "next").select("label", F.col("comp").alias("old"), F.least("next", "jump").alias("comp")).checkpoint(eager=True)
+        changed = not new.filter(F.col("comp") != F.col("old")).isEmpty()
+        comp = new.select("label", "comp")
     freq = pairs.select(F.explode(F.array("l1", "l2")).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("freq"))
     cf = comp.join(freq, "label")
-    w = Window.partitionBy("comp").orderBy(F.desc("freq"), F.asc("label"))
-    rep = cf.withColumn("r", F.row_number().over(w)).filter(F.col("r") == 1).select("comp", F.col("label").alias("merged_into"))
-    size = cf.groupBy("comp").agg(F.count(F.lit(1)).alias("group_size"))
-    return cf.join(rep, "comp").join(size, "comp").select("label", "merged_into", "group_size")
+    groups = cf.groupBy("comp").agg(F.min(F.struct((-F.col("freq")).alias("f"), "label")).alias("m"), F.count(F.lit(1)).alias("group_size"))
+    return cf.join(groups, "comp").select("label", F.col("m.label").alias("merged_into"), "group_size")
 
 
 def merge_groups(plan: DataFrame) -> DataFrame:
@@ -176,7 +180,8 @@ def merge_by_category(thes: DataFrame, col: str = "MT", names: list[str] | None
     nm = CATEGORY_NAMES if names is None else names
     labels = thes.select(F.col(col).alias("label")).distinct() \
         .withColumn("cat", F.regexp_extract("label", r"^(\d{2})", 1)).filter(F.col("cat") != "")
-    reps = labels.filter(F.col("label").isin(nm)).select("cat", F.col("label").alias("merged_into"))
+    # names are compared in lower case: labels may have been lowercased before
+    reps = labels.filter(F.lower("label").isin([x.lower() for x in nm])).select("cat", F.col("label").alias("merged_into"))
     keep = labels.filter(~F.col("cat").startswith(skip_prefix))
     return keep.join(reps, "cat").select(F.lit(0).alias("iteration"), "merged_into", "label")
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.functions import ln_or_neg_inf, strip_label_code
+from topicspark.functions import bounded_broadcast, ln_or_neg_inf, strip_label_code
 
 
 def doc_topic_mixtures(doc_topic: DataFrame, step: str = "step") -> DataFrame:
@@ -59,8 +59,7 @@ def top_words(topic_term: DataFrame, share: DataFrame | None = None, n: int = 10
     if weighted:
         if share is None:
             raise ValueError("weighted top words need the step shares")
-        # share has one row per (step, topic): bounded by the model size, not the corpus
-        j = topic_term.join(F.broadcast(share.select(step, "topic", "share")), [step, "topic"])
+        j = topic_term.join(bounded_broadcast(share.select(step, "topic", "share")), [step, "topic"])
         contrib = F.col("share") * F.col("prob")
     else:
         j = topic_term
@@ -111,14 +110,14 @@ def topic_share_long(share: DataFrame, labels: DataFrame | None = None, step: st
     """<step, topic, share, topic_name>: name = id, or label without code + "(id)"."""
     if labels is None:
         return share.select(step, "topic", "share", F.col("topic").cast("string").alias("topic_name"))
-    j = share.join(F.broadcast(top_label(labels)), "topic", "left")
+    j = share.join(bounded_broadcast(top_label(labels)), "topic", "left")
     name = F.concat(strip_label_code("top_label"), F.lit("("), F.col("topic").cast("string"), F.lit(")"))
     return j.select(step, "topic", "share", name.alias("topic_name"))
 
 
 def merge_topics_by_label(share: DataFrame, labels: DataFrame, step: str = "step") -> DataFrame:
     """Sum the share of topics with the same top-1 label per step."""
-    j = share.join(F.broadcast(top_label(labels)), "topic")
+    j = share.join(bounded_broadcast(top_label(labels)), "topic")
     return j.groupBy(step, strip_label_code("top_label").alias("topic_name")).agg(F.sum("share").alias("share"))
 
 
@@ -190,5 +189,6 @@ def words_over_time(topic_term: DataFrame, words: list[str], topic: int | None =
 
 
 def words_with_share(words_frame: DataFrame, share: DataFrame, step: str = "step") -> DataFrame:
-    """words_over_time plus the topic's share series as ``_prop``."""
-    return words_frame.join(share.select(step, "topic", F.col("share").alias("_prop")), [step, "topic"], "left")
+    """words_over_time plus ``_prop``: the topic's share in percent of its own total over the steps."""
+    series = topic_series_pct(topic_share_long(share, step=step), step)
+    return words_frame.join(series.select(step, "topic", F.col("pct").alias("_prop")), [step, "topic"], "left")

@@ -64,7 +64,7 @@ def q_strip_label_code(spark, sf_dir):
 _MERGE_CAT = f"""
 WITH {_NORM_NOREMAP},
 labs AS (SELECT DISTINCT MT AS label, regexp_extract(MT, '^(\\d{{2}})', 1) AS cat FROM nt),
-reps AS (SELECT cat, label AS merged_into FROM labs WHERE label IN ({", ".join(_q(x) for x in H.CATEGORY_NAMES)})),
+reps AS (SELECT cat, label AS merged_into FROM labs WHERE lower(label) IN ({", ".join(_q(x.lower()) for x in H.CATEGORY_NAMES)})),
 steps AS (SELECT 0 AS iteration, reps.merged_into, labs.label FROM labs JOIN reps USING (cat)
           WHERE labs.cat <> '' AND NOT starts_with(labs.cat, '66'))"""
 

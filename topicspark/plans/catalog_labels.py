@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from topicspark.functions import TOKEN_PATTERN
 from topicspark.operators import labels as L
 from topicspark.operators import topics as T
-from topicspark.plans import fixtures as fx
 from topicspark.plans.catalog import Ctx, register, rounded
 
 P = TOKEN_PATTERN.replace("'", "''")
@@ -55,13 +54,13 @@ def q_read_thesaurus(spark, sf_dir):
 
 
 @register("label_docs", f"""
-SELECT label, array_to_string(flatten(list(toks ORDER BY pos)), ' ') AS doc,
-       CAST(len(flatten(list(toks ORDER BY pos))) AS INTEGER) AS doc_len
-FROM (SELECT p_partkey AS pos, lower(p_type) AS label, {_tok_sql("p_name")} AS toks FROM part) GROUP BY label""")
+WITH d AS (SELECT label, flatten(list(toks ORDER BY pos)) AS toks
+           FROM (SELECT p_partkey AS pos, lower(p_type) AS label, {_tok_sql("p_name")} AS toks FROM part) GROUP BY label)
+SELECT label, unnest(range(len(toks))) AS g, unnest(toks) AS tok, len(toks) AS doc_len FROM d""")
 def q_label_docs(spark, sf_dir):
     thes = L.read_thesaurus(Ctx(spark, sf_dir).t("part"), "p_name", "p_type", "p_partkey")
-    d = L.label_docs(thes)
-    return d.select("label", F.array_join("toks", " ").alias("doc"), "doc_len")
+    tok, lens = L.label_docs(thes)
+    return tok.join(lens, "label").select("label", "g", "tok", "doc_len")
 
 
 @register("preprocess_thesaurus", rf"""
@@ -90,7 +89,7 @@ def q_term_label_tfidf(spark, sf_dir):
     return rounded(L.term_label_tfidf(tw.select("term").distinct(), c.thesaurus), "tfidf")
 
 
-@register("label_scores_tfidf", "WITH " + _TFIDF + "\nSELECT topic, label, round(score, 6) AS score FROM sc")
+@register("label_scores_tfidf", "WITH " + _TFIDF + "\nSELECT topic, label, round(score, 6) AS score FROM allp")
 def q_label_scores_tfidf(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return rounded(L.label_scores_tfidf(_tw(c), c.thesaurus), "score")
@@ -259,5 +258,3 @@ def q_merge_topics_by_label(spark, sf_dir):
     labels = L.label_model_topics(c.topic_term, c.share, c.thesaurus, score_type="tfidf")
     return rounded(T.merge_topics_by_label(c.share, labels), "share")
 
-
-_ = fx  # fixtures module used through Ctx

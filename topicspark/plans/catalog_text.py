@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from topicspark.functions import LETTER_SPLIT, TOKEN_PATTERN, ordered_index, year_month, year_of_date
+from topicspark.functions import LETTER_SPLIT, MATCH_PATTERN, TOKEN_PATTERN, ordered_index, year_month, year_of_date
 from topicspark.operators import match as M
 from topicspark.operators import steps as S
 from topicspark.operators import text as X
@@ -59,12 +59,13 @@ def q_bucket_present_months(spark, sf_dir):
     return S.bucket_present_months(o, "o_orderdate").select("o_orderkey", "step")
 
 
-@register("apply_step_map", _MONTH_SQL + """
-SELECT l.l_orderkey, l.l_linenumber, map.step
-FROM lineitem l JOIN map ON map.month = CAST(strftime(l.l_shipdate, '%Y%m') AS INTEGER)""")
+@register("apply_step_map", """
+WITH l AS (SELECT l_orderkey, l_linenumber, CAST(strftime(l_shipdate, '%Y%m') AS INTEGER) AS month FROM lineitem),
+map AS (SELECT month, CAST(floor((dense_rank() OVER (ORDER BY month) - 1) / 3) AS INTEGER) AS step FROM (SELECT DISTINCT month FROM l))
+SELECT l.l_orderkey, l.l_linenumber, map.step FROM l LEFT JOIN map USING (month)""")
 def q_apply_step_map(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    mapping = S.present_month_mapping(c.t("orders"), "o_orderdate", "mapped").withColumnRenamed("month", "step")
+    mapping = S.present_month_mapping(c.t("lineitem"), "l_shipdate", "mapped").withColumnRenamed("month", "step")
     li = c.t("lineitem").select("l_orderkey", "l_linenumber", year_month(F.col("l_shipdate")).alias("step"))
     return S.apply_step_map(li, mapping, "step", "mapped").select("l_orderkey", "l_linenumber", "step")
 
@@ -77,7 +78,9 @@ def q_step_range(spark, sf_dir):
     return S.step_range(o, 1996, 1999).select("o_orderkey", "step")
 
 
-@register("sample_docs")
+@register("sample_docs", f"""
+SELECT doc_id, lang, source, n_chars FROM documents
+ORDER BY md5('{S.SEED}:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100""")
 def q_sample_docs(spark, sf_dir):
     d = Ctx(spark, sf_dir).t("documents")
     return S.sample_docs(d, 100).select("doc_id", "lang", "source", "n_chars")
@@ -129,11 +132,13 @@ def plural_lemmas(spark, sf_dir):
     return forms.join(words.withColumnRenamed("w", "lemma"), "lemma", "left_semi")
 
 
-_LEMMA_SQL = rf""",
+_LEM_CTE = rf"""
 words AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), {_sqlq(TOKEN_PATTERN)}), lambda x: x <> '')) AS w
           FROM documents),
 lem AS (SELECT w AS form, substr(w, 1, length(w) - 1) AS lemma FROM words
-        WHERE suffix(w, 's') AND length(w) > 3 AND substr(w, 1, length(w) - 1) IN (SELECT w FROM words)),
+        WHERE suffix(w, 's') AND length(w) > 3 AND substr(w, 1, length(w) - 1) IN (SELECT w FROM words))"""
+
+_LEMMA_SQL = "," + _LEM_CTE + """,
 lt AS (SELECT doc_id, si, list(coalesce(lem.lemma, x.tok) ORDER BY x.ti) FILTER (WHERE x.tok IS NOT NULL) AS t
        FROM (SELECT doc_id, si, unnest(CASE WHEN len(t) = 0 THEN [NULL] ELSE t END) AS tok,
                     unnest(CASE WHEN len(t) = 0 THEN [0] ELSE range(len(t)) END) AS ti FROM ft) x
@@ -178,12 +183,19 @@ def q_merge_docs(spark, sf_dir):
     return X.merge_docs(d).select("doc_id", "doc")
 
 
-@register("preprocess", _FILT_SQL + _LEMMA_SQL + f""",
+# surface rules before the lemma, length and digit rules on the lemma
+_PRE_SQL = (_SENT_SQL + f""", ft AS (SELECT doc_id, si, list_filter(t, lambda x: NOT regexp_matches(x, '^\\p{{N}}+$')
+  AND x NOT IN ({_sql_list(X.NUMBER_WORDS)}) AND x NOT IN ({_sql_list(X.default_stopwords())})) AS t FROM toks)
+""" + _LEMMA_SQL + """, kt AS (SELECT doc_id, si, list_filter(coalesce(t, []), lambda x: NOT regexp_matches(x, '\\p{N}') AND length(x) > 1) AS t FROM lt)
+""")
+
+
+@register("preprocess", _PRE_SQL + f""",
 dt AS (SELECT doc_id, flatten(list(list_filter(t, lambda x: x <> '' AND x NOT IN ({_sql_list(_BLACKLIST)})) ORDER BY si)) AS t
-       FROM lt GROUP BY doc_id)
+       FROM kt GROUP BY doc_id)
 SELECT doc_id, array_to_string(t, ' ') AS doc FROM dt WHERE array_to_string(t, ' ') <> ''""")
 def q_preprocess(spark, sf_dir):
-    d = X.by_doc(Ctx(spark, sf_dir).t("documents"))
+    d = Ctx(spark, sf_dir).t("documents")
     p = X.preprocess(d, lemmas=plural_lemmas(spark, sf_dir), blacklist=_BLACKLIST)
     return X.merge_docs(p).select("doc_id", "doc")
 
@@ -219,12 +231,15 @@ def q_lemmatize_text(spark, sf_dir):
     return X.lemmatize_text(d, plural_lemmas(spark, sf_dir)).select("doc_id", "lemma_text")
 
 
-@register("sort_keywords", rf"""
-WITH kw AS (SELECT theme, array_to_string(list_filter(regexp_split_to_array(lower(keyword), {_sqlq(TOKEN_PATTERN)}),
-                                                      lambda x: x <> ''), ' ') AS kw FROM fx_themes)
-SELECT theme, string_agg(kw, '|' ORDER BY length(kw) DESC, kw) AS keywords FROM kw GROUP BY theme""")
+@register("sort_keywords", "WITH" + _LEM_CTE + rf""",
+kt AS (SELECT p_name, unnest(t) AS tok, unnest(range(len(t))) AS i
+       FROM (SELECT DISTINCT p_name, list_filter(regexp_split_to_array(lower(p_name), {_sqlq(TOKEN_PATTERN)}), lambda x: x <> '') AS t FROM part)),
+kl AS (SELECT p_name, string_agg(coalesce(lem.lemma, tok), ' ' ORDER BY i) AS kw FROM kt LEFT JOIN lem ON lem.form = tok GROUP BY p_name)
+SELECT p_type AS theme, string_agg(kw, '|' ORDER BY length(kw) DESC, kw) AS keywords FROM part JOIN kl USING (p_name) GROUP BY p_type""")
 def q_sort_keywords(spark, sf_dir):
-    s = X.sort_keywords(Ctx(spark, sf_dir).themes)
+    """Themes are the part types, their keywords the part names."""
+    themes = Ctx(spark, sf_dir).t("part").select(F.col("p_type").alias("theme"), F.col("p_name").alias("keyword"))
+    s = X.sort_keywords(themes, lemmas=plural_lemmas(spark, sf_dir))
     return s.select("theme", F.array_join("keywords", "|").alias("keywords"))
 
 
@@ -233,7 +248,7 @@ def q_join_ngrams(spark, sf_dir):
     """n-grams = the two-word part names, joined inside the preprocessed documents."""
     c = Ctx(spark, sf_dir)
     ng = X.build_ngram_list(c.t("part").select(F.col("p_name").alias("value"))).distinct()
-    d = X.filter_tokens(X.tokenize_sentences(X.by_doc(c.t("documents"))))
+    d = X.filter_tokens(X.tokenize_sentences(c.t("documents")))
     j = X.join_ngrams(d, ng)
     return X.merge_docs(j, keep_empty=True).select("doc_id", "doc")
 
@@ -324,18 +339,24 @@ def q_step_counts(spark, sf_dir):
 
 # ------------------------------------------------------------------ 2.6 matching
 
-_MATCH_SQL = r"""
-WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+'), lambda x: x <> '') AS toks
-              FROM documents),
-kw AS (SELECT DISTINCT theme, key FROM (
-         SELECT theme, array_to_string(list_filter(regexp_split_to_array(lower(keyword), '[^\p{L}]+'), lambda x: x <> ''), ' ') AS key
-         FROM fx_themes) WHERE key <> ''),
+_MT = _sqlq(MATCH_PATTERN)
+# tokens include punctuation; documents and keywords match by lemma, the surface text is the term
+_MATCH_SQL = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {_MT}) AS toks
+              FROM documents),""" + _LEM_CTE + rf""",
+dt AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM docs),
+dl AS (SELECT dt.doc_id, list(coalesce(lem.lemma, dt.tok) ORDER BY i) AS lems, list(dt.tok ORDER BY i) AS toks
+       FROM dt LEFT JOIN lem ON lem.form = dt.tok GROUP BY dt.doc_id),
+kt AS (SELECT keyword, unnest(t) AS tok, unnest(range(len(t))) AS i
+       FROM (SELECT DISTINCT keyword, regexp_extract_all(lower(keyword), {_MT}) AS t FROM fx_themes)),
+kl AS (SELECT keyword, string_agg(coalesce(lem.lemma, tok), ' ' ORDER BY i) AS key FROM kt LEFT JOIN lem ON lem.form = tok GROUP BY keyword),
+kw AS (SELECT DISTINCT theme, key FROM fx_themes JOIN kl USING (keyword)),
 kwl AS (SELECT DISTINCT len(string_split(key, ' ')) AS n FROM kw),
 win AS (SELECT d.doc_id, CAST(i AS INTEGER) AS s, CAST(i + kwl.n AS INTEGER) AS e,
-               array_to_string(d.toks[i + 1 : i + kwl.n], ' ') AS key
-        FROM docs d, kwl, unnest(range(0, len(d.toks) - kwl.n + 1)) AS r(i)),
-matches AS (SELECT win.doc_id, kw.theme, win.s, win.e, win.key FROM win JOIN kw USING (key)),
-ded AS (
+               array_to_string(d.lems[i + 1 : i + kwl.n], ' ') AS lkey, array_to_string(d.toks[i + 1 : i + kwl.n], ' ') AS key
+        FROM dl d, kwl, unnest(range(0, len(d.toks) - kwl.n + 1)) AS r(i)),
+matches AS (SELECT win.doc_id, kw.theme, win.s, win.e, win.key FROM win JOIN kw ON kw.key = win.lkey),
+""" + r"""ded AS (
   SELECT doc_id, theme, list_reduce(list({'s': s, 'e': e, 'k': key} ORDER BY s, e, key),
     lambda acc, m: {'kept': CASE WHEN acc.prev IS NULL OR m.s > acc.prev.e THEN list_append(acc.kept, m)
                                  WHEN m.s = acc.prev.s THEN list_append(acc.kept[1:len(acc.kept) - 1], m)
@@ -348,21 +369,18 @@ kept AS (SELECT doc_id, theme, k.s AS s, k.e AS e, k.k AS term FROM (SELECT doc_
 """
 
 
-def _docs_tokens(spark, sf_dir, table="documents"):
-    d = Ctx(spark, sf_dir).t(table) if table == "documents" else fx.fx_null_text(spark, sf_dir)
-    d = X.by_doc(d)
-    return d.select("doc_id", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), LETTER_SPLIT),
-                                       lambda x: x != "").alias("toks"))
+def _matches(spark, sf_dir):
+    docs = Ctx(spark, sf_dir).t("documents").select("doc_id", M.match_tokens("text").alias("toks"))
+    return M.phrase_match(docs, Ctx(spark, sf_dir).themes, "toks", lemmas=plural_lemmas(spark, sf_dir))
 
 
 def _kept(spark, sf_dir, mode="fold"):
-    m = M.phrase_match(_docs_tokens(spark, sf_dir), Ctx(spark, sf_dir).themes, "toks", pattern=LETTER_SPLIT)
-    return M.dedupe_matches(m, mode)
+    return M.dedupe_matches(_matches(spark, sf_dir), mode)
 
 
 @register("phrase_match", _MATCH_SQL + "SELECT doc_id, theme, s AS start, e AS \"end\", key AS term FROM matches")
 def q_phrase_match(spark, sf_dir):
-    return M.phrase_match(_docs_tokens(spark, sf_dir), Ctx(spark, sf_dir).themes, "toks", pattern=LETTER_SPLIT)
+    return _matches(spark, sf_dir)
 
 
 @register("dedupe_matches", _MATCH_SQL + "SELECT doc_id, theme, s AS start, e AS \"end\", term FROM kept")
@@ -382,8 +400,7 @@ red AS (
 SELECT doc_id, string_split(k.k, chr(1))[2] AS theme, k.s AS start, k.e AS "end", string_split(k.k, chr(1))[1] AS term
 FROM (SELECT doc_id, unnest(kept) AS k FROM red)""")
 def q_reduce_matches(spark, sf_dir):
-    m = M.phrase_match(_docs_tokens(spark, sf_dir), Ctx(spark, sf_dir).themes, "toks", pattern=LETTER_SPLIT)
-    return M.reduce_matches(m)
+    return M.reduce_matches(_matches(spark, sf_dir))
 
 
 @register("theme_counts", _MATCH_SQL + "SELECT doc_id, theme, count(*) AS cnt FROM kept GROUP BY doc_id, theme")
@@ -404,8 +421,8 @@ t AS (SELECT doc_id, string_agg(term || '=' || CAST(n AS VARCHAR), ',' ORDER BY
 SELECT d.doc_id, d.text IS NULL AS null_text, coalesce(c.counts, '') AS counts, coalesce(t.terms, '') AS terms
 FROM fx_null_text d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""")
 def q_measure_space(spark, sf_dir):
-    d = X.by_doc(fx.fx_null_text(spark, sf_dir))
-    ms = M.measure_space(d, Ctx(spark, sf_dir).themes, pattern=LETTER_SPLIT)
+    d = fx.fx_null_text(spark, sf_dir)
+    ms = M.measure_space(d, Ctx(spark, sf_dir).themes, lemmas=plural_lemmas(spark, sf_dir))
 
     def flat(m):
         return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(
@@ -418,6 +435,5 @@ def q_measure_space(spark, sf_dir):
 SELECT d.source, k.theme, count(*) AS cnt FROM kept k JOIN documents d USING (doc_id) GROUP BY d.source, k.theme""")
 def q_theme_trend(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    d = X.by_doc(c.t("documents"))
-    ms = M.measure_space(d, c.themes, pattern=LETTER_SPLIT)
+    ms = M.measure_space(c.t("documents"), c.themes, lemmas=plural_lemmas(spark, sf_dir))
     return M.theme_trend(ms, by="source")

@@ -180,8 +180,8 @@ def q_words_over_time(spark, sf_dir):
 @register("words_with_share", f"""
 WITH w AS (SELECT topic, step, {", ".join(f"first(prob) FILTER (WHERE word = '{w}') AS \"{w}\"" for w in _WORDS)}
            FROM fx_topic_term WHERE word IN ({", ".join(repr(w) for w in _WORDS)}) GROUP BY topic, step)
-SELECT w.topic, w.step, {", ".join(f'round(w."{x}", 6) AS "{x}"' for x in _WORDS)}, round(s.share, 6) AS _prop
-FROM w LEFT JOIN fx_share s ON s.topic = w.topic AND s.step = w.step""")
+SELECT w.topic, w.step, {", ".join(f'round(w."{x}", 6) AS "{x}"' for x in _WORDS)}, round(s.pct, 6) AS _prop
+FROM w LEFT JOIN (SELECT topic, step, 100 * share / sum(share) OVER (PARTITION BY topic) AS pct FROM fx_share) s ON s.topic = w.topic AND s.step = w.step""")
 def q_words_with_share(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     wf = T.words_over_time(c.topic_term, _WORDS)

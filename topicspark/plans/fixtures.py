@@ -34,9 +34,8 @@ def fx_tokens(corpus: DataFrame) -> DataFrame:
 
 
 def fx_vocab(tok: DataFrame, min_count: int = VOCAB_MIN_COUNT) -> DataFrame:
-    """English words with count > min_count; word_id by count desc, word asc."""
-    counts = (tok.filter(F.col("lang") == "en").groupBy("w")
-              .agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") > min_count))
+    """Words with count > min_count; word_id by count desc, word asc."""
+    counts = tok.groupBy("w").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") > min_count)
     ids = ordered_index(counts, [F.desc("cnt"), F.asc("w")], name="word_id")
     return ids.select("word_id", F.col("w").alias("word"), "cnt")
 
@@ -52,17 +51,9 @@ def fx_doc_topic(corpus: DataFrame) -> DataFrame:
     return d.select("doc_id", "step", "topic", w.alias("weight"))
 
 
-def _en_counts(tok: DataFrame, keys) -> DataFrame:
-    # aggregate before the vocabulary join: the join then sees one row per key
-    return (tok.filter(F.col("lang") == "en").select(*keys, "w")
-            .groupBy(*[k if isinstance(k, str) else k for k in keys], "w")
-            .agg(F.count(F.lit(1)).alias("c")))
-
-
 def fx_topic_term(tok: DataFrame, vocab: DataFrame) -> DataFrame:
     """Per (topic, step): prob of each vocabulary word = count / total."""
-    en = tok.filter(F.col("lang") == "en").select(topic_of_source().alias("topic"), "step", "w")
-    c = en.groupBy("topic", "step", "w").agg(F.count(F.lit(1)).alias("c"))
+    c = tok.select(topic_of_source().alias("topic"), "step", "w").groupBy("topic", "step", "w").agg(F.count(F.lit(1)).alias("c"))
     j = c.join(vocab.select("word_id", F.col("word").alias("w")), "w")
     tot = F.sum("c").over(Window.partitionBy("topic", "step"))
     return j.select("topic", "step", "word_id", F.col("w").alias("word"), (F.col("c") / tot).alias("prob"))
@@ -70,18 +61,20 @@ def fx_topic_term(tok: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def fx_model(tok: DataFrame, vocab: DataFrame, n_models: int = 2) -> DataFrame:
     """Static models: model = floor(doc_id / 20) % n_models, prob per (model, topic)."""
-    en = tok.filter(F.col("lang") == "en").select(
+    own = tok.select(
         (F.floor(F.col("doc_id") / 20) % n_models).cast("int").alias("model"), topic_of_source().alias("topic"), "w")
-    c = en.groupBy("model", "topic", "w").agg(F.count(F.lit(1)).alias("c"))
+    c = own.groupBy("model", "topic", "w").agg(F.count(F.lit(1)).alias("c"))
     j = c.join(vocab.select("word_id", F.col("word").alias("w")), "w")
     tot = F.sum("c").over(Window.partitionBy("model", "topic"))
     return j.select("model", "topic", "word_id", F.col("w").alias("word"), (F.col("c") / tot).alias("prob"))
 
 
 def fx_word_vec(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
-    """Vocabulary words joined to embeddings on word_id = vec_id."""
+    """A vector for every vocabulary word: word_id modulo the number of embeddings = vec_id."""
     e = table(spark, sf_dir, "embeddings")
-    return vocab.join(e, vocab.word_id == e.vec_id).select("word", F.col("embedding").alias("vec"))
+    n = e.select(F.count(F.lit(1))).scalar()
+    keyed = vocab.withColumn("_v", F.pmod("word_id", n))
+    return keyed.join(e, F.col("_v") == F.col("vec_id")).select("word", F.col("embedding").alias("vec"))
 
 
 def fx_vec_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

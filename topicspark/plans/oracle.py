@@ -30,7 +30,7 @@ fx_tokens AS (
         FROM fx_corpus)),
 fx_vocab AS (
   SELECT CAST(row_number() OVER (ORDER BY cnt DESC, w ASC) - 1 AS BIGINT) AS word_id, w AS word, cnt
-  FROM (SELECT w, count(*) AS cnt FROM fx_tokens WHERE lang = 'en' GROUP BY w HAVING count(*) > {VOCAB_MIN_COUNT})),
+  FROM (SELECT w, count(*) AS cnt FROM fx_tokens GROUP BY w HAVING count(*) > {VOCAB_MIN_COUNT})),
 fx_doc_topic AS (
   SELECT doc_id, step, CAST(t.topic AS INTEGER) AS topic,
          CAST((doc_id * 31 + t.topic * 17) % 97 + 1 AS DOUBLE) / 10.0 AS weight
@@ -38,16 +38,16 @@ fx_doc_topic AS (
 fx_topic_term AS (
   SELECT c.topic, c.step, v.word_id, v.word, c.c / sum(c.c) OVER (PARTITION BY c.topic, c.step) AS prob
   FROM (SELECT CAST(CAST(substr(source, 4) AS INTEGER) % {N_TOPICS} AS INTEGER) AS topic, step, w, count(*) AS c
-        FROM fx_tokens WHERE lang = 'en' GROUP BY ALL) c
+        FROM fx_tokens GROUP BY ALL) c
   JOIN fx_vocab v ON v.word = c.w),
 fx_model AS (
   SELECT c.model, c.topic, v.word_id, v.word, c.c / sum(c.c) OVER (PARTITION BY c.model, c.topic) AS prob
   FROM (SELECT CAST(floor(doc_id / 20) % 2 AS INTEGER) AS model,
                CAST(CAST(substr(source, 4) AS INTEGER) % {N_TOPICS} AS INTEGER) AS topic, w, count(*) AS c
-        FROM fx_tokens WHERE lang = 'en' GROUP BY ALL) c
+        FROM fx_tokens GROUP BY ALL) c
   JOIN fx_vocab v ON v.word = c.w),
 fx_word_vec AS (
-  SELECT v.word, e.embedding AS vec FROM fx_vocab v JOIN embeddings e ON v.word_id = e.vec_id),
+  SELECT v.word, e.embedding AS vec FROM fx_vocab v JOIN embeddings e ON v.word_id % (SELECT count(*) FROM embeddings) = e.vec_id),
 fx_vec_phrases AS (
   SELECT CAST(vec_id AS VARCHAR) AS phrase, 'L' || CAST(label AS VARCHAR) AS label, embedding AS vec FROM embeddings),
 fx_thesaurus AS (
@@ -65,7 +65,7 @@ fx_model3 AS (
   SELECT c.model, c.topic, v.word_id, v.word, c.c / sum(c.c) OVER (PARTITION BY c.model, c.topic) AS prob
   FROM (SELECT CAST(floor(doc_id / 20) % 3 AS INTEGER) AS model,
                CAST(CAST(substr(source, 4) AS INTEGER) % {N_TOPICS} AS INTEGER) AS topic, w, count(*) AS c
-        FROM fx_tokens WHERE lang = 'en' GROUP BY ALL) c
+        FROM fx_tokens GROUP BY ALL) c
   JOIN fx_vocab v ON v.word = c.w),
 fx_share AS (
   SELECT step, topic, w / sum(w) OVER (PARTITION BY step) AS share

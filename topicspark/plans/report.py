@@ -16,21 +16,21 @@ from topicspark.operators import vocab as V
 
 def build_dataset(corpus: DataFrame, text: str = "text", date_col: str = "date", date_fn=None,
                   min_freq: int = 150, min_tokens: int = 15, min_unique: int = 5, limit: int | None = None,
-                  shuffle: bool = True, step_map: DataFrame | None = None, preprocessed: bool = True,
-                  **pre_kw) -> dict[str, DataFrame]:
+                  shuffle: bool = True, steps: list | None = None, step_map: DataFrame | None = None,
+                  preprocessed: bool = True, **pre_kw) -> dict[str, DataFrame]:
     """Corpus -> dataset frames: <doc_id, step, doc_order, bow>, vocabulary, step counts.
 
-    drop null text -> date to step -> seeded order (and optional limit) ->
-    tokens (split on spaces when already preprocessed, else the text
-    pipeline) -> vocabulary -> per-doc counts -> document filter -> rows.
+    drop null text -> date to step -> keep the steps of ``steps`` (Q10) -> seeded
+    order (and optional limit) -> tokens (split on spaces when already
+    preprocessed, else the text pipeline) -> vocabulary -> per-doc counts ->
+    document filter -> step map, ``steps`` order (``step_rank``) -> rows.
     """
     from topicspark.functions import year_of_date
     df = S.drop_null_text(corpus, text)
     df = S.date_to_step(df, date_col, date_fn or year_of_date, "step")
-    if step_map is not None:
-        df = S.apply_step_map(df, step_map, "step", "mapped")
+    if steps is not None:
+        df = df.filter(F.col("step").isin(list(steps)))
     df = S.sample_docs(df, limit, shuffle=shuffle)
-    df = X.by_doc(df)
     if preprocessed:
         df = V.split_tokens(df, text, "tokens")
     else:
@@ -38,7 +38,13 @@ def build_dataset(corpus: DataFrame, text: str = "text", date_col: str = "date",
     tok = V.tokens_long(df, "tokens", keep=("doc_order",))
     voc = V.vocab(tok, min_freq)
     dtc = V.filter_docs(V.doc_term_counts(tok, voc), min_tokens, min_unique)
-    rows = V.bow_rows(dtc).join(df.select("doc_id", "step", "doc_order"), "doc_id")
+    docs = df.select("doc_id", "step", "doc_order")
+    if steps is not None:
+        place = F.array_position(F.array(*[F.lit(s) for s in steps]), F.col("step"))
+        docs = docs.withColumn("step_rank", place - 1)
+    rows = V.bow_rows(dtc).join(docs, "doc_id")
+    if step_map is not None:
+        rows = S.apply_step_map(rows, step_map, "step", "mapped")
     return {"bow": rows, "vocab": voc, "step_counts": V.step_counts(rows)}
 
 
@@ -69,18 +75,39 @@ def model_report(topic_term: DataFrame, share: DataFrame, thes: DataFrame, vecto
     return {"topics": topics, "topic_steps": steps}
 
 
+def grid_report(runs: DataFrame, load, thes: DataFrame, vectors: DataFrame | None = None, **kw) -> dict[str, DataFrame]:
+    """``model_report`` of every run of a grid (``discover_models``: one row for
+    each run) as one frame per part. ``load(run)`` returns <topic_term, share>."""
+    out: dict[str, DataFrame] = {}
+    for row in runs.orderBy("run").collect():
+        topic_term, share = load(row["run"])
+        for name, df in model_report(topic_term, share, thes, vectors, model=row["run"], **kw).items():
+            out[name] = df if name not in out else out[name].unionByName(df)
+    return out
+
+
 def compare_report(models: DataFrame, m1, m2, similar: float = 0.75, unique: float = 0.25,
-                   n_words: int = 10) -> dict[str, DataFrame]:
-    """Similar and unique topics of one model pair, plus the heatmap matrix."""
+                   n_words: int = 10, thes: DataFrame | None = None, lemmas: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Similar and unique topics of one model pair with their top words, and with
+    their best label where a thesaurus is given; the heatmap's axes bear the
+    labels' names then."""
     sim = C.topic_similarity(models, m1, m2)
+    best = None
+    if thes is not None:
+        both = models.filter(F.col("model").isin([m1, m2]))
+        best = L.label_static_topics(both, thes, top_n=1, n_words=n_words, keys=("model", "topic"), lemmas=lemmas)
 
     def words(m):
         tw = T.top_words_static(models.filter(F.col("model") == m), n=n_words, with_prob=False)
-        return tw.groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))),
-                                                                lambda x: x["word"]), " ").alias("words"))
+        out = tw.groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))),
+                                                               lambda x: x["word"]), " ").alias("words"))
+        return out if best is None else out.join(best.filter(F.col("model") == m).select("topic", "label"), "topic", "left")
     pair = f"{m1}_{m2}"
+    w1, w2 = words(m1), words(m2)
+    names = [None, None] if best is None else [C.topic_names(best.filter(F.col("model") == m)) for m in (m1, m2)]
+    own = w1.withColumn("side", F.lit(1)).unionByName(w2.withColumn("side", F.lit(2)))
     return {
-        "similar_topics": C.similar_topics(sim, words(m1), words(m2), similar).withColumn("pair", F.lit(pair)),
-        "unique_topics": C.unique_topics(sim, unique).withColumn("pair", F.lit(pair)),
-        "heatmap": C.similarity_matrix(sim).withColumn("pair", F.lit(pair)),
+        "similar_topics": C.similar_topics(sim, w1, w2, similar).withColumn("pair", F.lit(pair)),
+        "unique_topics": C.unique_topics(sim, unique).join(own, ["side", "topic"], "left").withColumn("pair", F.lit(pair)),
+        "heatmap": C.similarity_matrix(sim, *names).withColumn("pair", F.lit(pair)),
     }

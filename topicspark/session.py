@@ -25,6 +25,7 @@ def get_spark(master: str = "local[8]", app: str = "topicspark", shuffle_partiti
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go with their frames
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
@@ -37,8 +38,9 @@ def get_spark(master: str = "local[8]", app: str = "topicspark", shuffle_partiti
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests) a
-    fresh scratch folder is made and registered.
+    The cluster's setting always wins. Only a local session (tests) may go
+    without it: a fresh scratch folder is made and registered. On a cluster a
+    machine-local folder would not be seen by all, so the setting is required.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="topicspark-ckpt-", dir="/tmp")
         try:
             spark.conf.set("spark.checkpoint.dir", conf_dir)

@@ -32,141 +32,180 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return line_index(spark.read.text(path), "line")
 
 
+def parse_corpus(lines: DataFrame, schema: str, sep: str = ",") -> DataFrame:
+    """Corpus records, one CSV record per ``value`` (quoted newlines inside), as columns."""
+    rec = F.from_csv("value", schema, {"sep": sep, "escape": '"', "multiLine": "true"})
+    return lines.select(rec.alias("r")).select("r.*")
+
+
+def parse_whitelist(lines: DataFrame) -> DataFrame:
+    """Label list, stripped and lowercased: <label>."""
+    return lines.select(F.lower(F.trim("value")).alias("label")).filter(F.col("label") != "")
+
+
 def read_whitelist(spark: SparkSession, path: str) -> DataFrame:
-    """Label list, stripped and lowercased."""
-    t = spark.read.text(path)
-    return t.select(F.lower(F.trim("value")).alias("label")).filter(F.col("label") != "")
+    return parse_whitelist(spark.read.text(path))
 
 
-def read_ngrams(spark: SparkSession, path: str) -> DataFrame:
+def parse_ngrams(lines: DataFrame) -> DataFrame:
     """N-gram list, longest first (ties by text): <ngram>."""
-    t = spark.read.text(path).select(F.trim("value").alias("ngram")).filter(F.col("ngram") != "")
+    t = lines.select(F.trim("value").alias("ngram")).filter(F.col("ngram") != "")
     return t.orderBy(F.length("ngram").desc(), "ngram")
 
 
-def read_vocab(spark: SparkSession, path: str) -> DataFrame:
+def read_ngrams(spark: SparkSession, path: str) -> DataFrame:
+    return parse_ngrams(spark.read.text(path))
+
+
+def parse_vocab(lines: DataFrame) -> DataFrame:
     """``word\\tcount`` (or ``word`` only, static models, Q25); line = word_id."""
-    lines = read_lines(spark, path)
     parts = F.split(F.col("value"), "\t")
     return lines.select(F.col("line").alias("word_id"), F.trim(parts[0]).alias("word"),
                         F.get(parts, 1).try_cast("long").alias("cnt"))
 
 
-def read_doc_steps(spark: SparkSession, path: str) -> DataFrame:
+def read_vocab(spark: SparkSession, path: str) -> DataFrame:
+    return parse_vocab(read_lines(spark, path))
+
+
+def _filled(lines: DataFrame) -> DataFrame:
+    return lines.filter(F.trim("value") != "")
+
+
+def parse_doc_steps(lines: DataFrame) -> DataFrame:
     """Step of each document, by line: <doc_idx, step>."""
-    lines = read_lines(spark, path).filter(F.trim("value") != "")
-    return lines.select(F.col("line").alias("doc_idx"), F.trim("value").cast("int").alias("step"))
+    return _filled(lines).select(F.col("line").alias("doc_idx"), F.trim("value").cast("int").alias("step"))
 
 
-def read_step_counts(spark: SparkSession, path: str) -> DataFrame:
+def read_doc_steps(spark: SparkSession, path: str) -> DataFrame:
+    return parse_doc_steps(read_lines(spark, path))
+
+
+def parse_step_counts(lines: DataFrame) -> DataFrame:
     """Header (number of steps) then documents per step: <step_idx, n_docs>."""
-    lines = read_lines(spark, path).filter(F.trim("value") != "")
-    return lines.filter(F.col("line") > 0).select((F.col("line") - 1).cast("int").alias("step_idx"),
-                                                  F.trim("value").cast("long").alias("n_docs"))
+    return _filled(lines).filter(F.col("line") > 0).select((F.col("line") - 1).cast("int").alias("step_idx"),
+                                                           F.trim("value").cast("long").alias("n_docs"))
 
 
-def read_doc_topic(spark: SparkSession, path: str, n_topics: int) -> DataFrame:
+def read_step_counts(spark: SparkSession, path: str) -> DataFrame:
+    return parse_step_counts(read_lines(spark, path))
+
+
+def parse_doc_topic(lines: DataFrame, n_topics: int) -> DataFrame:
     """1-D gamma file (doc-major): line i -> doc i // K, topic i % K: <doc_idx, topic, weight>."""
-    lines = read_lines(spark, path).filter(F.trim("value") != "")
-    return lines.select(F.floor(F.col("line") / n_topics).cast("long").alias("doc_idx"),
-                        (F.col("line") % n_topics).cast("int").alias("topic"),
-                        F.trim("value").cast("double").alias("weight"))
+    return _filled(lines).select(F.floor(F.col("line") / n_topics).cast("long").alias("doc_idx"),
+                                 (F.col("line") % n_topics).cast("int").alias("topic"),
+                                 F.trim("value").cast("double").alias("weight"))
 
 
-def read_topic_term(spark: SparkSession, path_glob: str, n_steps: int,
-                    topic_pattern: str = r"topic-(\d+)-var-e-log-prob\.dat$") -> DataFrame:
-    """All topic files in one job. Topic id from the file name (Q18); line i ->
-    word i // T, step i % T; the value is a log prob: <topic, word_id, step_idx, prob>."""
-    lines = read_lines(spark, path_glob).filter(F.trim("value") != "")
+def read_doc_topic(spark: SparkSession, path: str, n_topics: int) -> DataFrame:
+    return parse_doc_topic(read_lines(spark, path), n_topics)
+
+
+TOPIC_FILE = r"topic-(\d+)-var-e-log-prob\.dat$"
+
+
+def parse_topic_term(lines: DataFrame, n_steps: int, topic_pattern: str = TOPIC_FILE) -> DataFrame:
+    """Topic id from the file name (Q18); line i -> word i // T, step i % T; the
+    value is a log prob: <topic, word_id, step_idx, prob>."""
     topic = F.regexp_extract("file_path", topic_pattern, 1).cast("int")
-    return lines.select(topic.alias("topic"), F.floor(F.col("line") / n_steps).cast("long").alias("word_id"),
-                        (F.col("line") % n_steps).cast("int").alias("step_idx"),
-                        F.exp(F.trim("value").cast("double")).alias("prob"))
+    return _filled(lines).select(topic.alias("topic"), F.floor(F.col("line") / n_steps).cast("long").alias("word_id"),
+                                 (F.col("line") % n_steps).cast("int").alias("step_idx"),
+                                 F.exp(F.trim("value").cast("double")).alias("prob"))
+
 
+def read_topic_term(spark: SparkSession, path_glob: str, n_steps: int, topic_pattern: str = TOPIC_FILE) -> DataFrame:
+    """All topic files in one job."""
+    return parse_topic_term(read_lines(spark, path_glob), n_steps, topic_pattern)
 
-def _npy_header(path: str):
-    """Shape, dtype and data offset of a ``.npy`` file (reads the header bytes only)."""
-    import numpy as np
-    with open(path, "rb") as fh:
-        major, _ = np.lib.format.read_magic(fh)
-        if major == 1:
-            shape, fortran, dtype = np.lib.format.read_array_header_1_0(fh)
-        else:
-            shape, fortran, dtype = np.lib.format.read_array_header_2_0(fh)
-        return shape, fortran, dtype
+
+#: Cells of a matrix that are turned into rows at a time.
+NPY_CELLS = 1 << 20
 
 
 def read_npy(spark: SparkSession, path: str, row: str = "row", col: str = "col", value: str = "value",
-             rows_per_task: int = 50_000) -> DataFrame:
-    """2-D ``.npy`` matrices (static beta / theta) as long rows <row, col, value>.
+             file: str = "file") -> DataFrame:
+    """2-D ``.npy`` matrices (static beta / theta) as long rows <file, row, col, value>.
 
-    Only the header is read on the driver. The row range is split into chunks
-    of ``rows_per_task``; each task memory-maps the file and emits its own rows
-    (``mapInPandas``), so no task holds more than one chunk. ``path`` must be
-    readable from the executors (shared file system).
+    ``path`` is a file or glob on any file system that Spark reads. A task
+    decodes whole files (Spark's limit for one is 2 GB) and hands out at most
+    ``NPY_CELLS`` cells at a time, however wide the matrix is.
     """
-    import glob as _glob
-    files = sorted(_glob.glob(path)) or [path]
-    parts = []
-    for f in files:
-        shape, _, _ = _npy_header(f)
-        n = shape[0] if len(shape) == 2 else 1
-        parts.extend((f, lo, min(n, lo + rows_per_task)) for lo in range(0, n, rows_per_task))
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return parse_npy(files, row, col, value, file)
+
 
+def parse_npy(files: DataFrame, row: str = "row", col: str = "col", value: str = "value", file: str = "file") -> DataFrame:
+    """Cells of the matrices in ``files`` <path, content>."""
     def decode(batches):
+        import io
+
         import numpy as np
         import pandas as pd
         for pdf in batches:
-            for f, lo, hi in zip(pdf["file"], pdf["lo"], pdf["hi"]):
-                arr = np.load(f, mmap_mode="r", allow_pickle=False)
-                if arr.ndim == 1:
-                    arr = arr.reshape(1, -1)
-                block = np.asarray(arr[lo:hi], dtype="float64")
-                k = block.shape[1]
-                yield pd.DataFrame({row: np.repeat(np.arange(lo, hi, dtype="int64"), k),
-                                    col: np.tile(np.arange(k, dtype="int32"), hi - lo),
-                                    value: block.reshape(-1)})
-    chunks = spark.createDataFrame(parts, "file string, lo long, hi long")
-    chunks = chunks.repartition(max(1, min(len(parts), spark.sparkContext.defaultParallelism * 4)))
-    return chunks.mapInPandas(decode, f"{row} long, {col} int, {value} double")
+            for name, content in zip(pdf["path"], pdf["content"]):
+                arr = np.load(io.BytesIO(content), allow_pickle=False)
+                arr = arr.reshape(1, -1) if arr.ndim == 1 else arr
+                width = min(arr.shape[1], NPY_CELLS) or 1
+                height = max(1, NPY_CELLS // width)
+                for lo in range(0, arr.shape[0], height):
+                    for c in range(0, arr.shape[1], width):
+                        block = np.asarray(arr[lo:lo + height, c:c + width], dtype="float64")
+                        n, k = block.shape
+                        yield pd.DataFrame({file: name, row: np.repeat(np.arange(lo, lo + n, dtype="int64"), k),
+                                            col: np.tile(np.arange(c, c + k, dtype="int32"), n), value: block.reshape(-1)})
+    return files.select("path", "content").mapInPandas(decode, f"{file} string, {row} long, {col} int, {value} double")
 
 
 def read_bow(spark: SparkSession, mult_path: str, vocab: DataFrame) -> DataFrame:
-    """Sparse dataset back to words, each repeated count times: <doc_idx, tokens>."""
-    lines = read_lines(spark, mult_path).filter(F.trim("value") != "")
+    return parse_bow(read_lines(spark, mult_path), vocab)
+
+
+def parse_bow(lines: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Sparse dataset back to words, each repeated count times: <doc_idx, tokens>.
+    A word id that the vocabulary lacks fails the query and is named in the error."""
+    lines = _filled(lines)
     pairs = lines.select(F.col("line").alias("doc_idx"),
                          F.posexplode(F.slice(F.split(F.trim("value"), " "), 2, 1 << 30)).alias("k", "pair"))
     ic = pairs.select("doc_idx", "k", F.split("pair", ":")[0].cast("long").alias("word_id"),
                       F.split("pair", ":")[1].cast("int").alias("count"))
-    j = ic.join(vocab.select("word_id", "word"), "word_id")
+    unknown = F.raise_error(F.concat(F.lit("word id not in the vocabulary: "), F.coalesce(F.col("word_id").cast("string"), F.lit("null"))))
+    j = ic.join(vocab.select("word_id", "word"), "word_id", "left").withColumn(
+        "word", F.when(F.col("word").isNotNull(), F.col("word")).otherwise(unknown.cast("string")))
     return j.groupBy("doc_idx").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "word", "count"))),
                                                           lambda x: F.array_repeat(x["word"], x["count"]))).alias("tokens"))
 
 
+def parse_word_vectors(lines: DataFrame) -> DataFrame:
+    """``word v1 v2 ...`` lines: <word, vec>."""
+    parts = F.split(F.trim("value"), " ")
+    return _filled(lines).select(parts[0].alias("word"), F.slice(parts, 2, 1 << 20).cast("array<float>").alias("vec"))
+
+
 def read_word_vectors(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:
-    """Word vectors: GloVe-style text ``word v1 v2 ...`` or parquet <word, vec>."""
+    """Word vectors: GloVe-style text or parquet <word, vec>."""
     if fmt == "parquet":
         return spark.read.parquet(path).select("word", F.col("vec").cast("array<float>").alias("vec"))
-    parts = F.split(F.trim("value"), " ")
-    t = spark.read.text(path).filter(F.trim("value") != "")
-    return t.select(parts[0].alias("word"), F.slice(parts, 2, 1 << 20).cast("array<float>").alias("vec"))
+    return parse_word_vectors(spark.read.text(path))
 
 
 MODEL_DIR = r"k(\d+)_a(\d+\.\d+)_var(\d+\.\d+)"
 
 
-def discover_models(spark: SparkSession, root: str, ks=None, alphas=None, variances=None) -> DataFrame:
-    """Run directories named ``k<K>_a<alpha>_var<var>`` below ``root`` (file
-    listing only, contents not read), filtered by the whitelisted parameters."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    d = files.select(F.regexp_extract("path", r"/(" + MODEL_DIR + r")/", 1).alias("run")).filter(F.col("run") != "")
+def parse_run_dirs(paths: DataFrame, ks=None, alphas=None, variances=None) -> DataFrame:
+    """Runs among ``paths`` <path>, filtered by the whitelisted parameters: <run, k, alpha, var>."""
+    d = paths.select(F.regexp_extract("path", r"/(" + MODEL_DIR + r")/", 1).alias("run")).filter(F.col("run") != "")
     d = d.distinct().select("run", F.regexp_extract("run", MODEL_DIR, 1).cast("int").alias("k"),
                             F.regexp_extract("run", MODEL_DIR, 2).cast("double").alias("alpha"),
                             F.regexp_extract("run", MODEL_DIR, 3).cast("double").alias("var"))
-    if ks is not None:
-        d = d.filter(F.col("k").isin(list(ks)))
-    if alphas is not None:
-        d = d.filter(F.col("alpha").isin(list(alphas)))
-    if variances is not None:
-        d = d.filter(F.col("var").isin(list(variances)))
+    for column, wanted in (("k", ks), ("alpha", alphas), ("var", variances)):
+        if wanted is not None:
+            d = d.filter(F.col(column).isin(list(wanted)))
     return d
+
+
+def discover_models(spark: SparkSession, root: str, ks=None, alphas=None, variances=None) -> DataFrame:
+    """Run directories named ``k<K>_a<alpha>_var<var>`` below ``root`` (file
+    listing only, contents not read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    return parse_run_dirs(files, ks, alphas, variances)

@@ -3,7 +3,7 @@
 Ordered text outputs are written from a range-sorted frame: part files are
 named in partition order, so concatenating ``part-*`` gives the single file
 the external tools expect, without funnelling the data through one task.
-Only outputs bounded by the model size (vocabulary, step counts, step map)
+Only outputs bounded by the number of time units (step counts, step map)
 are written as one file.
 """
 
@@ -12,13 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicspark.functions import ordered_index
 from topicspark.session import ensure_checkpoint_dir
 
 
+def format_vocab(voc: DataFrame) -> DataFrame:
+    """<word_id, value>: ``word\\tcount`` lines."""
+    return voc.select("word_id", F.concat_ws("\t", "word", F.col("cnt").cast("string")).alias("value"))
+
+
 def write_vocab(voc: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """``word\\tcount`` lines in word_id order (one file: bounded by min_freq)."""
-    out = voc.orderBy("word_id").select(F.concat_ws("\t", "word", F.col("cnt").cast("string")).alias("value"))
-    out.coalesce(1).write.mode(mode).text(path)
+    """Vocabulary lines in word_id order, range-sorted over the part files."""
+    format_vocab(voc).orderBy("word_id").select("value").write.mode(mode).text(path)
+
+
+def format_dataset(bow: DataFrame, step: str = "step", order: str = "doc_order") -> DataFrame:
+    """<idx, mult, year>: the aligned lines of the dataset files, ``idx`` giving their place."""
+    idx = ordered_index(bow.select(step, order, "bow"), [F.col(step), F.col(order)], "idx")
+    return idx.select("idx", F.col("bow").alias("mult"), F.col(step).cast("string").alias("year"))
 
 
 def write_dataset(bow: DataFrame, root: str, step: str = "step", order: str = "doc_order",
@@ -47,8 +58,13 @@ def write_dataset(bow: DataFrame, root: str, step: str = "step", order: str = "d
 def write_step_map(mapping: DataFrame, path: str, key: str = "step", value: str = "mapped",
                    mode: str = "overwrite") -> None:
     """The step mapping as one JSON object (bounded by the number of time units)."""
-    js = mapping.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), value)))).alias("value"))
-    js.coalesce(1).write.mode(mode).text(path)
+    format_step_map(mapping, key, value).coalesce(1).write.mode(mode).text(path)
+
+
+def format_step_map(mapping: DataFrame, key: str = "step", value: str = "mapped") -> DataFrame:
+    """One row <value>: the mapping as JSON in order of its keys."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))
+    return mapping.agg(F.to_json(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["k"].cast("string"), e["v"])))).alias("value"))
 
 
 def doc_topics_wide(doc_topic: DataFrame, n_topics: int, step: str = "step") -> DataFrame:
@@ -73,23 +89,39 @@ def write_theme_counts(measured: DataFrame, path: str, fmt: str = "parquet", pre
     if fmt == "parquet":
         measured.write.mode(mode).parquet(path)
         return
-    out = measured.withColumn(prefix + "counts", F.to_json(prefix + "counts")) \
-        .withColumn(prefix + "terms", F.to_json(prefix + "terms"))
+    out = format_theme_counts(measured, prefix)
     out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def format_theme_counts(measured: DataFrame, prefix: str = "theme_") -> DataFrame:
+    """The two maps as JSON text, names in order."""
+    def js(c):
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
+    return measured.withColumn(prefix + "counts", js(prefix + "counts")).withColumn(prefix + "terms", js(prefix + "terms"))
+
+
 def read_theme_counts(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
 def write_ngrams(ngrams: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One clean phrase per line (Q6), longest first."""
-    ngrams.orderBy(F.length("ngram").desc(), "ngram").select(F.col("ngram").alias("value")).write.mode(mode).text(path)
+    format_ngrams(ngrams).orderBy("place", "value").select("value").write.mode(mode).text(path)
+
+
+def format_ngrams(ngrams: DataFrame) -> DataFrame:
+    """<place, value>: lines in order of ``place`` (minus the length), then text."""
+    return ngrams.select((-F.length("ngram")).alias("place"), F.col("ngram").alias("value"))
 
 
 def write_merge_steps(steps: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Merge steps <iteration, merged_into, label> as JSON lines."""
-    steps.orderBy("iteration", "merged_into", "label").write.mode(mode).json(path)
+    format_merge_steps(steps).orderBy("iteration", "value").select("value").write.mode(mode).text(path)
+
+
+def format_merge_steps(steps: DataFrame) -> DataFrame:
+    """<iteration, value>: one JSON object per step."""
+    return steps.select("iteration", F.to_json(F.struct("iteration", "merged_into", "label")).alias("value"))
 
 
 def write_report(frames: dict[str, DataFrame], root: str, partition: str | None = "model",

@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.functions import TOKEN_PATTERN
+from topicspark.functions import MATCH_PATTERN
 from topicspark.operators.match import measure_space
 
 
 def stream_theme_counts(stream: DataFrame, themes: DataFrame, out_path: str, checkpoint: str,
-                        text: str = "text", key: str = "doc_id", pattern: str = TOKEN_PATTERN,
+                        text: str = "text", key: str = "doc_id", pattern: str = MATCH_PATTERN,
                         trigger_once: bool = True):
     """Start a streaming query writing <key, theme_counts, theme_terms, batch_id> as parquet."""
     themes = themes.cache()
