@@ -4,8 +4,8 @@
    permutations: 80 values for 40 hash evaluations, cut into 20 bands of 4. A
    pair of similarity 0.8 shares no band with a probability of 3 in 100,000.
 2. Equal sets become one class. Classes that share a band's key are candidates.
-3. Candidates meet with their full sets: a connected group of candidates in
-   one block where it fits, else every bucket on its own. Groups are split into
+3. Candidates meet with their full sets: those that share buckets with the same
+   first member in one block where they fit, else every bucket on its own. Groups are split into
    blocks of bounded members and shingles; within a block all intersections are
    counted, and only a spanning forest of the confirmed links leaves it.
 4. What the blocks of a group leave in different components is compared across
@@ -159,19 +159,30 @@ def _blocks_of(members, shingles):
 
 def _groups(classes: DataFrame) -> DataFrame:
     """<whole, id, rep, n_shingles, block, blocks>: every class in each group
-    in which it meets others."""
+    in which it meets others.
+
+    A class's home is the smallest first member of its buckets, followed twice
+    more to that one's home. Classes of one home are a group that meets as a
+    whole where it fits a block. A bucket whose members have several homes, or
+    one that doesn't fit, meets on its own: so all that share a bucket meet.
+    """
     banded = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
     hubs = written(banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"), "buckets")
     met = written(banded.join(hubs, "key"), "banded")
-    near = components(met.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).withColumnsRenamed({"id": "rep", "component": "group"})
-    members = written(met.select("rep", "n_shingles").distinct().join(near, "rep"), "members")
+    homes = written(met.groupBy("rep", "n_shingles").agg(F.min("hub").alias("home")), "homes")
+    for _ in range(2):
+        far = homes.select(F.col("rep").alias("_at"), F.col("home").alias("_next"))
+        homes = written(homes.join(far, F.col("home") == F.col("_at")).select("rep", "n_shingles", F.col("_next").alias("home")), "homes")
     sums = [F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")]
-    groups = members.groupBy("group").agg(*sums).select("group", (_blocks_of(F.col("members"), F.col("shingles")) <= 1).alias("whole"))
-    members = written(members.join(written(groups, "groups"), "group"), "placed")
-    one = members.where("whole").select(F.lit(True).alias("whole"), F.col("group").alias("id"), "rep", "n_shingles", F.lit(0).alias("block"), F.lit(1).alias("blocks"))
-    large = met.join(members.where("not whole").select("rep"), "rep").select(F.col("key").alias("id"), "rep", "n_shingles")
-    counts = written(large.groupBy("id").agg(*sums).select("id", _blocks_of(F.col("members"), F.col("shingles")).alias("blocks")), "bucket_blocks")
-    many = large.join(counts, "id").select(F.lit(False).alias("whole"), "id", "rep", "n_shingles", F.pmod(F.xxhash64("rep", "id"), "blocks").cast("int").alias("block"), "blocks")
+    fits = written(homes.groupBy("home").agg(*sums).select("home", (_blocks_of(F.col("members"), F.col("shingles")) <= 1).alias("whole")), "homes_size")
+    homes = written(homes.join(fits, "home"), "homes_placed")
+    placed = written(met.select("key", "rep", "n_shingles").join(homes.select("rep", "home", "whole"), "rep"), "placed")
+    buckets = placed.groupBy("key").agg(F.min("home").alias("h1"), F.max("home").alias("h2"), F.min("whole").alias("whole"), *sums)
+    buckets = written(buckets.where("h1 <> h2 or not whole").select("key", _blocks_of(F.col("members"), F.col("shingles")).alias("blocks")), "own_buckets")
+    one = homes.where("whole").select(F.lit(True).alias("whole"), F.col("home").alias("id"), "rep", "n_shingles", F.lit(0).alias("block"), F.lit(1).alias("blocks"))
+    many = placed.select("key", "rep", "n_shingles").join(buckets, "key").select(
+        F.lit(False).alias("whole"), F.col("key").alias("id"), "rep", "n_shingles",
+        F.pmod(F.xxhash64("rep", "key"), "blocks").cast("int").alias("block"), "blocks")
     return written(one.unionByName(many), "met")
 
 
@@ -210,15 +221,18 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     good = signed.where("set_key is not null and doc_id is not null")
     classes = written(good.groupBy("set_key", "n_shingles", "keys").agg(F.min("doc_id").alias("rep")), "classes")
     groups = _groups(classes)
-    needed = groups.select(F.col("rep").alias("_rep")).distinct()
+    # texts are dealt by doc_id at every size: the list of classes that need theirs grows with the corpus
+    needed = groups.select(F.col("rep").alias("_rep")).distinct().hint("merge")
     wanted = texts.join(needed, F.col("doc_id") == F.col("_rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep", "text"])
     sets = written(wanted.mapInArrow(_sets, "rep bigint, found binary"), "sets")
 
     inside = _compared(groups.select("whole", "id", "block", "rep", F.lit(False).alias("asks")), sets, ["whole", "id", "block"], percent)
-    comps = written(components(inside), "components")
+    found = inside
     if not groups.where("blocks > 1").isEmpty():
-        across = _across(groups, comps, sets, percent)
-        comps = components(across.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        # one round tells most of what already belongs together
+        some = written(components(inside, rounds=1), "some_components")
+        found = inside.unionByName(_across(groups, some, sets, percent)).unionByName(some.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    comps = components(found)
     result = written(classes.select("set_key", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
                      .select("set_key", F.coalesce("component", "rep").alias("component_id")), "result")
     out = good.join(result, "set_key").select("doc_id", "n_shingles", "component_id").unionByName(
