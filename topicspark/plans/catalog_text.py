@@ -243,7 +243,26 @@ def q_sort_keywords(spark, sf_dir):
     return s.select("theme", F.array_join("keywords", "|").alias("keywords"))
 
 
-@register("join_ngrams")
+@register("join_ngrams", _FILT_SQL + rf""",
+ps AS (SELECT list_filter(regexp_split_to_array(regexp_replace(p_name, {_sqlq(X.URL_PATTERN)}, ' ', 'g'), {_sqlq(X.SENTENCE_SPLIT)}), lambda x: trim(x) <> '') AS ss FROM part),
+ng AS (SELECT DISTINCT key FROM (SELECT array_to_string(flatten(list_transform(ss, lambda y: list_filter(
+         list_filter(regexp_split_to_array(lower(y), {_sqlq(TOKEN_PATTERN)}), lambda x: x <> ''), lambda x: {_KEEP_SQL}))), ' ') AS key FROM ps)
+       WHERE contains(key, ' ')),
+nl AS (SELECT DISTINCT len(string_split(key, ' ')) AS n FROM ng),
+win AS (SELECT doc_id, si, CAST(i AS INTEGER) AS s, CAST(i + nl.n AS INTEGER) AS e, array_to_string(t[i + 1 : i + nl.n], ' ') AS key
+        FROM ft, nl, unnest(range(0, len(t) - nl.n + 1)) AS r(i)),
+-- the longest text first, then leftmost; a span that meets one already taken is passed over
+taken AS (
+  SELECT doc_id, si, list_reduce(list({{'s': s, 'e': e, 'k': key}} ORDER BY length(key) DESC, s, e),
+    lambda acc, m: CASE WHEN len(list_filter(acc, lambda k: m.s < k.e AND k.s < m.e)) = 0 THEN list_append(acc, m) ELSE acc END,
+    []::STRUCT(s INTEGER, e INTEGER, k VARCHAR)[]) AS spans
+  FROM win JOIN ng USING (key) GROUP BY doc_id, si),
+sp AS (SELECT doc_id, si, k.s AS s, k.e AS e, k.k AS key FROM (SELECT doc_id, si, unnest(spans) AS k FROM taken)),
+tk AS (SELECT doc_id, si, unnest(t) AS tok, unnest(range(len(t))) AS i FROM ft),
+w AS (SELECT tk.doc_id, tk.si, tk.i, CASE WHEN sp.s IS NULL THEN tk.tok WHEN sp.s = tk.i THEN replace(sp.key, ' ', '_') END AS w
+      FROM tk LEFT JOIN sp ON sp.doc_id = tk.doc_id AND sp.si = tk.si AND tk.i >= sp.s AND tk.i < sp.e)
+SELECT d.doc_id, coalesce(string_agg(w.w, ' ' ORDER BY w.si, w.i) FILTER (w.w IS NOT NULL), '') AS doc
+FROM documents d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id""")
 def q_join_ngrams(spark, sf_dir):
     """n-grams = the two-word part names, joined inside the preprocessed documents."""
     c = Ctx(spark, sf_dir)

@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from topicspark.functions import line_index
 
 
-def read_corpus(spark: SparkSession, path: str, fmt: str | None = None, schema=None) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, fmt: str | None = None, schema=None, multiline: bool = True) -> DataFrame:
     """Corpus by extension: ``.tsv`` (tab), ``.parquet`` (the pickle stand-in), else CSV.
 
-    CSV text fields may hold quoted newlines (``multiLine``, ``escape='"'``).
+    CSV text fields may hold quoted newlines; such a file is one task. Pass
+    ``multiline=False`` where they don't, and large files are split. Pass a
+    ``schema`` to spare the pass that infers one.
     """
     fmt = fmt or ("tsv" if path.endswith(".tsv") else "parquet" if path.endswith(".parquet") else "csv")
     if fmt == "parquet":
         return spark.read.parquet(path)
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    r = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
     r = r.option("sep", "\t" if fmt == "tsv" else ",")
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     return r.csv(path)

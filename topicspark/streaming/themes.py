@@ -20,8 +20,6 @@ def stream_theme_counts(stream: DataFrame, themes: DataFrame, out_path: str, che
                         text: str = "text", key: str = "doc_id", pattern: str = MATCH_PATTERN,
                         trigger_once: bool = True):
     """Start a streaming query writing <key, theme_counts, theme_terms, batch_id> as parquet."""
-    themes = themes.cache()
-
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         out = measure_space(batch.select(key, text), themes, text, key, pattern=pattern)
         # overwrite this batch's own partition: a replayed batch replaces itself
