@@ -54,7 +54,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("text_hash", F.xxhash64("text"))
     keys = written(line_keys(base, min_chars), "lines")
-    lost = (keys.join(repeated_keys(keys, min_docs), ["h1", "h2"])
+    # written, so that the join below has plain exchanges on both sides and a very common line can be split
+    repeated = written(repeated_keys(keys, min_docs), "repeated")
+    lost = (keys.join(repeated, ["h1", "h2"])
             .where(F.col("doc_id") > F.col("first_id"))
             .groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("gone")))
     both = (base.join(lost, ["doc_id", "text_hash"], "left")
