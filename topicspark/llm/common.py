@@ -100,6 +100,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def row_slices(batches, rows: int = 256):
+    """The batches in slices of ``rows``, so that arrays over a slice's bytes stay
+    small; at the task's end Arrow's unused memory goes back to the system, as
+    the worker lives on."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def at_starts(n: int, offsets: np.ndarray) -> np.ndarray:
     """Flags of the positions 0..n-1 where a non-empty row begins."""
     first = np.zeros(n, bool)

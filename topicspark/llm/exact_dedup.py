@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import SPACE, at_starts, fresh, same, small_batches, utf8, written
+from topicspark.llm.common import SPACE, at_starts, fresh, row_slices, same, small_batches, utf8, written
 
 #: A cut falls on one position of 2**CUT_BITS on average; longer chunks are cut at MAX_CHUNK bytes.
 CUT_BITS, MAX_CHUNK, WINDOW = 11, 1 << 16, 32
@@ -67,7 +67,7 @@ def chunked(column: pa.Array, seed: int) -> Iterator[tuple[bytes, list[bytes], l
 
 def _recipes(seed: int):
     def run(batches):
-        for b in batches:
+        for b in row_slices(batches):
             rows = list(chunked(b.column("text"), seed))
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), b.column("text_hash"),
@@ -79,7 +79,7 @@ def _recipes(seed: int):
 
 def _chunks(seed: int):
     def run(batches):
-        for b in batches:
+        for b in row_slices(batches):
             seen = {(i, c) for _, chunks, ids in chunked(b.column("text"), seed) for i, c in zip(ids, chunks)}
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in seen], pa.binary()), pa.array([c for _, c in seen], pa.binary())], ["chunk_id", "chunk"])
     return run

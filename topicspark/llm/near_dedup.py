@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import fresh, same, small_batches, written
+from topicspark.llm.common import fresh, row_slices, same, small_batches, written
 from topicspark.llm.components import components
 from topicspark.llm.shingles import band_keys, set_key, shingle_sets, signature
 
@@ -36,24 +36,20 @@ _SIGNED = "doc_id bigint, n_shingles bigint, set_key binary, keys array<bigint>"
 
 
 def _sign(batches):
-    for b in batches:
-        for s in range(0, b.num_rows, 256):
-            part = b.slice(s, 256)
-            sets = list(shingle_sets(part.column("text")))
-            values = [signature(x) for x in sets]
-            keys = band_keys(np.stack(values)).view(np.int64)
-            some = [len(x) > 0 for x in sets]
-            yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()),
-                pa.array([set_key(x) if ok else None for x, ok in zip(sets, some)], pa.binary()),
-                pa.array([k if ok else None for k, ok in zip(keys, some)], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "keys"])
+    for part in row_slices(batches):
+        sets = list(shingle_sets(part.column("text")))
+        values = [signature(x) for x in sets]
+        keys = band_keys(np.stack(values)).view(np.int64)
+        some = [len(x) > 0 for x in sets]
+        yield pa.RecordBatch.from_arrays([
+            part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()),
+            pa.array([set_key(x) if ok else None for x, ok in zip(sets, some)], pa.binary()),
+            pa.array([k if ok else None for k, ok in zip(keys, some)], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "keys"])
 
 
 def _sets(batches):
-    for b in batches:
-        for s in range(0, b.num_rows, 256):
-            part = b.slice(s, 256)
-            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([x.tobytes() for x in shingle_sets(part.column("text"))], pa.binary())], ["rep", "found"])
+    for part in row_slices(batches):
+        yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([x.tobytes() for x in shingle_sets(part.column("text"))], pa.binary())], ["rep", "found"])
 
 
 # --- blocks --------------------------------------------------------------------

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import small_batches
+from topicspark.llm.common import row_slices, small_batches
 
-#: Paths of a text; units that a worker remembers.
-N_BEST, CACHE_UNITS = 4, 400_000
+#: Paths of a text; units that a worker remembers within a task and beyond it, and units whose N best paths it remembers.
+N_BEST, CACHE_UNITS, KEEP_UNITS, BEST_UNITS = 4, 400_000, 100_000, 30_000
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 _NONE = -1e18
@@ -295,7 +295,7 @@ class Segmenter:
         """Keep the units met first, mostly the frequent ones."""
         self.place = dict(islice(self.place.items(), keep))
         del self.ids[keep:]
-        self.best = {k: v for k, v in self.best.items() if k[0] < keep}
+        self.best.clear()
 
     def learn(self, keys: set[str]) -> None:
         by_size: dict[int, list[str]] = {}
@@ -337,6 +337,8 @@ class Segmenter:
     def _unit(self, i: int, key: str, n: int) -> list[tuple[float, bytes]]:
         """The ``n`` best paths of a unit, its remembered best path first: (loss against it, ids)."""
         if (i, n) not in self.best:
+            if len(self.best) >= BEST_UNITS:
+                self.best.clear()
             found = [(score, np.array(ids, "<u4").tobytes()) for score, (ids,) in self.vocabulary.n_best([unit_text(key)], n)]
             others = [(float(self.score[i]) - score, ids) for score, ids in found if ids != self.ids[i]]
             self.best[i, n] = [(0.0, self.ids[i]), *others][:n]
@@ -400,15 +402,14 @@ _PATHS_DDL = "array<struct<score:double,n_pieces:int,ids_crc32:bigint,edits:arra
 def _encode(path: str, n: int):
     def run(batches):
         segmenter = _segmenter(path)
-        for b in batches:
-            for s in range(0, b.num_rows, 256):
-                part = b.slice(s, 256)
-                ids, paths = [], []
-                for best, found in segmenter.paths([t or "" for t in part.column("text").to_pylist()], n):
-                    ids.append(best)
-                    paths.append([{"score": score, "n_pieces": len(x := edited(best, e)) // 4, "ids_crc32": zlib.crc32(x),
-                                   "edits": [{"place": p, "replaced": r, "ids": new} for p, r, new in e]} for score, e in found])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(paths, _PATHS)], ["doc_id", "ids", "paths"])
+        for part in row_slices(batches):
+            ids, paths = [], []
+            for best, found in segmenter.paths([t or "" for t in part.column("text").to_pylist()], n):
+                ids.append(best)
+                paths.append([{"score": score, "n_pieces": len(x := edited(best, e)) // 4, "ids_crc32": zlib.crc32(x),
+                               "edits": [{"place": p, "replaced": r, "ids": new} for p, r, new in e]} for score, e in found])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(paths, _PATHS)], ["doc_id", "ids", "paths"])
+        segmenter.forget(KEEP_UNITS)  # the worker lives on
     return run
 
 
