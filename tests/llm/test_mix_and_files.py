@@ -95,7 +95,8 @@ def test_mix_meets_targets_on_the_small_corpus(spark):
     rows = mixing.mix(df).collect()
     _, _, taken = check_mix(df, rows)
     for (size, target), words in taken.items():
-        assert abs(words - target) <= 1 or words == 2 * size
+        # a source has ten documents or so here: some targets lie between the sums of their lengths
+        assert abs(words - target) <= max(1, 0.01 * target) or words == 2 * size
     copies = {r.doc_id: r.copies for r in rows}
     mixed = mixing.apply_mix(df)
     assert mixed.columns == df.columns
