@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import io
 import itertools
@@ -157,6 +158,35 @@ def test_token_files_round_trip(spark, monkeypatch, scratch):
     assert some == {rows[4][0]: [*tokenizer.encode(rows[4][1] or "", add_special_tokens=False).ids, 0]}
 
 
+@functools.cache
+def plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(token_files.vocabulary_path())
+
+
+def test_added_tokens_encode_as_by_the_plain_call(spark, scratch):
+    plain = plain_tokenizer()
+    assert plain.encode("<|endoftext|> is text", add_special_tokens=False).ids == [50256, 318, 2420]
+    texts = ["<|endoftext|> is text", "a <|endoftext|> b", "a<|endoftext|>b <|endoftext|><|endoftext|> the end", "x  <|endoftext|>  y\n<|endoftext|> ", "<|endoftext|", "plain words"]
+    df = odd.docs(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    got = [tuple(r) for r in token_files.token_documents(df, f"{scratch}/t").orderBy("doc_id").collect()]
+    want, start = [], 0
+    for i, t in enumerate(texts):
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(WORDY)
+def test_words_encode_as_by_a_fresh_tokenizer(text):
+    plain = plain_tokenizer()
+    got = np.frombuffer(token_files._encoder(token_files.vocabulary_path()).encode([text])[0], "<u4").tolist()
+    assert got == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_no_documents_no_tokens(spark):
     assert token_files.token_documents(odd.no_docs(spark)).collect() == []
     assert mixing.mix(odd.no_docs(spark)).collect() == []

@@ -131,11 +131,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():  # a character of a byte-level token stands for a byte
+        for token, i in vocabulary.items():  # a character of a byte-level token stands for a byte; added tokens are plain ASCII
             self.bytes[i] = len(token)
 
     def _learn(self, words: list[str]) -> None:
