@@ -137,6 +137,48 @@ def test_disguises_are_found_where_they_stand(text, kind, what):
     assert pii.redacted(text, [f for f in found if text[f[1]:f[2]] == what]) == text.replace(what, f"[{kind.upper()}]")
 
 
+PART_DISGUISES = [
+    ("ask john@example dot com today", "email", "john@example dot com"),
+    ("ask john [at] example dot com today", "email", "john [at] example dot com"),
+    ("ask john @ mail.example dot com today", "email", "john @ mail.example dot com"),
+    ("ask john at example [dot] com today", "email", "john at example [dot] com"),
+    ("host 192 dot 168 dot 1 dot 20 is up", "ip", "192 dot 168 dot 1 dot 20"),
+    ("host 192.168 dot one.20 is up", "ip", "192.168 dot one.20"),
+    ("host one [dot] 9 [dot] 1 [dot] 20 is up", "ip", "one [dot] 9 [dot] 1 [dot] 20"),
+    ("host one 9 2 dot 1 six 8 dot 1 dot 1 is up", "ip", "one 9 2 dot 1 six 8 dot 1 dot 1"),
+    ("take one 192 dot 168 dot 1 dot 20 now", "ip", "192 dot 168 dot 1 dot 20"),
+    ("call +1 five five 5 0 one 2 three 4 five 6 ok", "phone", "+1 five five 5 0 one 2 three 4 five 6"),
+    ("call plus 1 (five 55) 012 three 456 ok", "phone", "plus 1 (five 55) 012 three 456"),
+    ("pay 4444 3333 2222 111 one now", "card", "4444 3333 2222 111 one"),
+    ("pay ４４４４ ３３３３ ２２２２ １１１１ one time", "card", "４４４４ ３３３３ ２２２２ １１１１"),
+]
+
+
+@pytest.mark.parametrize("text,kind,what", PART_DISGUISES)
+def test_part_disguises_are_found_where_they_stand(text, kind, what):
+    assert (kind, text.index(what), text.index(what) + len(what), False) in pii.find(text)
+
+
+def test_clean_texts_beside_numerals_stay_clean():
+    for t in ["john at example.com", "3 point 5 of 10", "one of 2020, two of 2021; three", "chapter 5 dot one", "at 5 dot com", "1 " * 20_000 + "one", "1" + " " * 50_000 + "x", "a " * 30_000 + "@ dot at", "one, 2 and 3. Four"]:
+        assert pii.find(t) == [], t[:50]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["five ", "one", " dot ", "plus ", "[at]", "[dot]", " at ", "а", "４", "\u200b", "x", "1", "22", ".", " ", "double ", "é", "@", "five-five", "(", ")", ", "]), max_size=20).map("".join))
+def test_wide_tapes_map_back(text):
+    at = text
+    for tape in pii.rewritten(text, wide=True):
+        for i in range(len(tape.text)):
+            s, e, changed = tape.back(i, i + 1)
+            assert 0 <= s < e <= len(at)
+            if not changed:
+                assert at[s:e] == tape.text[i]
+        at = tape.text
+    for _, s, e, _ in pii.find(text):
+        assert 0 <= s < e <= len(text)
+
+
 def test_clean_texts_stay_clean():
     for t in ["look at example.com", "meet at five", "one two three four five six", "a dot on the i", "version 1.2.3 of 10", "Ελλάδα και Россия", "naïve café at noon", "x" * 100_000, "1" * 100_000, "+" * 1000, "a." * 50_000 + "@"]:
         assert pii.find(t) == [], t[:50]

@@ -4,6 +4,9 @@ A transducer rewrites the disguised stretches of a text (homoglyphs and other
 digits, invisible characters, spelled digits, "at" and "dot" in words or
 brackets) and keeps, for each stretch, where it came from. The detectors that
 run on the source run on its output too, and what they find is mapped back.
+There are two readings: the strict one rewrites what is disguised throughout,
+the wide one also what is disguised in part (one spelled digit beside numerals,
+a word dot after a real @ or between numerals). What either shows counts.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from functools import partial
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -115,10 +120,24 @@ _PLUS_WORD = re.compile(r"\b(?:plus|más)\s+(?=[0-9])", re.I)
 _BRACKET = re.compile(r"\s*(?:\[\s*(?P<a>at|@|dot|\.|punkt|punto|point|arroba)\s*\]|\(\s*(?P<b>at|@|dot|\.|punkt|punto|point|arroba)\s*\)|\{\s*(?P<c>at|@|dot|\.|punkt|punto|point|arroba)\s*\}|<\s*(?P<d>at|dot|punkt|punto|point|arroba)\s*>)\s*", re.I)
 _WORDS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\s+(?:at|arroba)\s+)[A-Za-z0-9-]+(?P<dots>(?:\s+(?:dot|punkt|punto|point)\s+[A-Za-z0-9-]+)+)", re.I)
 _DOT = re.compile(r"\s+(?:dot|punkt|punto|point)\s+", re.I)
+# the wide reading: numerals among spelled digits, real and bracketed signs among words
+_LABEL = "[A-Za-z0-9-]++"
+
+
+def _bracketed(words: str) -> str:
+    return rf"\s*(?:\[\s*(?:{words})\s*\]|\(\s*(?:{words})\s*\)|\{{\s*(?:{words})\s*\}}|<\s*(?:{words})\s*>)\s*"
+
+
+_DOT_BRACKET = _bracketed(r"dot|\.|punkt|punto|point")
+_HIDDEN_DOT = rf"(?:{_DOT_WORD}|{_DOT_BRACKET})"
+_MIXED = re.compile(rf"\b(?:(?P<plus>(?:plus|más|mas)\s+))?(?:{_SPELLED}|[0-9]++\b)(?:(?:{_HIDDEN_DOT}|\.|[\s,;()-]+)(?:{_SPELLED}|[0-9]++\b))*", re.I)
+_IN_MIXED = re.compile(rf"(?P<dot>{_DOT_WORD})|(?P<kept>{_DOT_BRACKET}|\.)|(?:(?P<times>double|doble|triple)\s+)?\b(?P<digit>{_NAME})\b|(?P<numeral>[0-9]++)|(?P<between>[\s,;()-]+)", re.I)
+_PART_WORDS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(?P<at>\s+(?:at|arroba|@)\s+)|@|{_bracketed('at|@|arroba')})"
+                         rf"{_LABEL}(?P<dots>(?:\.{_LABEL})*{_HIDDEN_DOT}{_LABEL}(?:(?:\.|{_HIDDEN_DOT}){_LABEL})*)", re.I)
 _OPEN = re.compile(r"[\[({<]\s*(?:@|\.|at|dot|pu|po|ar)", re.I)
 _RUN_WORDS = frozenset(_DIGIT_OF) | frozenset(_TIMES) | {"dot", "point", "punkt", "punto"}
 _DOT_WORDS, _AT_WORDS = frozenset({"dot", "punkt", "punto", "point"}), frozenset({"at", "arroba"})
-_SEPARATORS = ",;-"
+_SEPARATORS = ",;-().+:/[]{}<>\"'!?=*#|“”‘’«»"
 _ODD = re.compile("[ ­ª²³·¹ºı]|[^\x00-ɏ]")
 
 
@@ -172,15 +191,10 @@ def _char_edits(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), p) for m in _ODD.finditer(text) if (p := plain_char(m[0])) != m[0]]
 
 
-def _word_edits(text: str) -> list[tuple[int, int, str]]:
-    low = text.lower()
-    for c in _SEPARATORS:
-        low = low.replace(c, " ")
-    words = low.split()
+def _run_edits(text: str) -> list[tuple[int, int, str]]:
+    """Runs of spelled digits: digits with the separator before them, which goes."""
     edits = []
-    # each pattern is tried only where the words it needs stand in the text
-    spelled = b"\1" * MIN_SPELLED in bytes(map(_RUN_WORDS.__contains__, words))
-    for run in _RUN.finditer(text) if spelled else ():
+    for run in _RUN.finditer(text):
         first = True
         at = run.start()
         for m in _IN_RUN.finditer(text, run.start(), run.end()):
@@ -190,15 +204,69 @@ def _word_edits(text: str) -> list[tuple[int, int, str]]:
                 r = _DIGIT_OF[m["digit"].lower()] * _TIMES.get((m["times"] or "").lower(), 1)
                 if first and run["plus"]:
                     r = "+" + r
-            edits.append((at, m.end(), r))  # with the separator before it, which goes
+            edits.append((at, m.end(), r))
             at, first = m.end(), False
+    return edits
+
+
+def _mixed_edits(text: str) -> list[tuple[int, int, str]]:
+    """Runs of spelled digits and numerals. Single digits close up; a numeral of
+    several keeps a space to its neighbours, round brackets stay."""
+    edits = []
+    for run in _MIXED.finditer(text):
+        parts = list(_IN_MIXED.finditer(text, run.end("plus") if run["plus"] else run.start(), run.end()))
+        spelled = sum(m["digit"] is not None for m in parts)
+        if spelled < MIN_SPELLED and not (any(m["numeral"] for m in parts) and (spelled or any(m["dot"] for m in parts))):
+            continue
+        if run["plus"]:
+            edits.append((*run.span("plus"), "+"))
+        for k, m in enumerate(parts):
+            if m["dot"]:
+                r = "."
+            elif m["digit"]:
+                r = _DIGIT_OF[m["digit"].lower()] * _TIMES.get((m["times"] or "").lower(), 1)
+            elif m["between"]:
+                long = any(len(parts[i]["numeral"] or "") > 1 for i in (k - 1, k + 1))
+                r = "".join(c for c in m[0] if c in "()") or " " * long
+            else:
+                continue
+            if r != m[0]:
+                edits.append((*m.span(), r))
+    return edits
+
+
+def _beside(words: list[str], spelled: bytes) -> bool:
+    """Whether a word of a run stands beside a numeral."""
+    numeral = bytes(map(str.isdecimal, words))
+    return 1 in numeral and (any(map(and_, spelled, numeral[1:])) or any(map(and_, spelled[1:], numeral)))
+
+
+def _word_edits(text: str, wide: bool = False) -> list[tuple[int, int, str]]:
+    low = text.lower()
+    for c in _SEPARATORS:
+        low = low.replace(c, " ")
+    words = low.split()
+    edits = []
+    # each pattern is tried only where the words it needs stand in the text
+    spelled = bytes(map(_RUN_WORDS.__contains__, words))
+    run = b"\1" * MIN_SPELLED in spelled
+    part = wide and 1 in spelled and _beside(words, spelled)
+    if run or part:
+        edits += _mixed_edits(text) if wide else _run_edits(text)
     if "plus" in low or "más" in low:
         edits += [(m.start(), m.end(), "+") for m in _PLUS_WORD.finditer(text)]
-    for m in _BRACKET.finditer(text) if _OPEN.search(text) else ():
+    open_ = _OPEN.search(text) is not None
+    for m in _BRACKET.finditer(text) if open_ else ():
         word = (m["a"] or m["b"] or m["c"] or m["d"]).lower()
         edits.append((m.start(), m.end(), "@" if word in ("at", "@", "arroba") else "."))
-    for m in _WORDS.finditer(text) if not _DOT_WORDS.isdisjoint(words) and not _AT_WORDS.isdisjoint(words) else ():
-        edits.append((*m.span("at"), "@"))
+    dots, ats = not _DOT_WORDS.isdisjoint(words), not _AT_WORDS.isdisjoint(words)
+    if wide:
+        found = _PART_WORDS.finditer(text) if dots and (ats or open_ or "@" in text) or open_ and (ats or "@" in text) else ()
+    else:
+        found = _WORDS.finditer(text) if dots and ats else ()
+    for m in found:
+        if m["at"]:
+            edits.append((*m.span("at"), "@"))
         edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(text, *m.span("dots"))]
     edits.sort()
     out: list[tuple[int, int, str]] = []
@@ -208,10 +276,10 @@ def _word_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def rewritten(text: str) -> list[Tape]:
+def rewritten(text: str, wide: bool = False) -> list[Tape]:
     """The tapes from ``text`` to its normal form, one per pass that changes it."""
     tapes = []
-    for edits_of in (_char_edits, _word_edits):
+    for edits_of in (_char_edits, partial(_word_edits, wide=wide)):
         if edits := edits_of(tapes[-1].text if tapes else text):
             tapes.append(Tape(tapes[-1].text if tapes else text, edits))
     return tapes
@@ -221,7 +289,12 @@ def find(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base) by start, kind, end."""
     base = {(s, k, e) for k, kind in enumerate(KINDS) for s, e in DETECTORS[kind](text)}
     spans = {x: True for x in base}
-    if tapes := rewritten(text):
+    seen = {text}
+    for wide in (False, True):
+        tapes = rewritten(text, wide)
+        if not tapes or tapes[-1].text in seen:
+            continue
+        seen.add(tapes[-1].text)
         for k, kind in enumerate(KINDS):
             for s, e in DETECTORS[kind](tapes[-1].text):
                 changed = False
