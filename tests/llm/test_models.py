@@ -62,6 +62,13 @@ def test_without_labels_all_is_unidentified(spark):
     assert language_id.identify(odd.no_docs(spark)).collect() == []
 
 
+def test_without_labels_texts_with_a_letter_stay(spark):
+    rows = [(1, "some text", None, None, 1), (2, None, "en", None, 0), (3, "123 ...", None, None, 2), (4, "東京", None, None, 3), (5, "", None, None, 0)]
+    kept = language_id.drop_unidentified(odd.docs(spark, rows))
+    assert kept.columns == odd.docs(spark, rows).columns and {r.doc_id for r in kept.collect()} == {1, 4}
+    assert {r.doc_id for r in corpus_pipeline.identified(spark, odd.docs(spark, [(2, "held out", "en", None, 1)]), SF).collect()} == {2}
+
+
 def test_kernel_counts_shared_ngrams():
     a, b = "abcab", "abd"
     grams = [{x[i:i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1)} for x in (a, b)]

@@ -118,6 +118,11 @@ def _features(text):
     return ngrams(text, np.zeros(N_FEATURES, bool)).tolist() if text and _LETTER.search(text) else None
 
 
+@F.udf(T.BooleanType(), useArrow=True)
+def _lettered(text):
+    return bool(text and _LETTER.search(text))
+
+
 def train(docs: DataFrame) -> Model:
     """A classifier from ``docs`` <doc_id, text, lang>: languages are the labels
     of the rows that aren't held out. Of each, the rows with the smallest seeded
@@ -163,8 +168,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with an identified language, with all their columns:
-    ``und`` ones go, short texts with a low score stay."""
+    ``und`` ones go, short texts with a low score stay. Where no row can be
+    learned from, all texts with a letter stay."""
     small_batches(docs.sparkSession)
+    model = train(docs)
+    if not model.languages:
+        return docs.where(_lettered("text"))
     p = fresh(docs, "_language")
-    out = classify(docs, train(docs), p)
+    out = classify(docs, model, p)
     return out.where(F.col(p)["lang_pred"] != UNKNOWN).drop(p)
