@@ -8,6 +8,7 @@ but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from topicspark.llm import exact_dedup, language_id, mixing, near_dedup, pieces
 from topicspark.llm.common import table, written
@@ -34,8 +35,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece: doc_id, the ids of the best path, the N best paths; a row for each row of the mix."""
-    return pieces.encode(docs)
+    """SentencePiece encoding and decoding: doc_id, the ids of the best path, ``pieces`` with the N best
+    paths and the sha256 of the text that the ids decode to; a row for each row of the mix."""
+    encoded = pieces.encode(docs)
+    digest = F.sha2(pieces.decoded(F.col("ids")), 256)
+    return encoded.select("doc_id", "ids", F.struct("paths", digest.alias("decoded_sha256")).alias("pieces"))
 
 
 STAGES = [("language_id", identified), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("pieces", segmented)]

@@ -377,6 +377,13 @@ def test_pipeline_equals_its_parts_by_brute_force(spark):
         assert v.decode(np.frombuffer(r.ids, "<u4").tolist()) == rows[r.doc_id].text
 
 
+def test_last_stage_decodes_what_it_encodes(spark):
+    df = odd.docs(spark, [(1, "One two — 東京 😀 end", "en", "a", 0), (2, "", "en", "a", 0), (3, None, "en", "a", 0), (4, odd.prose(4, 500), "en", "a", 0)])
+    want = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in df.collect()}
+    got = corpus_pipeline.segmented(spark, df, SF).collect()
+    assert {r.doc_id: r.pieces.decoded_sha256 for r in got} == want and all(r.pieces.paths for r in got)
+
+
 def test_stages_on_odd_and_empty_rows(spark):
     for df in (odd.docs(spark), odd.no_docs(spark)):
         docs = df
