@@ -219,10 +219,15 @@ class Vocabulary:
         before = [0.0]
         for a in ahead:
             before.append(before[-1] + a[-1])
-        # (minus the score of the best whole path through it, order, unit, place, score from here on, path from here on)
-        queue, order, out = [(-before[-1], 0, len(units) - 1, len(units[-1]) if units else 0, 0.0, None)], 1, []
+        # (minus the score of the best whole path through it, unit, place, order, score from here on, path from here on)
+        queue, order, out = [(-before[-1], len(units) - 1, len(units[-1]) if units else 0, 0, 0.0, None)], 1, []
+        popped: dict[tuple[int, int], int] = {}
         while queue and len(out) < n:
-            bound, _, u, place, score, path = heapq.heappop(queue)
+            bound, u, place, _, score, path = heapq.heappop(queue)
+            # what leaves the queue at one place does so from the best on; no path beyond the n-th of a place is among the n best
+            seen = popped[u, place] = popped.get((u, place), 0) + 1
+            if seen > n:
+                continue
             while u > 0 and place == 0:
                 u -= 1
                 place = len(units[u])
@@ -235,7 +240,8 @@ class Vocabulary:
                 continue
             for s, i, w in chain[u][place]:
                 total = score + w
-                heapq.heappush(queue, (-(total + before[u] + ahead[u][s]), order, u, s, total, (u, i, s, path)))
+                if popped.get((u, s), 0) < n:
+                    heapq.heappush(queue, (-(total + before[u] + ahead[u][s]), u, s, order, total, (u, i, s, path)))
                 order += 1
         return out
 
