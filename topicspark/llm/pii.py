@@ -117,9 +117,9 @@ _DOT_WORD = r"(?:\s+(?:dot|point|punkt|punto)\s+)"
 _RUN = re.compile(rf"\b(?:(?P<plus>plus|más|mas)\s+)?{_SPELLED}(?:(?:{_DOT_WORD}|{_BETWEEN}){_SPELLED}){{{MIN_SPELLED - 1},}}", re.I)
 _IN_RUN = re.compile(rf"(?P<dot>{_DOT_WORD})|(?:(?P<times>double|doble|triple)\s+)?\b(?P<digit>{_NAME})\b", re.I)
 _PLUS_WORD = re.compile(r"\b(?:plus|más)\s+(?=[0-9])", re.I)
-_BRACKET = re.compile(r"\s*(?:\[\s*(?P<a>at|@|dot|\.|punkt|punto|point|arroba)\s*\]|\(\s*(?P<b>at|@|dot|\.|punkt|punto|point|arroba)\s*\)|\{\s*(?P<c>at|@|dot|\.|punkt|punto|point|arroba)\s*\}|<\s*(?P<d>at|dot|punkt|punto|point|arroba)\s*>)\s*", re.I)
+_BRACKET = re.compile(r"(?:\[\s*(?P<a>at|@|dot|\.|punkt|punto|point|arroba)\s*\]|\(\s*(?P<b>at|@|dot|\.|punkt|punto|point|arroba)\s*\)|\{\s*(?P<c>at|@|dot|\.|punkt|punto|point|arroba)\s*\}|<\s*(?P<d>at|dot|punkt|punto|point|arroba)\s*>)\s*", re.I)
 _WORDS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\s+(?:at|arroba)\s+)[A-Za-z0-9-]+(?P<dots>(?:\s+(?:dot|punkt|punto|point)\s+[A-Za-z0-9-]+)+)", re.I)
-_DOT = re.compile(r"\s+(?:dot|punkt|punto|point)\s+", re.I)
+_DOT = re.compile(r"(?<!\s)\s+(?:dot|punkt|punto|point)\s+", re.I)
 # the wide reading: numerals among spelled digits, real and bracketed signs among words
 _LABEL = "[A-Za-z0-9-]++"
 
@@ -256,9 +256,13 @@ def _word_edits(text: str, wide: bool = False) -> list[tuple[int, int, str]]:
     if "plus" in low or "más" in low:
         edits += [(m.start(), m.end(), "+") for m in _PLUS_WORD.finditer(text)]
     open_ = _OPEN.search(text) is not None
+    done = 0
     for m in _BRACKET.finditer(text) if open_ else ():
-        word = (m["a"] or m["b"] or m["c"] or m["d"]).lower()
-        edits.append((m.start(), m.end(), "@" if word in ("at", "@", "arroba") else "."))
+        word, start = (m["a"] or m["b"] or m["c"] or m["d"]).lower(), m.start()
+        while start > done and text[start - 1].isspace():  # the blanks before it, each walked over once
+            start -= 1
+        edits.append((start, m.end(), "@" if word in ("at", "@", "arroba") else "."))
+        done = m.end()
     dots, ats = not _DOT_WORDS.isdisjoint(words), not _AT_WORDS.isdisjoint(words)
     if wide:
         found = _PART_WORDS.finditer(text) if dots and (ats or open_ or "@" in text) or open_ and (ats or "@" in text) else ()
