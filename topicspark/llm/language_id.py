@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicspark.llm.common import fresh, small_batches
+from topicspark.llm.common import fresh, row_slices, small_batches, written
 
 #: Bound of the sample that the classifier is fitted on, for each language and in all, and of the landmarks in all.
 TRAIN_PER_LANGUAGE, TRAIN_TOTAL, LANDMARKS = 300, 2400, 128
@@ -113,9 +114,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-@F.udf(T.ArrayType(T.IntegerType()), useArrow=True)
-def _features(text):
-    return ngrams(text, np.zeros(N_FEATURES, bool)).tolist() if text and _LETTER.search(text) else None
+def _features(batches):
+    """<lang, h, doc_id, f>: features as little-endian unsigned 32-bit integers; texts without a letter go."""
+    seen = np.zeros(N_FEATURES, bool)
+    for part in row_slices(batches):
+        texts = part.column("text").to_pylist()
+        keep = [i for i, t in enumerate(texts) if _LETTER.search(t)]
+        found = [ngrams(texts[i], seen).astype("<u4").tobytes() for i in keep]
+        own = part.select(["lang", "h", "doc_id"]).take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found, pa.binary())], ["lang", "h", "doc_id", "f"])
 
 
 @F.udf(T.BooleanType(), useArrow=True)
@@ -127,17 +134,25 @@ def train(docs: DataFrame) -> Model:
     """A classifier from ``docs`` <doc_id, text, lang>: languages are the labels
     of the rows that aren't held out. Of each, the rows with the smallest seeded
     hashes are taken, as many as the bounds allow; their features, never whole
-    texts, come to the driver."""
+    texts, come to the driver (at most ``N_FEATURES`` of each).
+
+    Of rows that repeat an id, the one with the smallest label, then the
+    smallest text, stands for it. The chosen rows are written with their texts
+    first, so that features are computed for them alone.
+    """
     own = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     keys = own.select("doc_id", "lang", F.xxhash64(F.lit(SEED), "doc_id").alias("h"))
     n = max(1, keys.select("lang").distinct().count())
     per = max(2, min(TRAIN_PER_LANGUAGE, TRAIN_TOTAL // n))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = keys.withColumn("r", rank).where(F.col("r") <= per).select("doc_id", "lang", "h").dropDuplicates(["doc_id"])
-    # at most ``per`` rows for each language, however often an id repeats
-    rows = own.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "h", "doc_id", _features("text").alias("f")).where("f is not null").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: (r["lang"], r["h"], r["doc_id"]))
-    return fit([(r["lang"], np.array(r["f"], np.int64)) for r in rows])
+    chosen = keys.withColumn("r", rank).where(F.col("r") <= per).select("doc_id", "h").distinct()
+    # at most ``per`` ids for each language
+    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "h").agg(F.min(F.struct("lang", "text")).alias("s"))
+    rows = written(rows.select("doc_id", "h", "s.lang", "s.text"), "training")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(_features, f"lang string, h bigint, doc_id {id_type}, f binary").collect()
+    found.sort(key=lambda r: (r["lang"], r["h"], r["doc_id"]))
+    return fit([(r["lang"], np.frombuffer(r["f"], "<u4").astype(np.int64)) for r in found])
 
 
 def classify(docs: DataFrame, model: Model, column: str) -> DataFrame:
@@ -158,8 +173,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
     ``und`` with score 0 for null text and text without a letter, and for all
     where no row is labelled. Rows are independent of each other once the
-    classifier is fitted; repeated rows get the same result. No rows: no rows.
-    Other columns are not read.
+    classifier is fitted; repeated rows get the same result, and of rows that
+    repeat an id the one with the smallest label and text is learned from. No
+    rows: no rows. Other columns are not read.
     """
     small_batches(docs.sparkSession)
     out = classify(docs.select("doc_id", "text"), train(docs), "_p")
