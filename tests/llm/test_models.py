@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -80,6 +81,48 @@ def test_kernel_counts_shared_ngrams():
     assert model.kernel([found[0]])[0] == pytest.approx([1, want])
 
 
+def test_scores_equal_brute_force_kernel_ridge():
+    corpus = [("en", "the cat sat on the mat"), ("en", "a dog and the sea"), ("de", "der hund und das meer"), ("de", "die katze auf der matte"), ("fr", "le chien et la mer")]
+    texts = ["the dog", "das haus und der hund", "la mer", "zzz"]
+    grams = lambda x: {x[i:i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1)}
+
+    def kernel(a, b):
+        return len(grams(a) & grams(b)) / math.sqrt(len(grams(a)) * len(grams(b)))
+
+    order = sorted(corpus, key=lambda c: c[0])
+    names, n = ["de", "en", "fr"], len(order)
+    k = np.array([[kernel(a, b) for _, b in order] for _, a in order])
+    y = np.array([[1.0 if lang == name else -1.0 for name in names] for lang, _ in order])
+    w = np.diag([1 / sum(lang == other for other, _ in order) for lang, _ in order])
+    alpha = np.linalg.solve(w @ k + language_id.RIDGE / n * np.eye(n), w @ y)
+    want = np.array([[kernel(t, b) for _, b in order] for t in texts]) @ alpha
+    seen = np.zeros(language_id.N_FEATURES, bool)
+    model = language_id.fit([(lang, language_id.ngrams(t, seen)) for lang, t in order], landmarks=100)
+    got, score = model.predict(texts)
+    assert got == [names[i] for i in want.argmax(axis=1)]
+    assert score == pytest.approx(np.clip((want.max(axis=1) + 1) / 2, 0, 1), abs=1e-4)
+
+
+def test_repeated_ids_have_a_defined_choice(spark):
+    rows = [(i, f"text number {i} of the set", "en", "a", 0) for i in range(1, 40)] + [(i, f"noch ein wort {i} im satz", "de", "a", 0) for i in range(40, 80)]
+    rows += [(1, "aber doch ein anderer satz", "de", "a", 0), (1, "zuletzt", "de", "a", 0), (50, "zz other", "en", "a", 0)] * 3
+    models = [language_id.train(odd.docs(spark, own, extra=False)) for own in (rows, rows[::-1])]
+    assert (models[0].coefficients == models[1].coefficients).all() and (models[0].landmarks == models[1].landmarks).all()
+
+
+def test_features_are_made_of_chosen_rows_only(spark, monkeypatch):
+    plans = []
+    write = language_id.written
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(language_id, "written", kept)
+    language_id.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert len(plans) == 1 and "Python" not in plans[0] and "InArrow" not in plans[0]
+
+
 # --- personal data -------------------------------------------------------------
 
 def plain_spans(t):
@@ -186,6 +229,19 @@ def test_wide_tapes_map_back(text):
         assert 0 <= s < e <= len(text)
 
 
+def test_long_runs_take_linear_time():
+    n = 200_000
+    blanks = ["(at" + " " * n, "(are" + "\t\n " * (n // 3), "[dot" + " " * n, "one [dot]" + " " * n + "x", " " * n + "(at", "( " * (n // 2) + "(at", "one" + " " * n + "dot", "john@a [dot" + " " * n]
+    for text in blanks + [c * n for c in " \t\n([{<)]}>.,-+@10a"]:
+        start = time.perf_counter()
+        assert pii.find(text) == [], text[:20]
+        assert time.perf_counter() - start < 5, text[:20]
+    assert pii.find("john [at] example [dot] com") == [("email", 0, 27, False)]
+    assert pii.find("john" + " " * n + "[at]\t[dot] example [dot] com") == []
+    far = "john" + " " * n + "[at]" + " " * n + "example [dot] com"
+    assert pii.find(far) == [("email", 0, len(far), False)]
+
+
 def test_clean_texts_stay_clean():
     for t in ["look at example.com", "meet at five", "one two three four five six", "a dot on the i", "version 1.2.3 of 10", "Ελλάδα και Россия", "naïve café at noon", "x" * 100_000, "1" * 100_000, "+" * 1000, "a." * 50_000 + "@"]:
         assert pii.find(t) == [], t[:50]
@@ -237,7 +293,7 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
     rows = vectors()
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<float>, label int, rep string").repartition(3)
     n, root = brute_links([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], lab) for i, v, lab in rows])
-    got = embedding_dedup.link_vectors(df, recall=0.9999).collect()
+    got = embedding_dedup.link_vectors(df).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.vec_id == 204:  # repeated rows are copies of each other
@@ -313,6 +369,14 @@ def test_n_best_equals_all_paths(text):
     assert all(s.vocabulary.decode(p) == text for p in spelled)
 
 
+@pytest.mark.parametrize("text", ["x" * 12, "a" * 11, "=" * 14, "ab" * 6, "a" * 7 + "=" * 6])
+def test_n_best_of_runs_equals_all_paths(text, segmenter):
+    want = brute_paths(segmenter.vocabulary, text)
+    (_, paths), = segmenter.paths([text], 9)
+    assert [p[0] for p in paths] == [w for w, _ in want[:9]]
+    assert [w for w, _ in segmenter.vocabulary.n_best([pieces.SPACE + text], 9)] == [w for w, _ in want[:9]]
+
+
 def test_arrays_and_single_units_agree(segmenter):
     v = segmenter.vocabulary
     rng = random.Random(2)
@@ -389,10 +453,13 @@ def test_stages_on_odd_and_empty_rows(spark):
         docs = df
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
+            rows = out.collect()
             if stage is not corpus_pipeline.segmented:
                 assert out.columns == docs.columns
-                docs = spark.createDataFrame(out.collect(), docs.schema)
+                docs = spark.createDataFrame(rows, docs.schema)
         assert len(out.columns) == 3
+        want = Counter((r.doc_id, hashlib.sha256((r.text or "").replace("▁", " ").encode()).hexdigest()) for r in docs.collect())
+        assert Counter((r.doc_id, r.pieces.decoded_sha256) for r in rows) == want
 
 
 def test_drops_use_what_the_operators_say(spark):
