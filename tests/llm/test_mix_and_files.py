@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -139,7 +140,7 @@ WORDY = st.lists(st.sampled_from(["the", " ", "  ", "\n", "\t", "É", "東京",
 def test_words_encode_as_the_whole_text(text):
     encoder = token_files._encoder(token_files.vocabulary_path())
     whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == whole
+    assert encoder.encode(pa.array([text]))[0].tolist() == whole
 
 
 def test_token_files_round_trip(spark, monkeypatch, scratch):
@@ -183,10 +184,27 @@ def test_added_tokens_encode_as_by_the_plain_call(spark, scratch):
 @given(WORDY)
 def test_words_encode_as_by_a_fresh_tokenizer(text):
     plain = plain_tokenizer()
-    got = np.frombuffer(token_files._encoder(token_files.vocabulary_path()).encode([text])[0], "<u4").tolist()
+    got = token_files._encoder(token_files.vocabulary_path()).encode(pa.array([text]))[0].tolist()
     assert got == plain.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.none() | WORDY, max_size=20), st.integers(0, 5))
+def test_columns_encode_row_by_row(texts, skip):
+    column = pa.array(["left out"] * skip + texts, pa.string()).slice(skip)
+    ids, bounds = token_files._encoder(token_files.vocabulary_path()).encode(column)
+    assert [ids[s:e].tolist() for s, e in zip(bounds, bounds[1:])] == [plain_tokenizer().encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_forgotten_words_are_learned_again(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 8)
+    encoder, plain = token_files.Encoder(token_files.vocabulary_path()), plain_tokenizer()
+    for k in range(12):
+        texts = [odd.prose(k % 5 + i, 9) + "\nand more " for i in range(4)]
+        ids, bounds = encoder.encode(pa.array(texts))
+        assert [ids[s:e].tolist() for s, e in zip(bounds, bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_no_documents_no_tokens(spark):
     assert token_files.token_documents(odd.no_docs(spark)).collect() == []
     assert mixing.mix(odd.no_docs(spark)).collect() == []

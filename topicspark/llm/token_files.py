@@ -7,8 +7,9 @@ its place in the next level. Any token of a file is read by one byte and one
 rank per level, no block is decoded.
 
 Texts are dealt to files in ascending order of doc_id. They are cut at single
-spaces between other characters, where the tokenizer always starts a new word,
-and each different word is encoded by the tokenizers library once per cache.
+spaces and before single newlines between other characters, where the tokenizer
+always starts a new word. Of a batch only the different words are looked up, and
+each that is new is encoded by the tokenizers library once per cache.
 """
 
 from __future__ import annotations
@@ -22,22 +23,25 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicspark.llm.binary_files import read_files, write_files
-from topicspark.llm.common import shared_path, small_batches, written
+from topicspark.llm.common import row_slices, shared_path, small_batches, written
 
 #: Tokens of a file (a longer document has a file of its own); words a worker remembers; the id after each document.
-FILE_TOKENS, CACHE_WORDS, END_ID = 4 << 20, 500_000, 0
+FILE_TOKENS, CACHE_WORDS, END_ID = 4 << 20, 700_000, 0
 RANK_BITS = 512
+#: Texts encoded at a time; the more, the more of their words repeat.
+SLICE_ROWS = 1024
 MAGIC = b"DAC\x01"
 VOCABULARY = "byte_bpe_50k.json"
 
 _HEAD = struct.Struct("<iiqqB")  # partition, file in it, documents, tokens, levels; before MAGIC
 _BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n\S))")
 
 
 # --- directly addressable codes ------------------------------------------------
@@ -115,12 +119,16 @@ def file_bytes(partition: int, number: int, doc_ids: list, counts: list[int], id
 # --- texts to ids --------------------------------------------------------------
 
 def words_of(text: str) -> list[str]:
-    """``text`` cut at the spaces that stand between two characters other than
-    white space; those spaces are left out. The pre-tokenizer never joins
-    what such a space separates, and puts the space to the word after it."""
-    if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _BLANKS):
-        return _CUT.split(text)
-    return text.split(" ")
+    """``text`` cut at the single spaces, and before the single newlines, that
+    stand between two characters other than white space; the spaces are left
+    out. The pre-tokenizer never joins what such a place separates: it puts the
+    space to the word after it, and leaves the newline alone."""
+    return _CUT.split(text) if _uneven(text) else text.replace("\n", " \n").split(" ")
+
+
+def _uneven(text: str) -> bool:
+    """Whether white space other than single spaces and newlines between other characters stands in ``text``."""
+    return ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace() or any(c in text for c in _BLANKS))
 
 
 class Encoder:
@@ -131,40 +139,99 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.place: dict[str, int] = {}  # a word's place in ``start`` and ``size``
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0  # the ids of all words, one after the other
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a character of a byte-level token stands for a byte; added tokens are plain ASCII
             self.bytes[i] = len(token)
 
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, at: int, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Put ``ids`` of words with ``sizes`` ids each at the places from ``at`` on."""
+        end, last = self.used + len(ids), at + len(sizes)
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool[:self.used], np.zeros(2 * end - self.used, np.uint32)])
+        if last > len(self.start):
+            self.start, self.size = (np.concatenate([x[:at], np.zeros(2 * last - at, np.int64)]) for x in (self.start, self.size))
+        self.pool[self.used:end] = ids
+        self.size[at:last] = sizes
+        self.start[at:last] = self.used + np.cumsum(sizes) - sizes
+        self.used = end
+
     def _learn(self, words: list[str]) -> None:
         """Encode different words, many in one text: byte lengths of the tokens tell where each ends."""
         ends = [w for w in words if w[-1:].isspace()]  # the last word of a text; its white space must stay last
-        for w, e in zip(ends, self.tokenizer.encode_batch_fast([" " + w for w in ends], add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+        if ends:
+            found = self._plain([w if w[:1] == "\n" else " " + w for w in ends])
+            self._add(len(self.place), np.array([i for ids in found for i in ids], np.uint32), np.array(list(map(len, found)), np.int64))
+            self.place.update(zip(ends, range(len(self.place), len(self.place) + len(ends))))
         words = [w for w in words if not w[-1:].isspace()]
-        texts = [words[s:s + 512] for s in range(0, len(words), 512)]
-        for own, e in zip(texts, self.tokenizer.encode_batch_fast([" " + " ".join(t) for t in texts], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum([1 + len(w.encode()) for w in own])
-            bounds = (4 * np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right")).tolist()
-            data = ids.tobytes()
-            self.words.update(zip(own, [data[s:t] for s, t in zip([0, *bounds], bounds)]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [words_of(t) for t in texts]
-        firsts = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w[0] for w in cut], add_special_tokens=False)]
-        if len(self.words) > CACHE_WORDS:  # words met early are mostly the frequent ones
-            self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))
-        known = self.words.get
-        found = [list(map(known, w)) for w in cut]
-        open_ = [k for k, f in enumerate(found) if None in f]
-        # the first word of a text has no space before it and is done on its own
-        self._learn(list({w for k in open_ for w, f in zip(cut[k][1:], found[k][1:]) if f is None}))
-        for k in open_:
-            found[k] = [self.words.get(w, b"") if f is None else f for w, f in zip(cut[k], found[k])]
-        return [first + b"".join(f[1:]) for first, f in zip(firsts, found)]
+        parts = [words[s:s + 512] for s in range(0, len(words), 512)]
+        for s in range(0, len(parts), 64):
+            own = parts[s:s + 64]
+            units = [[w if w[:1] == "\n" else " " + w for w in p] for p in own]
+            for p, u, ids in zip(own, units, self._plain(["".join(u) for u in units])):
+                ids = np.array(ids, np.uint32)
+                ends_at = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(x.encode()) for x in u]), side="right")
+                self._add(len(self.place), ids, np.diff(ends_at, prepend=0))
+                self.place.update(zip(p, range(len(self.place), len(self.place) + len(p))))
+
+    def _forget(self, keep: int) -> None:
+        """Keep the words met first, mostly the frequent ones."""
+        self.place = dict(islice(self.place.items(), keep))
+        self.used = int(self.start[keep])
+
+    def _words(self, cut: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts that ``cut`` holds as words, and the bounds of each text's ids."""
+        rows = np.asarray(cut.offsets).astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        at, words = np.asarray(coded.indices), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        inner = np.ones(len(at), bool)
+        inner[rows[:-1] - rows[0]] = False  # the first word of a text has no space before it and is done on its own
+        asked = np.zeros(len(words), bool)
+        asked[at[inner]] = True
+        if len(self.place) > CACHE_WORDS:
+            self._forget(CACHE_WORDS // 2)
+        known = self.place.get
+        place = np.fromiter((known(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(asked & (place < 0))
+        if len(new):
+            self._learn([words[i] for i in new.tolist()])
+            place[new] = [self.place[words[i]] for i in new.tolist()]
+        each = place[at]
+        firsts, which = np.unique(at[~inner], return_inverse=True)
+        found = self._plain([words[i] for i in firsts.tolist()])
+        used, base = self.used, len(self.place)
+        self._add(base, np.array([i for ids in found for i in ids], np.uint32), np.array(list(map(len, found)), np.int64))
+        each[~inner] = base + which
+        sizes = self.size[each]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.start[each] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.used = used  # first words are not kept
+        return ids, np.concatenate([[0], ends])[rows - rows[0]]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts, one text after the other, and the bounds of each; null is empty."""
+        rows = [t or "" for t in texts.to_pylist()]
+        uneven = np.fromiter(map(_uneven, rows), bool, len(rows))
+        even = pa.array([t.replace("\n", " \n") for t, u in zip(rows, uneven) if not u], pa.large_string())
+        parts = [self._words(pc.split_pattern(even, " "))]
+        if uneven.any():
+            parts.append(self._words(pa.array([_CUT.split(t) for t, u in zip(rows, uneven) if u], pa.large_list(pa.large_string()))))
+        if len(parts) == 1:
+            return parts[0]
+        counts = np.zeros(len(rows), np.int64)
+        for (_, bounds), own in zip(parts, (~uneven, uneven)):
+            counts[own] = np.diff(bounds)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.zeros(bounds[-1], np.uint32)
+        row = np.repeat(uneven, counts)
+        ids[~row], ids[row] = parts[0][0], parts[1][0]
+        return ids, bounds
 
 
 @functools.cache
@@ -181,29 +248,27 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 # --- files ---------------------------------------------------------------------
 
 def _files(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def run(batches):
         encoder, partition, number = _encoder(path), TaskContext.get().partitionId(), 0
         doc_ids, counts, parts, total = [], [], [], 0
 
         def closed():
-            data = file_bytes(partition, number, doc_ids, counts, np.frombuffer(b"".join(parts), "<u4"))
+            data = file_bytes(partition, number, doc_ids, counts, np.concatenate(parts))
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["file"])
 
-        for b in batches:
-            for s in range(0, b.num_rows, 64):
-                part = b.slice(s, 64)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts)):
-                    n = len(ids) // 4 + 1
-                    if doc_ids and total + n > FILE_TOKENS:
-                        yield closed()
-                        number, doc_ids, counts, parts, total = number + 1, [], [], [], 0
-                    doc_ids.append(doc_id)
-                    counts.append(n)
-                    parts += ids, end
-                    total += n
+        for part in row_slices(batches, SLICE_ROWS):
+            ids, bounds = encoder.encode(part.column("text"))
+            for doc_id, s, e in zip(part.column("doc_id").to_pylist(), bounds.tolist(), bounds[1:].tolist()):
+                n = e - s + 1
+                if doc_ids and total + n > FILE_TOKENS:
+                    yield closed()
+                    number, doc_ids, counts, parts, total = number + 1, [], [], [], 0
+                doc_ids.append(doc_id)
+                counts.append(n)
+                parts += ids[s:e], end
+                total += n
         if doc_ids:
             yield closed()
     return run
