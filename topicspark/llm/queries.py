@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, pieces, pii, token_files, warc
+from topicspark.llm import alignment, embedding_dedup, exact_dedup, fingerprints, hard_negatives, language_id, line_dedup, mixing, near_dedup, pieces, pii, token_files, warc
 from topicspark.llm.common import table
 
 
@@ -50,5 +50,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_files, op3_exact_dedup, op4_embedding_dedup, op5_language_id, op6_pii, op7_near_dedup, op8_warc, op9_pieces, op10_line_dedup)}
-SQL = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_embedding_dedup": embedding_dedup.ORACLE, "op8_warc": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the table's labels are topics of the vectors; every seventh row is moved to the next one, as the query asks
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_files, op3_exact_dedup, op4_embedding_dedup, op5_language_id, op6_pii, op7_near_dedup, op8_warc, op9_pieces, op10_line_dedup,
+                                  op11_hard_negatives, op12_alignment, op13_fingerprints)}
+SQL = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_embedding_dedup": embedding_dedup.ORACLE, "op8_warc": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE,
+       "op11_hard_negatives": hard_negatives.ORACLE}
