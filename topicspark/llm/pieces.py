@@ -44,12 +44,33 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-class Vocabulary:
+class Decoder:
+    """The bytes that each id stands for."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.text = [b""] * sp.get_piece_size()
+        for i in range(len(self.text)):
+            if sp.is_byte(i):
+                self.text[i] = bytes([int(sp.id_to_piece(i)[3:-1], 16)])
+            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+                self.text[i] = sp.id_to_piece(i).replace(SPACE, " ").encode()
+
+    def decode(self, ids) -> str:
+        """The text of ``ids``: pieces joined, the space before the first word dropped."""
+        text = b"".join([self.text[i] for i in ids])
+        return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
+
+
+class Vocabulary(Decoder):
     """Pieces, scores and byte pieces of a model file with byte fallback."""
 
     def __init__(self, path: str):
         import sentencepiece
 
+        super().__init__(path)
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         every = range(sp.get_piece_size())
         special = {i for i in every if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
@@ -62,11 +83,6 @@ class Vocabulary:
             raise ValueError("a piece crosses the beginning of a word or a line")
         self.unknown = min(self.score[i] for i in self.ids.values()) - 10
         self.longest = max(map(len, self.ids))
-        self.text = [b""] * len(self.score)
-        for p, i in self.ids.items():
-            self.text[i] = p.replace(SPACE, " ").encode()
-        for b, i in self.byte.items():
-            self.text[i] = bytes([b])
         chars = [np.frombuffer(p.encode("utf-32-le"), "<u4") for p in self.ids]
         self.size, self.first_char = np.zeros(len(self.score), np.int64), np.zeros(len(self.score), np.int64)
         own = list(self.ids.values())
@@ -245,11 +261,6 @@ class Vocabulary:
                 order += 1
         return out
 
-    def decode(self, ids) -> str:
-        """The text of ``ids``: pieces joined, the space before the first word dropped."""
-        text = b"".join([self.text[i] for i in ids])
-        return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
-
 
 def _spaced(parts: list[str]) -> list[str]:
     """Units, without their first space, of parts that each follow a space; empty parts are further spaces."""
@@ -391,6 +402,11 @@ def _segmenter(path: str) -> Segmenter:
     return Segmenter(path)
 
 
+@functools.cache
+def _decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def edited(ids: bytes, edits: list[tuple[int, int, bytes]]) -> bytes:
     """The ids of a path from those of the best path and its edits."""
     out, at = [], 0
@@ -441,7 +457,7 @@ def decoded(ids: Column, model: str | None = None) -> Column:
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
-        decode = _segmenter(path).vocabulary.decode
+        decode = _decoder(path).decode  # a worker of its own, so it holds no lattice
         return pd.Series([None if x is None else decode(np.frombuffer(x, "<u4").tolist()) for x in column], dtype=object)
 
     return run(ids)
