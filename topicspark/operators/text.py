@@ -3,9 +3,9 @@
 Documents become ``sents array<array<string>>``. All rules are array
 higher-order functions evaluated inside the row (no UDF, no shuffle); lookups
 against word lists use ``IN`` lists, which Catalyst turns into hash sets.
-Table lookups (lemmas, n-grams) explode the tokens, join the table and regroup
-per document; the document's other columns ride along with its first token, so
-the corpus is read once and shuffled once.
+Tables of bounded size (lemmas, n-grams) are compiled into the expression, so
+documents stay where they are. Of a larger lemma table each document asks for
+its different forms only; a larger list of n-grams meets the windows in a join.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.functions import TOKEN_PATTERN, bounded_broadcast, ordered_index
+from topicspark.functions import TOKEN_PATTERN, ordered_index
+from topicspark.functions.tables import bounded_rows, fits, let, lookup
 
 SENTENCE_SPLIT = r"[.!?]+\s+|\n+"
 URL_PATTERN = r"(https?://|www\.)\S+"
@@ -77,39 +78,47 @@ def filter_tokens(df: DataFrame, col: str = "sents", stopwords: list[str] | None
     return filter_lemmas(filter_surface(df, col, stopwords), col)
 
 
+def lemma_entries(lemmas: DataFrame) -> dict[str, str] | None:
+    """<form, lemma> as a dictionary of what changes: lemmas in lower case, with
+    '_' for spaces; of a form's lemmas the smallest. None for a table too large."""
+    rows = bounded_rows(_changes(lemmas))
+    known = None if rows is None else {r["form"]: r["lemma"] for r in rows}
+    return known if known is not None and fits(known) else None
+
+
+def _normal(x: Column) -> Column:
+    return F.replace(F.lower(x), F.lit(" "), F.lit("_"))
+
+
+def _changes(lemmas: DataFrame) -> DataFrame:
+    own = lemmas.select("form", _normal(F.col("lemma")).alias("lemma")).where("form is not null and lemma is not null")
+    return own.groupBy("form").agg(F.min("lemma").alias("lemma")).where("form <> lemma")
+
+
 def lemmatize(df: DataFrame, lemmas: DataFrame | None, col: str = "sents", key: str = "doc_id") -> DataFrame:
     """Lemma (from a <form, lemma> table; identity if missing), lowercase, inner space -> '_'.
 
-    With a table: explode (sentence, position, token), join the lemma table,
-    regroup per document in order. ``key`` identifies a document.
+    A table of bounded size is looked up inside the row, without an exchange.
+    Of a larger one each document asks for its different forms: these are
+    joined, and what they found is handed back to the document (``key``) once.
     """
-    norm = lambda x: F.regexp_replace(F.lower(x), " ", "_")
     if lemmas is None:
-        return df.withColumn(col, F.transform(col, lambda s: F.transform(s, norm)))
-    # explode_outer keeps empty sentences and documents as null rows, so the
-    # regroup below needs no gap filling and no second read of the corpus
-    others = F.struct(F.lit(1).alias("_"), *[F.col(c) for c in df.columns if c not in (key, col)])
-    flat = (df.select(key, others.alias("row"), F.posexplode_outer(col).alias("si", "s"))
-            .select(key, F.when(F.coalesce("si", F.lit(0)) == 0, F.col("row")).alias("row"), "si", F.posexplode_outer("s").alias("ti", "form"))
-            .withColumn("row", F.when(F.coalesce("ti", F.lit(0)) == 0, F.col("row"))))
-    lem = lemmas.select("form", F.col("lemma").alias("_lemma"))
-    j = flat.join(bounded_broadcast(lem), "form", "left")
-    j = j.withColumn("tok", norm(F.coalesce("_lemma", "form")))
-    return _regroup(df, j, col, key)
-
-
-def _regroup(df: DataFrame, flat: DataFrame, col: str, key: str) -> DataFrame:
-    """Rebuild ``array<array<string>>`` from <key, si, ti, tok, row> (null ti/si =
-    empty); ``row``, on a document's first token only, holds its other columns."""
-    per_sent = flat.groupBy(key, "si").agg(
-        F.first("row", ignorenulls=True).alias("row"),
-        F.transform(F.array_sort(F.collect_list(
-            F.when(F.col("ti").isNotNull(), F.struct("ti", "tok")))), lambda x: x["tok"]).alias("s"))
-    per_doc = per_sent.groupBy(key).agg(
-        F.first("row", ignorenulls=True).alias("row"),
-        F.transform(F.array_sort(F.collect_list(
-            F.when(F.col("si").isNotNull(), F.struct("si", "s")))), lambda x: x["s"]).alias(col))
-    return per_doc.select(*[F.col(c) if c in (key, col) else F.col("row")[c].alias(c) for c in df.columns])
+        return df.withColumn(col, F.transform(col, lambda s: F.transform(s, _normal)))
+    known = lemma_entries(lemmas)
+    if known is not None:
+        found = lookup(known) if known else None
+        of = (lambda x: F.coalesce(found(x), _normal(x))) if known else _normal
+        return df.withColumn(col, F.transform(col, lambda s: F.transform(s, of)))
+    asked = df.where(F.col(key).isNotNull()).select(key, F.explode(F.array_distinct(F.flatten(col))).alias("form"))
+    entries = asked.join(_changes(lemmas), "form").groupBy(key).agg(F.collect_set(F.struct("form", "lemma")).alias("_known"))
+    both = df.join(entries, key, "left")
+    # a document's entries by checksum, a map of about eight for each
+    n = F.coalesce(F.ceil(F.size("_known") / 8), F.lit(1)).cast("int")
+    place = lambda x: F.pmod(F.crc32(x.cast("binary")), n).cast("int")
+    maps = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.map_from_entries(F.filter("_known", lambda e: place(e["form"]) == i)))
+    both = both.withColumn("_maps", F.when(F.col("_known").isNotNull(), maps))
+    of = lambda x: F.coalesce(F.element_at(F.get("_maps", place(x)), x), _normal(x))
+    return both.withColumn(col, F.transform(col, lambda s: F.transform(s, of))).select(*df.columns)
 
 
 def drop_terms(df: DataFrame, col: str = "sents", blacklist: list[str] | None = None) -> DataFrame:
@@ -134,29 +143,44 @@ def join_ngrams(df: DataFrame, ngrams: DataFrame, col: str = "sents") -> DataFra
     The n-gram of longest text first, then leftmost; spans never overlap.
     ``ngrams`` is a one-column frame ``ngram`` of space-separated phrases. A
     sentence is rebuilt from the stretches between its spans, each cut out once.
+    A list of bounded size is compiled into the expression, and documents stay
+    where they are; a larger one meets the windows of all sentences in a join.
     """
-    from topicspark.operators.match import select_spans, window_matches
+    from topicspark.operators.match import chosen_spans, compiled_spans, select_spans, window_matches
     ng = ngrams.select(F.trim(F.col("ngram")).alias("ngram")).filter(F.col("ngram").contains(" ")).distinct()
+    rows = bounded_rows(ng)
+    if rows is not None and fits(dict.fromkeys(r["ngram"] for r in rows)):
+        if not rows:
+            return df
+        found = compiled_spans([r["ngram"] for r in rows])
+        return df.withColumn(col, F.transform(col, lambda s: _joined(s, chosen_spans(found(s), F.size(s)))))
     ng = ng.select(F.col("ngram").alias("key"), F.col("ngram").alias("label"))
     flat = df.select("doc_id", F.posexplode(col).alias("si", "toks"))
     matches = window_matches(flat, ng, keys=["doc_id", "si"], toks="toks")
     kept = select_spans(matches, keys=["doc_id", "si"])
-    none = F.array().cast("array<struct<start:int,end:int,key:string>>")
-    j = flat.join(kept, ["doc_id", "si"], "left").withColumn("spans", F.coalesce("spans", none))
-    # span i, then the tokens up to the next span; before the first there is an empty span at 0
-    edge = lambda at, key: F.struct(at.alias("start"), at.alias("end"), key.alias("key"))
-    j = j.withColumn("_at", F.concat(F.array(edge(F.lit(0), F.lit(None).cast("string"))), "spans",
-                                     F.array(edge(F.size("toks"), F.lit(None).cast("string")))))
-
-    def piece(i):
-        here, after = F.element_at("_at", i), F.element_at("_at", i + 1)
-        joined = F.when(here["key"].isNotNull(), F.array(F.regexp_replace(here["key"], " ", "_"))).otherwise(F.array().cast("array<string>"))
-        return F.concat(joined, F.slice("toks", here["end"] + 1, after["start"] - here["end"]))
-    rebuilt = F.flatten(F.transform(F.sequence(F.lit(1), F.size("spans") + 1), piece))
-    per_sent = j.select("doc_id", "si", F.when(F.size("spans") > 0, rebuilt).otherwise(F.col("toks")).alias("s"))
+    j = flat.join(kept, ["doc_id", "si"], "left")
+    per_sent = j.select("doc_id", "si", F.when(F.size("spans") > 0, _joined(F.col("toks"), F.col("spans"))).otherwise(F.col("toks")).alias("s"))
     per_doc = per_sent.groupBy("doc_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("si", "s"))), lambda x: x["s"]).alias("_s"))
-    return df.drop(col).join(per_doc, "doc_id", "left").withColumnRenamed("_s", col)
+    return df.drop(col).join(per_doc, "doc_id", "left").withColumnRenamed("_s", col).select(*df.columns)
+
+
+def _joined(toks: Column, spans: Column) -> Column:
+    """Tokens with each span, in order of start, as one word. A token goes where
+    a span before it has not ended: at its start stands the span's text."""
+    return let(spans, lambda own: _rebuilt(toks, own))
+
+
+def _rebuilt(toks: Column, spans: Column) -> Column:
+    none = F.lit(None).cast("string")
+    # span i, then the tokens up to the next span; before the first there is an empty span at 0
+    edge = lambda at, key: F.array(F.struct(at.cast("int").alias("start"), at.cast("int").alias("end"), key.alias("key")))
+    at = F.concat(edge(F.lit(0), none), spans, edge(F.size(toks), none))
+
+    def piece(span, i):
+        here = F.when(span["key"].isNotNull(), F.array(F.replace(span["key"], F.lit(" "), F.lit("_")))).otherwise(F.array().cast("array<string>"))
+        return F.concat(here, F.slice(toks, span["end"] + 1, F.coalesce(F.get(spans, i)["start"], F.size(toks)) - span["end"]))
+    return F.flatten(F.transform(F.slice(at, F.lit(1), F.size(spans) + 1), piece))
 
 
 def preprocess(df: DataFrame, text: str = "text", ngrams: DataFrame | None = None,

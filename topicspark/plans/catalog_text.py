@@ -126,10 +126,14 @@ def q_filter_tokens(spark, sf_dir):
 def plural_lemmas(spark, sf_dir):
     """Lemma table derived from the corpus: ``<stem>s`` -> ``<stem>`` when the stem is a word too."""
     d = Ctx(spark, sf_dir).t("documents")
-    words = d.select(F.explode(F.filter(F.split(F.lower("text"), TOKEN_PATTERN), lambda x: x != "")).alias("w")).distinct()
-    forms = words.filter(F.col("w").endswith("s") & (F.length("w") > 3)) \
-        .select(F.col("w").alias("form"), F.expr("substring(w, 1, length(w) - 1)").alias("lemma"))
-    return forms.join(words.withColumnRenamed("w", "lemma"), "lemma", "left_semi")
+    words = d.select(F.explode(F.array_distinct(F.split(F.lower("text"), TOKEN_PATTERN))).alias("w")).where("w <> ''")
+    # each word, and a word on -s once more as its stem: both meet in one aggregate
+    stem = F.expr("substring(w, 1, length(w) - 1)")
+    own = F.struct(F.col("w").alias("k"), F.lit(1).alias("word"), F.lit(0).alias("stem"))
+    cut = F.struct(stem.alias("k"), F.lit(0).alias("word"), F.lit(1).alias("stem"))
+    both = words.select(F.explode(F.when(F.col("w").endswith("s") & (F.length("w") > 3), F.array(own, cut)).otherwise(F.array(own))).alias("e"))
+    met = both.groupBy("e.k").agg(F.max("e.word").alias("word"), F.max("e.stem").alias("stem")).where("word = 1 and stem = 1")
+    return met.select(F.concat("k", F.lit("s")).alias("form"), F.col("k").alias("lemma"))
 
 
 _LEM_CTE = rf"""
