@@ -1,59 +1,146 @@
 """Fitting topic models over a run grid.
 
 The reference shells out to an external dynamic-topic-model binary for each
-grid row. Here each grid row is a Spark ML LDA fit (static: the chain
-variance of a run is recorded but has no effect), and the output lands in the
-same long tables the analytics read:
-  topic_term <model, topic, word_id, word, prob>,  doc_topic <model, doc_id, topic, weight>.
-Externally fitted dynamic output is read with ``sources.files`` instead.
+grid row. Here each run is fitted by expectation maximisation over tables:
+  topic_term <model, topic, word_id, word, prob> (and step, where documents have
+  one), doc_topic <model, doc_id, topic, weight>.
+
+A round joins each document's words to their rows of the topic matrix, a table
+by (step, word), finds the document's mixture in its own row, and adds up what
+each word gives to each topic. With steps, a topic's shares of a word are
+smoothed along them (``operators.chain``): ``topic_var`` is the variance of the
+chain, and with 0 all steps have the static model. Nothing of the vocabulary's
+size comes to the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicspark.functions import ordered_index
+from topicspark.operators import chain
+from topicspark.session import ensure_checkpoint_dir
+
+#: Prior weight of each word in a topic; rounds in which a document's mixture is found.
+WORD_PRIOR, DOC_ROUNDS = 0.01, 20
+
 
 # The run keys and the directory name are the on-disk interface.
 def run_name(run: dict) -> str:
     return f"k{run['topics']}_a{run['alpha']}_var{run['topic_var']}"
 
 
+def mixture(counts: np.ndarray, probs: np.ndarray, alpha: float, rounds: int = DOC_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """A document's topic weights (they add up to 1) and what each of its words
+    gives to each topic, for word ``counts`` and their probabilities (words x topics)."""
+    theta = np.full(probs.shape[1], 1 / probs.shape[1])
+    for _ in range(rounds):
+        given = probs * theta
+        given *= (counts / np.maximum(given.sum(axis=1), 1e-300))[:, None]
+        theta = given.sum(axis=0) + alpha
+        theta /= theta.sum()
+    return theta, given
+
+
+def _mixtures(topics: int, alpha: float):
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for doc, step, counts, probs in zip(pdf["_doc"], pdf["step"], pdf["cnt"], pdf["b"]):
+                theta, given = mixture(np.asarray(counts, float), np.concatenate(list(probs)).reshape(-1, topics), alpha)
+                out.append((doc, step, theta.tolist(), given.ravel().tolist()))
+            yield pd.DataFrame(out, columns=["_doc", "step", "theta", "given"])
+    return run
+
+
+def _counted(docs: DataFrame, tokens: str, key: str, step: str | None) -> tuple[DataFrame, DataFrame]:
+    """Words <word_id, word>, and documents <_doc, key, step, word_ids, cnt>; documents without words are left out."""
+    at = F.lit(0) if step is None else F.col(step)
+    words = docs.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    voc = ordered_index(words, [F.desc("n"), "word"], "word_id").select("word_id", "word")
+    rows = docs.withColumn("_doc", F.monotonically_increasing_id()).select("_doc", key, at.alias("step"), tokens).checkpoint(eager=True)
+    each = rows.select("_doc", F.explode(tokens).alias("word")).groupBy("_doc", "word").agg(F.count(F.lit(1)).alias("cnt")).join(voc, "word")
+    own = each.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("word_id", "cnt"))).alias("w"))
+    out = own.join(rows.select("_doc", key, "step"), "_doc")
+    return voc.checkpoint(eager=True), out.select("_doc", key, "step", F.col("w.word_id").alias("word_ids"), F.col("w.cnt").alias("cnt")).where("step is not null").checkpoint(eager=True)
+
+
+def _round(own: DataFrame, matrix: DataFrame, topics: int, alpha: float) -> DataFrame:
+    """<_doc, step, theta, word_ids, given>: each document's mixture and its words' shares under ``matrix``."""
+    asked = own.select("_doc", "step", F.posexplode("word_ids").alias("pos", "word_id"))
+    # a document's words: at most as many as it has
+    found = asked.join(matrix, ["step", "word_id"]).groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("pos", "b"))).alias("b"))
+    ready = own.join(found, "_doc").select("_doc", "step", "cnt", F.col("b.b").alias("b"))
+    step_type = own.schema["step"].dataType.simpleString()
+    return ready.mapInPandas(_mixtures(topics, alpha), f"_doc long, step {step_type}, theta array<double>, given array<double>")
+
+
+def _shares(counts: DataFrame, steps: DataFrame, topics: int, n_words: int, chain_var: float, word_prior: float) -> DataFrame:
+    """The topic matrix <step, word_id, b> of <step, word_id, n (array over topics)>."""
+    totals = counts.groupBy("step").agg(*[F.sum(F.col("n")[k]).alias(f"t{k}") for k in range(topics)])
+    # one row for each step, then one for each topic with its weights
+    totals = steps.join(totals, "step", "left").select("place", F.posexplode(F.array(*[F.coalesce(F.col(f"t{k}"), F.lit(0.0)) for k in range(topics)])).alias("topic", "t"))
+    by_topic = totals.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda x: x["t"]).alias("tokens"))
+    by_topic = by_topic.select("topic", "tokens", chain.gains(F.col("tokens"), chain_var).alias("weights"))
+    series = counts.join(steps, "step").groupBy("word_id").agg(F.collect_list(F.struct("place", "n")).alias("at"))
+    every = F.sequence(F.lit(0), F.size("tokens") - 1)
+    by_place = F.map_from_entries("at")
+
+    def share(i):
+        n = F.coalesce(F.element_at(by_place, i.cast("int"))[F.col("topic")], F.lit(0.0))
+        t = F.get("tokens", i)
+        return F.when(t > 0, n / t).otherwise(F.lit(0.0))
+    flat = series.select("word_id", "at", F.explode(F.sequence(F.lit(0), F.lit(topics - 1))).alias("topic")).join(F.broadcast(by_topic), "topic")
+    flat = flat.select("topic", "word_id", "weights", F.transform(every, share).alias("y")).select("topic", "word_id", chain.smoothed(F.col("y"), F.col("weights")).alias("x"))
+    # the prior stands for ``word_prior`` tokens of each word beside a million, so no word is impossible
+    prior = word_prior * n_words / 1e6
+    flat = flat.select("word_id", "topic", F.posexplode("x").alias("place", "p"))
+    flat = flat.select("word_id", "topic", "place", ((F.greatest("p", F.lit(0.0)) + prior / n_words) / (1 + prior)).alias("p"))
+    rows = flat.groupBy("place", "word_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("topic", "p"))), lambda x: x["p"]).alias("b"))
+    return rows.join(steps, "place").select("step", "word_id", "b")
+
+
 def fit_topics_grid(docs: DataFrame, runs: list[dict], tokens: str = "tokens", key: str = "doc_id",
-                    max_iter: int = 10, seed: int = 0, optimizer: str = "online"):
-    """Fit one LDA per run ({topics, alpha, topic_var}); returns (topic_term, doc_topic).
+                    max_iter: int = 10, seed: int = 0, step: str | None = None, word_prior: float = WORD_PRIOR):
+    """Fit one model per run ({topics, alpha, topic_var}); returns (topic_term, doc_topic).
 
-    Every word of ``docs`` is in the model: rare words are dropped before, by the
-    vocabulary's frequency rule. Spark's LDA keeps vocabulary and topic matrix
-    on the driver, so that rule must leave what fits there.
+    Every word of ``docs`` is in the model: rare words are dropped before, by
+    the vocabulary's frequency rule. With ``step``, a column of the documents,
+    topic_term has a row for each step too, and ``topic_var`` is the variance of
+    a topic's chain over the steps; without, models are static. Documents
+    without words or step have no row. Each round is checkpointed.
     """
-    n_words = docs.select(F.explode(tokens).alias("w")).distinct().count()
-    cv = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=max(1, n_words), minDF=1.0).fit(docs)
     spark = docs.sparkSession
-    voc = spark.createDataFrame(list(enumerate(cv.vocabulary)), "word_id long, word string")
-    tf = cv.transform(docs).select(key, "_tf").filter(F.size(vector_to_array("_tf").cast("array<double>")) > 0)
-    tf = tf.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else tf
+    ensure_checkpoint_dir(spark)
+    voc, own = _counted(docs, tokens, key, step)
+    n_words = max(1, voc.count())
+    # one row for each step
+    steps = ordered_index(own.select("step").distinct(), ["step"], "place").withColumn("place", F.col("place").cast("int")).checkpoint(eager=True)
     tts, dts = [], []
     for run in runs:
-        k = int(run["topics"])
-        lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer=optimizer, featuresCol="_tf",
-                  docConcentration=[float(run["alpha"])] * k, topicDistributionCol="_td")
-        model = lda.fit(tf)
-        name = run_name(run)
-        desc = model.describeTopics(maxTermsPerTopic=len(cv.vocabulary))
-        tt = desc.select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("z")) \
-            .select(F.lit(name).alias("model"), F.col("topic").cast("int"), F.col("z.termIndices").cast("long").alias("word_id"),
-                    F.col("z.termWeights").alias("prob")).join(voc, "word_id")
-        dt = model.transform(tf).select(key, F.posexplode(vector_to_array("_td")).alias("topic", "weight")) \
-            .select(F.lit(name).alias("model"), key, F.col("topic").cast("int"), "weight")
-        tts.append(tt.select("model", "topic", "word_id", "word", "prob"))
+        topics, alpha, name = int(run["topics"]), float(run["alpha"]), run_name(run)
+        # seeded start: about even shares; the same in all steps, but only for words that the corpus has there
+        noise = F.transform(F.sequence(F.lit(0), F.lit(topics - 1)), lambda k: (1 + F.pmod(F.xxhash64(F.lit(seed), "word", k), F.lit(1000)) / 1000) / (1.5 * n_words))
+        words = voc.select("word_id", noise.alias("b"))
+        matrix = own.select("step", F.explode("word_ids").alias("word_id")).distinct().join(words, "word_id").select("step", "word_id", "b").checkpoint(eager=True)
+        last = max(1, max_iter) - 1
+        for i in range(last + 1):
+            mixed = _round(own, matrix, topics, alpha)
+            if i == last:  # read twice
+                mixed = mixed.checkpoint(eager=True)
+            given = mixed.join(own.select("_doc", "word_ids"), "_doc").select("step", F.posexplode("word_ids").alias("i", "word_id"), "given")
+            given = given.select("step", "word_id", *[F.get("given", F.col("i") * topics + k).alias(f"n{k}") for k in range(topics)])
+            counts = given.groupBy("step", "word_id").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(topics)])
+            counts = counts.select("step", "word_id", F.array(*[F.col(f"n{k}") for k in range(topics)]).alias("n")).checkpoint(eager=True)
+            matrix = _shares(counts, steps, topics, n_words, float(run["topic_var"]) if step else 0.0, word_prior)
+        tt = matrix.join(voc, "word_id").select(F.lit(name).alias("model"), F.posexplode("b").alias("topic", "prob"), "step", "word_id", "word")
+        tts.append(tt.select("model", "topic", *(["step"] if step else []), "word_id", "word", "prob"))
+        dt = mixed.join(own.select("_doc", key), "_doc").select(F.lit(name).alias("model"), key, F.posexplode("theta").alias("topic", "weight"))
         dts.append(dt)
     topic_term, doc_topic = tts[0], dts[0]
-    for t in tts[1:]:
-        topic_term = topic_term.unionByName(t)
-    for d in dts[1:]:
-        doc_topic = doc_topic.unionByName(d)
+    for t, d in zip(tts[1:], dts[1:]):
+        topic_term, doc_topic = topic_term.unionByName(t), doc_topic.unionByName(d)
     return topic_term, doc_topic

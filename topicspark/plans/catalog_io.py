@@ -117,14 +117,14 @@ def q_topic_label_shares(spark, sf_dir):
     return rounded(j.select("topic", "label", "step", "share"), "share")
 
 
-def _fitted(spark, sf_dir):
-    """Static LDA for a two-row grid over the documents' vocabulary words."""
+def _fitted(spark, sf_dir, step=None):
+    """A two-row grid over the documents' vocabulary words; with ``step``, along the steps."""
     c = Ctx(spark, sf_dir)
     words = c.tokens.join(c.vocab.select(F.col("word").alias("w")), "w")
     docs = words.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("tokens"))
+        F.first("step").alias("step"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("tokens"))
     runs = [{"topics": 4, "alpha": 0.1, "topic_var": 0.05}, {"topics": 6, "alpha": 0.01, "topic_var": 0.05}]
-    return fit_topics_grid(docs, runs, max_iter=5)
+    return fit_topics_grid(docs, runs, max_iter=5 if step is None else 2, step=step)
 
 
 @register("fit_topics_grid")
@@ -142,3 +142,12 @@ def q_fit_topics_grid_check(spark, sf_dir):
     """Every topic of every run has each vocabulary word once, with probabilities that add up to 1."""
     tt = _fitted(spark, sf_dir)[0]
     return tt.groupBy("model", "topic").agg(F.countDistinct("word").alias("n_words"), F.round(F.sum("prob"), 6).alias("prob_sum"))
+
+
+@register("fit_topics_steps_check", f"""
+SELECT r.model, CAST(t.topic AS INTEGER) AS topic, s.step, (SELECT count(*) FROM fx_vocab) AS n_words, 1.0 AS prob_sum
+FROM {_GRID}, LATERAL (SELECT unnest(range(r.k)) AS topic) t, (SELECT DISTINCT step FROM fx_tokens JOIN fx_vocab ON word = w) s""")
+def q_fit_topics_steps_check(spark, sf_dir):
+    """With a chain along the steps: in every step each topic has each vocabulary word once, with probabilities that add up to 1."""
+    tt = _fitted(spark, sf_dir, "step")[0]
+    return tt.groupBy("model", "topic", "step").agg(F.countDistinct("word").alias("n_words"), F.round(F.sum("prob"), 6).alias("prob_sum"))
