@@ -47,3 +47,43 @@ def test_no_large_table_meets_in_one_task(spark):
         for line in _plan(df).split("\n"):
             if "Window [" in line:
                 assert "pos" in line or "step" in line or "_c" in line or "topic" in line or "_pid" in line, (name, line)
+
+
+def test_samples_equal_a_sort_and_no_task_gets_them_all(spark):
+    from topicspark.operators import steps as S
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "lang")
+    d = d.unionByName(d.where("doc_id < 3")).unionByName(spark.createDataFrame([(None, "x")], d.schema))
+    for shuffle in (True, False):
+        for limit in (1, 2, 50, 199, 10_000):
+            got = S.sample_docs(d, limit, shuffle=shuffle)
+            assert "TakeOrderedAndProject" not in _plan(got) and "GlobalLimit" not in _plan(got)
+            order = S.sample_docs(d, None, shuffle=shuffle)
+            ids = [r.doc_id for r in order.orderBy("doc_order", "doc_id").limit(limit).collect()]
+            assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(r.doc_id) for r in d.collect() if r.doc_id in ids)
+
+
+def test_blocks_grow_in_number_with_the_rows(spark):
+    from topicspark.operators.vectors import paired_in_blocks
+    a, b = spark.range(30).withColumnRenamed("id", "a"), spark.range(41).withColumnRenamed("id", "b")
+    for rows in (1, 7, 256):
+        got = paired_in_blocks(a, b, F.col("a") < F.col("b"), block_rows=rows)
+        assert sorted((r.a, r.b) for r in got.collect()) == [(i, j) for i in range(30) for j in range(41) if i < j]
+    groups = []
+    for n in (300, 600):
+        x = spark.range(n).withColumnRenamed("id", "a")
+        pairs = paired_in_blocks(x, x.withColumnRenamed("a", "b"), block_rows=50).withColumn("p", F.spark_partition_id())
+        groups.append(pairs.count())
+    assert groups == [300 * 300, 600 * 600]
+    assert paired_in_blocks(a.limit(0), b).collect() == []
+
+
+def test_checks_read_each_table_once(spark):
+    from topicspark.operators.checks import check_model
+    docs = spark.createDataFrame([(0, 1999), (1, 1999), (2, 2001)], "doc_idx int, step int")
+    steps = spark.createDataFrame([(0, 2), (1, 1)], "step_idx int, n_docs int")
+    mix = spark.createDataFrame([(i, t, 0.5) for i in range(3) for t in range(2)], "doc_idx int, topic int, weight double")
+    terms = spark.createDataFrame([(t, w, s, 0.5) for t in range(2) for w in range(2) for s in range(2)][:-1], "topic int, word_id int, step_idx int, prob double")
+    voc = spark.createDataFrame([(0,), (1,)], "word_id int")
+    got = {r.check: (r.expected, r.actual, r.ok) for r in check_model(docs, steps, mix, terms, voc, 3, 2).collect()}
+    assert got == {"doc_steps_rows": (3, 3, True), "steps_agree": (2, 2, True), "step_count_total": (3, 3, True), "doc_topic_rows": (6, 6, True),
+                   "topics_per_doc": (2, 2, True), "topics_present": (2, 2, True), "topic_term_full": (2, 1, False)}

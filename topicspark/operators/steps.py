@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.functions import bounded_broadcast, year_month, year_of_date
+from topicspark.functions import bounded_broadcast, ordered_index, year_month, year_of_date
 
 SEED = 42
+#: Hexadecimal digits of a key's md5 by which a sample is counted.
+PREFIX = 4
 
 
 def drop_null_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -75,13 +77,27 @@ def sample_docs(df: DataFrame, limit: int | None, key: str = "doc_id", seed: int
     """Seeded, repeatable order and, with ``limit``, its first rows (limit is the feature).
 
     ``doc_order`` is the sort key: the md5 of seed and id, or the id itself.
-    Rows are not sorted here. A limit ranks ids alone (every task keeps its own
-    first ones) and then picks the documents by a semi join, so no text is
-    sorted or sent to one task.
+    Rows are not sorted here. With a limit, keys are counted by the first digits
+    of their md5 (65,536 groups): all of the groups before the one in which the
+    limit ends are in, and only that one is ranked. Without ``shuffle`` ids are
+    ranked by a distributed sort. Documents are picked by a semi join, so no
+    text is sorted, and no task gets all first ids.
     """
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))) if shuffle else F.col(key)
     out = df.withColumn("doc_order", order)
     if not limit:
         return out
-    first = out.select(key, "doc_order").orderBy("doc_order", key).limit(limit).select(F.col(key).alias("_id"))
+    ids = out.select(F.col(key).alias("_id"), F.col("doc_order").alias("_o"))
+    if shuffle:
+        ids = ids.withColumn("_p", F.substring("_o", 1, PREFIX))
+        counts = ids.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        groups = counts.withColumn("_before", before).where(F.col("_before") < limit)
+        met = ids.join(F.broadcast(groups), "_p")  # at most one row for each prefix
+        ends = F.col("_before") + F.col("_n") > limit
+        rank = F.row_number().over(Window.partitionBy("_p").orderBy("_o", "_id"))
+        last = met.where(ends).withColumn("_r", rank).where(F.col("_r") <= limit - F.col("_before"))
+        first = met.where(~ends).select("_id").unionByName(last.select("_id"))
+    else:
+        first = ordered_index(ids, ["_o", "_id"], "_r").where(F.col("_r") < limit).select("_id")
     return out.join(first, F.col(key).eqNullSafe(F.col("_id")), "left_semi")

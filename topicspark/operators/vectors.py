@@ -1,9 +1,10 @@
 """Pairs of model-sized tables and cosines of their vectors.
 
 Topics x labels and topics x topics are what some results consist of. Both sides
-are dealt into blocks, a block pair is the join key, and each pair of rows is
-made in one task of many: no cross join, nothing brought to the driver, and
-filters on the pair apply where it is made. Vectors are arrays of fixed length.
+are dealt into blocks, as many as their rows need for blocks of bounded size; a
+block pair is the join key, and each pair of rows is made in one task of many:
+no cross join, nothing brought to the driver, and filters on the pair apply
+where it is made. Vectors are arrays of fixed length.
 """
 
 from __future__ import annotations
@@ -11,20 +12,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks of each side; a row is copied this many times.
-BLOCKS = 8
+#: Rows of a block on average. A row is copied once for each block of the other side.
+BLOCK_ROWS = 256
 
 
 def paired_in_blocks(a: DataFrame, b: DataFrame, condition: Column | None = None, on: list[str] | None = None,
-                     blocks: int = BLOCKS) -> DataFrame:
+                     block_rows: int | None = None) -> DataFrame:
     """Every row of ``a`` with every row of ``b`` (within equal ``on`` columns
-    where given), where ``condition`` holds. Column names must differ but for ``on``."""
+    where given), where ``condition`` holds. Column names must differ but for ``on``.
+
+    The blocks of a side follow from its rows, which are counted in the plan.
+    """
     on = on or []
     own_a = [c for c in a.columns if c not in on]
     own_b = [c for c in b.columns if c not in on]
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = a.withColumn("_i", F.pmod(F.xxhash64(*own_a[:2]), F.lit(blocks)).cast("int")).withColumn("_j", every)
-    right = b.withColumn("_j", F.pmod(F.xxhash64(*own_b[:2]), F.lit(blocks)).cast("int")).withColumn("_i", every)
+    rows = block_rows or BLOCK_ROWS
+    n_a, n_b = (F.greatest(F.lit(1), F.ceil(x.select(F.count(F.lit(1))).scalar() / rows)).cast("int") for x in (a, b))
+
+    def dealt(x, own, place, n, other, m):
+        return x.withColumn(place, F.pmod(F.xxhash64(*own[:2]), n).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), m - 1)))
+    left, right = dealt(a, own_a, "_i", n_a, "_j", n_b), dealt(b, own_b, "_j", n_b, "_i", n_a)
     out = left.join(right, [*on, "_i", "_j"]).drop("_i", "_j")
     return out if condition is None else out.filter(condition)
 
