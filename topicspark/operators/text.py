@@ -133,8 +133,11 @@ def merge_sentences(df: DataFrame, col: str = "sents", out: str = "tokens") -> D
 
 def merge_docs(df: DataFrame, col: str = "sents", out: str = "doc", keep_empty: bool = False) -> DataFrame:
     """One space-joined string per document; empty documents dropped unless keep_empty."""
-    res = df.withColumn(out, F.array_join(F.flatten(col), " "))
-    return res if keep_empty else res.filter(F.col(out) != "")
+    text = F.array_join(F.flatten(col), " ")
+    if keep_empty:
+        return df.withColumn(out, text)
+    # a filter on a plain column is pushed below what makes it, and the whole text work is done twice
+    return df.select(*[c for c in df.columns if c != out], F.explode_outer(F.array(text)).alias(out)).filter(F.col(out) != "")
 
 
 def join_ngrams(df: DataFrame, ngrams: DataFrame, col: str = "sents") -> DataFrame:
