@@ -118,3 +118,91 @@ def test_merge_labels_query_equals_brute_force(spark):
 
     assert got == sorted(want)
     assert len(want) > 0
+
+
+def _long_vectors(spark, rows):
+    return spark.createDataFrame([(k, d, float(x)) for k, v in rows.items() for d, x in enumerate(v)], "label string, dim int, v double")
+
+
+def test_similar_labels_equal_all_pairs(spark):
+    """Whole embeddings as label vectors, some moved near others: pairs equal those
+    of all similarities at every threshold, and few are left by the bound at 0.95."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from topicspark.operators import thesaurus as H
+    from topicspark.operators.vectors import cosine_bound, paired_in_blocks, unit_vectors, with_head
+
+    table = fx.table(spark, SF, "embeddings").filter("embedding is not null").select("vec_id", "embedding").orderBy("vec_id").collect()
+    rows = {f"l{r.vec_id}": np.asarray(r.embedding, dtype=float) for r in table}
+    rng = np.random.default_rng(5)
+    for i, name in enumerate(sorted(rows)[:30]):
+        rows[f"near{i}"] = rows[name] + rng.normal(size=len(rows[name])) * np.linalg.norm(rows[name]) / 8 * (0.1 + i / 60)
+    rows["zero"] = np.zeros(64)
+    lvec = _long_vectors(spark, rows).checkpoint()
+    sim = H.label_pairs_similarity(lvec).checkpoint()
+    for threshold in (-0.1, 0.2, 0.95):
+        want = {tuple(r) for r in H.similar_label_pairs(sim, threshold).collect()}
+        got = [tuple(r) for r in H.similar_labels(lvec, threshold).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+    v = with_head(unit_vectors(lvec, ["label"]))
+    a, b = (v.select(F.col("label").alias(f"l{i}"), F.col("head").alias(f"h{i}"), F.col("rest").alias(f"r{i}")) for i in (1, 2))
+    left = paired_in_blocks(a, b, (F.col("l1") < F.col("l2")) & (cosine_bound("h1", "r1", "h2", "r2") >= 0.95)).count()
+    assert left < len(rows) * (len(rows) - 1) / 2 / 100
+
+
+def test_similar_labels_of_changed_ones(spark):
+    """Only pairs with a changed label, each once."""
+    import numpy as np
+
+    from topicspark.operators import thesaurus as H
+
+    rng = np.random.default_rng(9)
+    rows = {f"l{i}": rng.normal(size=6) for i in range(60)}
+    lvec = _long_vectors(spark, rows)
+    changed = {"l3", "l17", "l40", "l41"}
+    every = {tuple(r) for r in H.similar_labels(lvec, 0.3).collect()}
+    got = [tuple(r) for r in H.similar_labels(lvec, 0.3, spark.createDataFrame([(x,) for x in [*changed, "l3"]], "label string")).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {p for p in every if set(p) & changed}
+    assert any(set(p) <= changed for p in got) or len(got) > 4
+
+
+def test_merge_labels_rounds_equal_brute_force(spark):
+    """Several rounds, labels of unlike numbers of phrases, phrases without a vector."""
+    import numpy as np
+
+    from topicspark.operators import thesaurus as H
+
+    rng = np.random.default_rng(0)
+    centre = rng.normal(size=(4, 5))
+    vec = {f"p{i}": centre[i % 4] + rng.normal(size=5) * 0.9 for i in range(80)}
+    label_of = {p: f"L{i % 23:02d}" for i, p in enumerate(vec)}
+    phrases = sorted(vec)
+    thes = spark.createDataFrame([(i, p, label_of[p]) for i, p in enumerate(phrases)] + [(999, "unknown", "L99")], "pos long, phrase string, label string")
+    vectors = spark.createDataFrame([(p, [float(x) for x in v]) for p, v in vec.items()], "word string, vec array<float>")
+    steps, final = H.merge_labels(thes, vectors, threshold=0.7, max_iterations=6)
+    got = {(r.iteration, r.label, r.merged_into) for r in steps.collect()}
+    cur = {p: lab.lower() for p, lab in label_of.items()}
+    f32 = {p: np.asarray(v, dtype="float32").astype(float) for p, v in vec.items()}
+    want, rounds = set(), 0
+    for it in range(6):
+        labs = sorted(set(cur.values()))
+        mean = {lab: np.mean([f32[p] for p in vec if cur[p] == lab], axis=0) for lab in labs}
+        pairs = [(a, b) for i, a in enumerate(labs) for b in labs[i + 1:]
+                 if mean[a] @ mean[b] / np.linalg.norm(mean[a]) / np.linalg.norm(mean[b]) >= 0.7]
+        if not pairs:
+            break
+        rounds += 1
+        group = {x: {x} for p in pairs for x in p}
+        for a, b in pairs:
+            both = group[a] | group[b]
+            for x in both:
+                group[x] = both
+        freq = {x: sum(x in p for p in pairs) for x in group}
+        plan = {x: min(g, key=lambda y: (-freq[y], y)) for x, g in group.items()}
+        want |= {(it, x, m) for x, m in plan.items()}
+        cur = {p: plan.get(lab, lab) for p, lab in cur.items()}
+    assert rounds > 1
+    assert got == want
+    assert {r.phrase: r.label for r in final.collect()} == {**cur, "unknown": "l99"}

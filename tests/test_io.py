@@ -1,5 +1,6 @@
 """Sources and sinks: round trips on small files of the shapes in FIXTURES.md section 2."""
 
+import io
 import json
 import os
 
@@ -174,3 +175,40 @@ def test_report_written(spark, scratch):
     cr = compare_report(c.model, 0, 1)
     W.write_report(cr, f"{scratch}/compare", partition="pair")
     assert spark.read.json(f"{scratch}/compare/unique_topics").columns
+
+
+def test_read_npy_by_ranges(spark, scratch, monkeypatch):
+    """Files above the range size are dealt out; values equal the whole file's, in any layout."""
+    rng = np.random.default_rng(3)
+    want = {}
+    for name, arr in {"c": rng.random((301, 7)), "f": np.asfortranarray(rng.random((53, 31))), "flat": rng.random(999).astype("float32"),
+                      "ints": rng.integers(0, 9, (200, 11), dtype="int16"), "big_endian": rng.random((90, 5)).astype(">f8"),
+                      "none": np.zeros((0, 4))}.items():
+        np.save(f"{scratch}/{name}.npy", arr)
+        full = arr.reshape(1, -1) if arr.ndim == 1 else arr
+        want[name] = {(i, j): float(full[i, j]) for i in range(full.shape[0]) for j in range(full.shape[1])}
+    monkeypatch.setattr(R, "NPY_CELLS", 50)
+    got = {name: {} for name in want}
+    rows = R.read_npy(spark, f"{scratch}/*.npy", range_bytes=1000).withColumn("task", F.spark_partition_id()).collect()
+    tasks = {}
+    for r in rows:
+        name = r.file.rsplit("/", 1)[1].removesuffix(".npy")
+        assert (r.row, r.col) not in got[name]
+        got[name][(r.row, r.col)] = r.value
+        tasks.setdefault(name, set()).add(r.task)
+    assert got == want
+    assert len(tasks["c"]) > 1
+    # the ranges of a large file are planned without its bytes
+    plan = R.read_npy(spark, f"{scratch}/c.npy", range_bytes=1000)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(length,1000)" in plan and "LessThanOrEqual(length,1000)" in plan
+
+
+def test_parse_npy_blocks_of_rows(spark):
+    arr = np.arange(20, dtype="float64").reshape(5, 4)
+    blocks = []
+    for first, part in ((0, arr[:2]), (2, arr[2:])):
+        out = io.BytesIO()
+        np.save(out, part)
+        blocks.append(("m", first, bytearray(out.getvalue())))
+    cells = R.parse_npy(spark.createDataFrame(blocks, "path string, first_row long, content binary")).collect()
+    assert {(r.row, r.col): r.value for r in cells} == {(i, j): arr[i, j] for i in range(5) for j in range(4)}

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicspark.functions import bounded_broadcast, ordered_index, strip_label_code
-from topicspark.operators.labels import label_vectors, phrase_vectors
-from topicspark.operators.vectors import dot, paired_in_blocks, unit_vectors
+from topicspark.operators.labels import phrase_vectors
+from topicspark.operators.vectors import cosine_bound, dot, paired_in_blocks, unit_vectors, with_head
 from topicspark.session import ensure_checkpoint_dir
 
 # Label correction map applied after lowercasing (and remapping).
@@ -98,6 +98,28 @@ def similar_label_pairs(sim: DataFrame, threshold: float = 0.95) -> DataFrame:
     return sim.filter(F.col("similarity") >= threshold).select("l1", "l2")
 
 
+def similar_labels(lvec: DataFrame, threshold: float = 0.95, changed: DataFrame | None = None) -> DataFrame:
+    """<l1, l2> with l1 < l2 and a cosine of at least ``threshold``: the pairs of
+    ``similar_label_pairs`` without the similarities of all others.
+
+    A bound from the first dimensions and the lengths of the rest discards most
+    pairs inside the join, before their dot product. With ``changed`` <label>,
+    only pairs with at least one of these labels are made.
+    """
+    v = with_head(unit_vectors(lvec, ["label"]).filter(F.col("u").isNotNull()))
+    if changed is None:
+        v = v.withColumn("new", F.lit(True))
+    else:
+        marks = changed.select("label").distinct().withColumn("new", F.lit(True))
+        v = v.join(bounded_broadcast(marks), "label", "left").withColumn("new", F.coalesce("new", F.lit(False)))
+    a, b = (v.select(F.col("label").alias(f"l{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("u", "head", "rest", "new")]) for i in (1, 2))
+    # a pair of two changed labels meets twice, with another label once
+    once = ~F.col("new2") | (F.col("l1") < F.col("l2"))
+    near = once & (cosine_bound("head1", "rest1", "head2", "rest2") >= threshold) & (dot("u1", "u2") >= threshold)
+    pairs = paired_in_blocks(a.filter("new1"), b, near)
+    return pairs.select(F.least("l1", "l2").alias("l1"), F.greatest("l1", "l2").alias("l2"))
+
+
 def merge_plan(pairs: DataFrame) -> DataFrame:
     """Connected components of the pair graph: <label, merged_into, group_size>.
 
@@ -137,22 +159,29 @@ def merge_labels(thes: DataFrame, vectors: DataFrame, threshold: float = 0.95, m
 
     Returns (steps <iteration, merged_into, label>, final thesaurus). The loop
     condition is the only driver-side value; each round is checkpointed.
+
+    Sums and counts of a label's phrase vectors add up, so a round makes new
+    ones for the merged labels only. Labels that a round leaves alone are not
+    similar to each other: later rounds compare the merged ones with all.
     """
     spark = thes.sparkSession
     ensure_checkpoint_dir(spark)
     cur = thes.withColumn(label_col, F.lower(F.col(label_col))).checkpoint(eager=True)
-    pvec = phrase_vectors(cur.select("pos", "phrase", F.col(label_col).alias("label")), vectors) \
-        .select("pos", "dim", "v").checkpoint(eager=True)
-    steps = None
+    pvec = phrase_vectors(cur.select("pos", "phrase", F.col(label_col).alias("label")), vectors)
+    sums = pvec.groupBy("label", "dim").agg(F.sum("v").alias("s"), F.count("v").alias("n")).checkpoint(eager=True)
+    steps = changed = None
     for it in range(max_iterations):
-        lab = cur.select("pos", F.col(label_col).alias("label"))
-        lvec = label_vectors(pvec.join(lab, "pos"))
-        pairs = similar_label_pairs(label_pairs_similarity(lvec), threshold).checkpoint(eager=True)
-        if pairs.limit(1).count() == 0:
+        lvec = sums.select("label", "dim", (F.col("s") / F.col("n")).alias("v"))
+        pairs = similar_labels(lvec, threshold, changed).checkpoint(eager=True)
+        if pairs.isEmpty():
             break
-        plan = merge_plan(pairs)
+        plan = merge_plan(pairs).select("label", "merged_into").checkpoint(eager=True)
         step = plan.select(F.lit(it).alias("iteration"), "merged_into", "label")
         steps = step if steps is None else steps.unionByName(step)
+        merged = sums.join(plan, "label").groupBy(F.col("merged_into").alias("label"), "dim") \
+            .agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        sums = sums.join(plan, "label", "left_anti").unionByName(merged).checkpoint(eager=True)
+        changed = plan.select(F.col("merged_into").alias("label"))
         mp = plan.select(F.col("label").alias("_l"), F.col("merged_into").alias("_m"))
         cur = cur.join(bounded_broadcast(mp), F.col(label_col) == F.col("_l"), "left") \
             .withColumn(label_col, F.coalesce("_m", label_col)).drop("_l", "_m").checkpoint(eager=True)
@@ -188,5 +217,5 @@ def merge_by_category(thes: DataFrame, col: str = "MT", names: list[str] | None
 
 __all__ = [
     "normalise_labels", "read_whitelist", "whitelist_labels", "strip_label_code", "label_pairs_similarity",
-    "similar_label_pairs", "merge_plan", "merge_groups", "merge_labels", "apply_merge_steps", "merge_by_category",
+    "similar_label_pairs", "similar_labels", "merge_plan", "merge_groups", "merge_labels", "apply_merge_steps", "merge_by_category",
 ]

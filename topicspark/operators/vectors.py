@@ -57,6 +57,22 @@ def unit_vectors(long: DataFrame, keys: list[str]) -> DataFrame:
     return v.select(*keys, F.when(F.col("_n") > 0, F.transform("vec", lambda x: x / F.col("_n"))).alias("u"))
 
 
+#: Dimensions from which a pair's cosine is bounded first.
+HEAD = 16
+
+
+def with_head(units: DataFrame) -> DataFrame:
+    """``units`` <..., u> with its first ``HEAD`` dimensions and the length of the rest: <..., head, rest>."""
+    head = units.withColumn("head", F.slice("u", 1, HEAD))
+    return head.withColumn("rest", F.sqrt(F.greatest(F.lit(0.0), 1.0 - dot("head", "head"))))
+
+
+def cosine_bound(head1, rest1, head2, rest2) -> Column:
+    """What the cosine of two unit vectors can't exceed: their heads' product and,
+    by Cauchy and Schwarz, the product of the rests' lengths (with room for rounding)."""
+    return dot(head1, head2) + F.col(rest1) * F.col(rest2) + 1e-9
+
+
 def cosines(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str]) -> DataFrame:
     """Cosine of every vector of ``a`` and every vector of ``b`` (long frames): <a_keys..., b_keys..., score>."""
     x = unit_vectors(a, a_keys).withColumnRenamed("u", "_u1")

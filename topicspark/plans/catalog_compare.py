@@ -109,7 +109,7 @@ def q_label_similarity(spark, sf_dir):
 
 @register("similar_label_pairs", "WITH " + _LV + f" SELECT l1, l2 FROM sim WHERE similarity >= {PAIR_THRESHOLD}")
 def q_similar_label_pairs(spark, sf_dir):
-    return H.similar_label_pairs(H.label_pairs_similarity(_label_vecs(spark, sf_dir)), PAIR_THRESHOLD)
+    return H.similar_labels(_label_vecs(spark, sf_dir), PAIR_THRESHOLD)
 
 
 @register("merge_plan", "WITH RECURSIVE " + _LV + f""",
@@ -124,8 +124,7 @@ rep AS (SELECT comp, label AS merged_into FROM (
 sz AS (SELECT comp, count(*) AS group_size FROM cf GROUP BY comp)
 SELECT cf.label, rep.merged_into, sz.group_size FROM cf JOIN rep USING (comp) JOIN sz USING (comp)""")
 def q_merge_plan(spark, sf_dir):
-    pairs = H.similar_label_pairs(H.label_pairs_similarity(_label_vecs(spark, sf_dir)), PAIR_THRESHOLD)
-    return H.merge_plan(pairs)
+    return H.merge_plan(H.similar_labels(_label_vecs(spark, sf_dir), PAIR_THRESHOLD).checkpoint(eager=True))
 
 
 @register("merge_labels")

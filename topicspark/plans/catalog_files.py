@@ -81,11 +81,16 @@ def q_read_topic_term(spark, sf_dir):
     return R.parse_topic_term(lines, 23).withColumn("prob", F.round("prob", 11))
 
 
+#: Ids of the documents that are packed together.
+_NPY_IDS = 4096
+
+
 @register("read_npy", """
 SELECT 'theta-' || CAST(step AS VARCHAR) AS file, row_number() OVER (PARTITION BY step, topic ORDER BY doc_id) - 1 AS row, topic AS col, weight AS value
 FROM fx_doc_topic""")
 def q_read_npy(spark, sf_dir):
-    """One theta matrix per step, its documents in order of id."""
+    """One theta matrix per step, its documents in order of id, packed in blocks
+    of the documents of ``_NPY_IDS`` successive ids."""
     def pack(pdf):
         import io
 
@@ -93,8 +98,12 @@ def q_read_npy(spark, sf_dir):
         import pandas as pd
         out = io.BytesIO()
         np.save(out, pdf.pivot(index="doc_id", columns="topic", values="weight").sort_index().to_numpy())
-        return pd.DataFrame({"path": [f"theta-{pdf['step'].iloc[0]}"], "content": [out.getvalue()]})
-    files = Ctx(spark, sf_dir).doc_topic.groupBy("step").applyInPandas(pack, "path string, content binary")
+        return pd.DataFrame({"path": [f"theta-{pdf['step'].iloc[0]}"], "first_row": [pdf["first_row"].iloc[0]], "content": [out.getvalue()]})
+    dt = Ctx(spark, sf_dir).doc_topic.withColumn("part", F.floor(F.col("doc_id") / _NPY_IDS))
+    before = Window.partitionBy("step").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dt.groupBy("step", "part", "doc_id").count().groupBy("step", "part").agg(F.count(F.lit(1)).alias("n")) \
+        .select("step", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("first_row"))
+    files = dt.join(parts, ["step", "part"]).groupBy("step", "part").applyInPandas(pack, "path string, first_row long, content binary")
     return R.parse_npy(files)
 
 

@@ -12,6 +12,7 @@ from topicspark.operators import steps as S
 from topicspark.operators import text as X
 from topicspark.operators import topics as T
 from topicspark.operators import vocab as V
+from topicspark.session import ensure_checkpoint_dir
 
 
 def build_dataset(corpus: DataFrame, text: str = "text", date_col: str = "date", date_fn=None,
@@ -51,8 +52,14 @@ def build_dataset(corpus: DataFrame, text: str = "text", date_col: str = "date",
 def model_report(topic_term: DataFrame, share: DataFrame, thes: DataFrame, vectors: DataFrame | None = None,
                  n_words: int = 10, n_words_step: int = 30, model: str | None = None) -> dict[str, DataFrame]:
     """Per topic: both label lists and top words; per (topic, step): share
-    (3 decimals) and top words."""
-    tw = T.top_words(topic_term, share, n=n_words)
+    (3 decimals) and top words.
+
+    The topics' top words feed three parts: they are made once and written
+    (checkpoint), so that the model's table is read once for them and once for
+    the words of the steps.
+    """
+    ensure_checkpoint_dir(topic_term.sparkSession)
+    tw = T.top_words(topic_term, share, n=n_words).checkpoint(eager=True)
     words = tw.groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))),
                                                              lambda x: x["word"]), " ").alias("top_words"))
 
@@ -90,12 +97,14 @@ def compare_report(models: DataFrame, m1, m2, similar: float = 0.75, unique: flo
                    n_words: int = 10, thes: DataFrame | None = None, lemmas: DataFrame | None = None) -> dict[str, DataFrame]:
     """Similar and unique topics of one model pair with their top words, and with
     their best label where a thesaurus is given; the heatmap's axes bear the
-    labels' names then."""
-    sim = C.topic_similarity(models, m1, m2)
+    labels' names then. The similarities and the best labels are made once and
+    written (checkpoint)."""
+    ensure_checkpoint_dir(models.sparkSession)
+    sim = C.topic_similarity(models, m1, m2).checkpoint(eager=True)
     best = None
     if thes is not None:
         both = models.filter(F.col("model").isin([m1, m2]))
-        best = L.label_static_topics(both, thes, top_n=1, n_words=n_words, keys=("model", "topic"), lemmas=lemmas)
+        best = L.label_static_topics(both, thes, top_n=1, n_words=n_words, keys=("model", "topic"), lemmas=lemmas).checkpoint(eager=True)
 
     def words(m):
         tw = T.top_words_static(models.filter(F.col("model") == m), n=n_words, with_prob=False)

@@ -123,29 +123,75 @@ def read_topic_term(spark: SparkSession, path_glob: str, n_steps: int, topic_pat
 
 #: Cells of a matrix that are turned into rows at a time.
 NPY_CELLS = 1 << 20
+#: Files up to this size are decoded whole by one task, larger ones by ranges of it.
+NPY_RANGE = 64 << 20
 
 
 def read_npy(spark: SparkSession, path: str, row: str = "row", col: str = "col", value: str = "value",
-             file: str = "file") -> DataFrame:
+             file: str = "file", range_bytes: int | None = None) -> DataFrame:
     """2-D ``.npy`` matrices (static beta / theta) as long rows <file, row, col, value>.
 
     ``path`` is a file or glob on any file system that Spark reads. A task
-    decodes whole files (Spark's limit for one is 2 GB) and hands out at most
-    ``NPY_CELLS`` cells at a time, however wide the matrix is.
+    decodes a whole file of at most ``range_bytes`` (64 MB). Larger files, of
+    any size, are listed without their bytes and dealt out as ranges; each task
+    reads the header and its range through ``pyarrow.fs``, which must know the
+    file system then (local, hdfs, s3, gs, abfs). At most ``NPY_CELLS`` cells are
+    handed out at a time, however wide the matrix is.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return parse_npy(files, row, col, value, file)
+    size = range_bytes or NPY_RANGE
+    files = spark.read.format("binaryFile").load(path)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long")))
+    ranges = files.filter(F.col("length") > size).select("path", starts.alias("start"))
+    # a fixed number of tasks: rows this small would be coalesced into one
+    dealt = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start")
+    whole = files.filter(F.col("length") <= size).select("path", "content")
+    return parse_npy(whole, row, col, value, file).unionByName(_npy_ranges(dealt, size, row, col, value, file))
+
+
+def _npy_ranges(ranges: DataFrame, size: int, row: str, col: str, value: str, file: str) -> DataFrame:
+    """Cells whose first byte lies in the ranges <path, start> of ``size`` bytes."""
+    def decode(batches):
+        import numpy as np
+        import pandas as pd
+        from pyarrow import fs
+        headers = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}
+        for pdf in batches:
+            for name, start in zip(pdf["path"], pdf["start"]):
+                if name.startswith("file:"):
+                    system, inner = fs.LocalFileSystem(), "/" + name[5:].lstrip("/")
+                else:
+                    system, inner = fs.FileSystem.from_uri(name.replace("s3a://", "s3://", 1))
+                with system.open_input_file(inner) as f:
+                    shape, by_column, dtype = headers[np.lib.format.read_magic(f)](f)
+                    if dtype.hasobject:
+                        raise ValueError(f"a matrix of objects is not read: {name}")
+                    origin = f.tell()
+                    rows, cols = shape if len(shape) == 2 else (1, shape[0])
+                    lo, end = (min(rows * cols, -(-max(0, int(x) - origin) // dtype.itemsize)) for x in (start, start + size))
+                    f.seek(origin + lo * dtype.itemsize)
+                    while lo < end:
+                        n = min(end - lo, NPY_CELLS)
+                        cells = np.frombuffer(f.read(n * dtype.itemsize), dtype=dtype)
+                        at = np.arange(lo, lo + n, dtype="int64")
+                        r, c = (at % rows, at // rows) if by_column else (at // cols, at % cols)
+                        yield pd.DataFrame({file: name, row: r, col: c.astype("int32"), value: cells.astype("float64")})
+                        lo += n
+    return ranges.mapInPandas(decode, f"{file} string, {row} long, {col} int, {value} double")
 
 
 def parse_npy(files: DataFrame, row: str = "row", col: str = "col", value: str = "value", file: str = "file") -> DataFrame:
-    """Cells of the matrices in ``files`` <path, content>."""
+    """Cells of the matrices in ``files`` <path, content>.
+
+    A matrix may come as several blocks of its rows under one path: ``first_row``
+    is the place of a block's first row in it (0 where the column is missing).
+    """
     def decode(batches):
         import io
 
         import numpy as np
         import pandas as pd
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
+            for name, first, content in zip(pdf["path"], pdf["first_row"], pdf["content"]):
                 arr = np.load(io.BytesIO(content), allow_pickle=False)
                 arr = arr.reshape(1, -1) if arr.ndim == 1 else arr
                 width = min(arr.shape[1], NPY_CELLS) or 1
@@ -154,9 +200,12 @@ def parse_npy(files: DataFrame, row: str = "row", col: str = "col", value: str =
                     for c in range(0, arr.shape[1], width):
                         block = np.asarray(arr[lo:lo + height, c:c + width], dtype="float64")
                         n, k = block.shape
-                        yield pd.DataFrame({file: name, row: np.repeat(np.arange(lo, lo + n, dtype="int64"), k),
+                        at = np.arange(first + lo, first + lo + n, dtype="int64")
+                        yield pd.DataFrame({file: name, row: np.repeat(at, k),
                                             col: np.tile(np.arange(c, c + k, dtype="int32"), n), value: block.reshape(-1)})
-    return files.select("path", "content").mapInPandas(decode, f"{file} string, {row} long, {col} int, {value} double")
+    if "first_row" not in files.columns:
+        files = files.withColumn("first_row", F.lit(0).cast("long"))
+    return files.select("path", "first_row", "content").mapInPandas(decode, f"{file} string, {row} long, {col} int, {value} double")
 
 
 def read_bow(spark: SparkSession, mult_path: str, vocab: DataFrame) -> DataFrame:
