@@ -74,5 +74,10 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFr
     """Hint a broadcast of ``df`` where its plan statistics bound its size; else
     leave the join strategy to Spark, which decides at run time from the real
     size. No action is run and nothing stays cached."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except ValueError:
+        # estimates of joins multiply and outlive checkpoints: after some rounds they have
+        # more digits than Python turns into a number
+        return df
     return F.broadcast(df) if size <= max_bytes else df
