@@ -323,6 +323,54 @@ def test_bounds_hold_and_estimates_are_unbiased():
     assert abs(error.mean()) < 0.002 and abs(error.diagonal()[:100].mean()) < 0.05
 
 
+def test_rough_bounds_hold_and_roundtrip():
+    rng = np.random.default_rng(6)
+    for dim in (1, 2, 3, 64, 129):
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, 300, dim)))
+        b[:100] = a[:100] * 0.97 + b[:100] * 0.2
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        u = np.concatenate([a, b])
+        packed, width = embedding_dedup.quarters(u)
+        corner, turned = embedding_dedup.rough(packed, width, dim)
+        want = u @ embedding_dedup.rotation(dim, embedding_dedup.SEED).T
+        assert np.abs(turned - want).max(axis=1).max() <= width.max() / 2 + 1e-6
+        assert ((corner > 0) == (want > 0)).all()
+        code, factor = embedding_dedup.codes(u)
+        n = len(u)
+        group = {"b1": np.zeros(n, int), "b2": np.zeros(n, int), "block": np.zeros(n, int), "factor": factor, "width": width,
+                 "corner": corner, "turned": turned, "earlier": np.zeros((n, 0), "<u4")}
+        near = u @ u.T >= 0.93
+        np.fill_diagonal(near, False)
+        likely = set(embedding_dedup._likely(group, 0.93).tolist())
+        assert set(np.flatnonzero(near.any(axis=1)).tolist()) <= likely
+        if dim >= 64:  # unlike vectors are told by their codes
+            assert len(likely) < 2 * near.any(axis=1).sum() + 30
+
+
+def test_links_of_a_label_do_not_depend_on_others(spark):
+    """Pairs at the very threshold, recall as registered: a small label is compared
+    whole, in two blocks too, also beside a large one."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(64).tolist(), "large") for i in range(3000)]
+    pairs = []
+    for label, n in (("small", 300), ("middle", 1500)):
+        for k in range(n // 2):
+            u, w = (x / np.linalg.norm(x) for x in rng.standard_normal((2, 64)))
+            w = w - (w @ u) * u
+            v = 0.931 * u + math.sqrt(1 - 0.931**2) * w / np.linalg.norm(w)
+            at = 10_000 + len(pairs) * 2
+            pairs.append((at, at + 1))
+            rows += [(at, u.tolist(), label), (at + 1, v.tolist(), label)]
+    schema = "vec_id bigint, embedding array<double>, label string"
+    got = {r.vec_id: r for r in embedding_dedup.link_vectors(spark.createDataFrame(rows, schema)).collect()}
+    assert len(got) == len(rows)
+    for a, b in pairs:
+        assert got[a].component_id == got[b].component_id == a and got[a].n_links == got[b].n_links == 1
+    assert all(got[i].n_links == 0 for i in range(3000))
+    alone = {r.vec_id: r for r in embedding_dedup.link_vectors(spark.createDataFrame([r for r in rows if r[2] == "small"], schema)).collect()}
+    assert all(alone[i] == got[i] for i in alone)
+
+
 def test_bands_reach_the_recall():
     for n in (1, 100, 10_000, 10**9):
         bits, bands = embedding_dedup.bands_for(n)
