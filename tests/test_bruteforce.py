@@ -206,3 +206,30 @@ def test_merge_labels_rounds_equal_brute_force(spark):
     assert rounds > 1
     assert got == want
     assert {r.phrase: r.label for r in final.collect()} == {**cur, "unknown": "l99"}
+
+
+def test_grid_report_equals_reports_of_each_run(spark):
+    """One plan for all runs: every run's rows are those of its own report."""
+    from pyspark.sql import functions as F
+
+    from topicspark.plans.catalog import Ctx
+    from topicspark.plans.report import grid_report, model_report
+
+    c = Ctx(spark, SF)
+    n = c.topic_term.select("topic").distinct().count()
+    # another run: other topics in other steps' shares, some words missing
+    other = c.topic_term.filter(F.col("word_id") % 5 != 0).withColumn("topic", (F.col("topic") + 1) % n)
+    tt = {"k3_a": c.topic_term, "k3_b": other}
+    grid = grid_report(*[x.unionByName(y) for x, y in (
+        [t.withColumn("model", F.lit(m)) for m, t in tt.items()], [c.share.withColumn("model", F.lit(m)) for m in tt])], c.thesaurus, c.word_vec)
+    differ = []
+    for part in ("topics", "topic_steps"):
+        rows = {tuple(sorted(r.asDict().items(), key=str)) for r in grid[part].collect()}
+        want = set()
+        for m, t in tt.items():
+            own = {tuple(sorted(r.asDict().items(), key=str)) for r in model_report(t, c.share, c.thesaurus, c.word_vec, model=m)[part].collect()}
+            assert own and not own & want
+            want |= own
+        assert rows == want
+        differ.append(len({r.top_words for r in grid[part].collect()}) > n)
+    assert any(differ)

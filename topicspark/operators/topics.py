@@ -49,26 +49,26 @@ def _rescale(df: DataFrame, keys, col: str) -> DataFrame:
 
 
 def top_words(topic_term: DataFrame, share: DataFrame | None = None, n: int = 10,
-              weighted: bool = True, rescaled: bool = True, step: str = "step") -> DataFrame:
-    """Top n words per topic over all steps.
+              weighted: bool = True, rescaled: bool = True, step: str = "step", keys=("topic",)) -> DataFrame:
+    """Top n words per topic (``keys``: of several models, <model, topic>) over all steps.
 
     weighted: score = sum over steps of share(topic, step) * prob(word | topic, step)
     else:     score = sum over steps of prob.  Ties: word_id desc (Q13).
-    Returns <topic, rank, word_id, word, prob> (prob rescaled to sum 1 over the n).
+    Returns <keys..., rank, word_id, word, prob> (prob rescaled to sum 1 over the n).
     """
     if weighted:
         if share is None:
             raise ValueError("weighted top words need the step shares")
-        j = topic_term.join(bounded_broadcast(share.select(step, "topic", "share")), [step, "topic"])
+        j = topic_term.join(bounded_broadcast(share.select(step, *keys, "share")), [step, *keys])
         contrib = F.col("share") * F.col("prob")
     else:
         j = topic_term
         contrib = F.col("prob")
-    acc = j.groupBy("topic", "word_id", "word").agg(F.sum(contrib).alias("prob"))
-    top = _rank(acc, ["topic"], "prob", n)
+    acc = j.groupBy(*keys, "word_id", "word").agg(F.sum(contrib).alias("prob"))
+    top = _rank(acc, keys, "prob", n)
     if rescaled:
-        top = _rescale(top, ["topic"], "prob")
-    return top.select("topic", "rank", "word_id", "word", "prob")
+        top = _rescale(top, keys, "prob")
+    return top.select(*keys, "rank", "word_id", "word", "prob")
 
 
 def top_words_over_time(topic_term: DataFrame, n: int = 10, rescaled: bool = True,
@@ -81,11 +81,11 @@ def top_words_over_time(topic_term: DataFrame, n: int = 10, rescaled: bool = Tru
 
 
 def top_words_frame(topic_term: DataFrame, n: int = 10, topic: int | None = None,
-                    step: str = "step") -> DataFrame:
+                    step: str = "step", keys=("topic",)) -> DataFrame:
     """One row per (topic, step) with the ordered top-word array."""
     src = topic_terms(topic_term, topic)
-    top = _rank(src, ["topic", step], "prob", n)
-    return top.groupBy("topic", step).agg(
+    top = _rank(src, [*keys, step], "prob", n)
+    return top.groupBy(*keys, step).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("top_words"))
 
 

@@ -50,7 +50,7 @@ def build_dataset(corpus: DataFrame, text: str = "text", date_col: str = "date",
 
 
 def model_report(topic_term: DataFrame, share: DataFrame, thes: DataFrame, vectors: DataFrame | None = None,
-                 n_words: int = 10, n_words_step: int = 30, model: str | None = None) -> dict[str, DataFrame]:
+                 n_words: int = 10, n_words_step: int = 30, model: str | None = None, keys=("topic",)) -> dict[str, DataFrame]:
     """Per topic: both label lists and top words; per (topic, step): share
     (3 decimals) and top words.
 
@@ -59,22 +59,23 @@ def model_report(topic_term: DataFrame, share: DataFrame, thes: DataFrame, vecto
     the words of the steps.
     """
     ensure_checkpoint_dir(topic_term.sparkSession)
-    tw = T.top_words(topic_term, share, n=n_words).checkpoint(eager=True)
-    words = tw.groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))),
-                                                             lambda x: x["word"]), " ").alias("top_words"))
+    keys = list(keys)
+    tw = T.top_words(topic_term, share, n=n_words, keys=keys).checkpoint(eager=True)
+    words = tw.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))),
+                                                           lambda x: x["word"]), " ").alias("top_words"))
 
     def label_list(lab):
-        return lab.groupBy("topic").agg(F.array_join(F.transform(
+        return lab.groupBy(*keys).agg(F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "label", "score"))),
             lambda x: F.concat(x["label"], F.lit(":"), x["score"].cast("string"))), ", ").alias("labels"))
-    tfidf = label_list(L.label_topics(tw, thes, top_n=4, score_type="tfidf")).withColumnRenamed("labels", "tfidf_labels")
-    topics = words.join(tfidf, "topic", "left")
+    tfidf = label_list(L.label_topics(tw, thes, top_n=4, score_type="tfidf", keys=keys)).withColumnRenamed("labels", "tfidf_labels")
+    topics = words.join(tfidf, keys, "left")
     if vectors is not None:
-        emb = label_list(L.label_topics(tw, thes, vectors, top_n=4, score_type="embedding"))
-        topics = topics.join(emb.withColumnRenamed("labels", "emb_labels"), "topic", "left")
-    frame = T.top_words_frame(topic_term, n=n_words_step)
-    steps = share.join(frame, ["topic", "step"], "left").select(
-        "topic", "step", F.format_string("%05.3f", F.col("share")).alias("share"),
+        emb = label_list(L.label_topics(tw, thes, vectors, top_n=4, score_type="embedding", keys=keys))
+        topics = topics.join(emb.withColumnRenamed("labels", "emb_labels"), keys, "left")
+    frame = T.top_words_frame(topic_term, n=n_words_step, keys=keys)
+    steps = share.join(frame, [*keys, "step"], "left").select(
+        *keys, "step", F.format_string("%05.3f", F.col("share")).alias("share"),
         F.array_join(F.coalesce("top_words", F.array()), " ").alias("top_words"))
     if model is not None:
         topics = topics.withColumn("model", F.lit(model))
@@ -82,15 +83,11 @@ def model_report(topic_term: DataFrame, share: DataFrame, thes: DataFrame, vecto
     return {"topics": topics, "topic_steps": steps}
 
 
-def grid_report(runs: DataFrame, load, thes: DataFrame, vectors: DataFrame | None = None, **kw) -> dict[str, DataFrame]:
-    """``model_report`` of every run of a grid (``discover_models``: one row for
-    each run) as one frame per part. ``load(run)`` returns <topic_term, share>."""
-    out: dict[str, DataFrame] = {}
-    for row in runs.orderBy("run").collect():
-        topic_term, share = load(row["run"])
-        for name, df in model_report(topic_term, share, thes, vectors, model=row["run"], **kw).items():
-            out[name] = df if name not in out else out[name].unionByName(df)
-    return out
+def grid_report(topic_term: DataFrame, share: DataFrame, thes: DataFrame, vectors: DataFrame | None = None,
+                **kw) -> dict[str, DataFrame]:
+    """``model_report`` of all runs of a grid as one plan, whatever their number:
+    the tables of the runs (``discover_models``) have their names in ``model``."""
+    return model_report(topic_term, share, thes, vectors, keys=("model", "topic"), **kw)
 
 
 def compare_report(models: DataFrame, m1, m2, similar: float = 0.75, unique: float = 0.25,
