@@ -302,10 +302,14 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
             assert (r.n_links, r.component_id, r.kept) == (n[r.vec_id] if r.vec_id is not None else 0, root(r.vec_id), r.vec_id == root(r.vec_id) if r.vec_id is not None else True), r
 
 
-def test_recall_against_brute_force(spark):
+@pytest.mark.parametrize("block", [2, 1024])  # by bands, whole labels
+def test_recall_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     n, root = brute_links([(r.vec_id, r.embedding, r.label) for r in df.collect()])
     got = embedding_dedup.link_vectors(df).collect()
+    assert embedding_dedup.plan_for(59, block)[0] == (8 if block == 2 else 0)
+    assert block == 2 or sum(r.n_links for r in got) == sum(n.values())
     assert sum(r.n_links for r in got) >= 0.99 * sum(n.values()) and all(r.n_links <= n[r.vec_id] for r in got)
     assert sum(r.component_id == root(r.vec_id) for r in got) >= 0.99 * len(got)
 
