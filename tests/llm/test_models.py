@@ -382,6 +382,21 @@ def test_bands_reach_the_recall():
         assert 1 - (1 - agree) ** bands >= embedding_dedup.RECALL
 
 
+def test_one_id_with_other_labels_and_lengths(spark):
+    rng = np.random.default_rng(9)
+    u, v, w = rng.standard_normal((3, 64)).tolist()
+    short = rng.standard_normal(16).tolist()
+    near = (np.array(w) + rng.standard_normal(64) * 0.01).tolist()
+    rows = [(1, u, 1), (1, v, 2), (1, short, 1), (2, u, 2), (3, w, 2), (4, near, 2), (5, short, 2), (6, v, 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = embedding_dedup.link_vectors(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_links, r.component_id) == ((1, 3) if r.vec_id in (3, 4) else (0, r.vec_id)), r
+    linked = embedding_dedup.link_vectors(df.unionByName(spark.createDataFrame([(7, (np.array(v) * 2).tolist(), 2)], df.schema))).collect()
+    assert {(r.n_links, r.component_id) for r in linked if r.vec_id in (1, 7)} == {(1, 1)}
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert embedding_dedup.link_vectors(df).collect() == []
