@@ -6,8 +6,9 @@ grid row. Here each run is fitted by expectation maximisation over tables:
   one), doc_topic <model, doc_id, topic, weight>.
 
 A round joins each document's words to their rows of the topic matrix, a table
-by (step, word), finds the document's mixture in its own row, and adds up what
-each word gives to each topic. With steps, a topic's shares of a word are
+by (step, word), which is broadcast while it is of bounded size; it finds the
+mixtures of the documents of a batch at once, and adds up what each word gives to
+each topic. Only these sums are exchanged then, and kept from round to round. With steps, a topic's shares of a word are
 smoothed along them (``operators.chain``): ``topic_var`` is the variance of the
 chain, and with 0 all steps have the static model. Nothing of the vocabulary's
 size comes to the driver.
@@ -16,11 +17,13 @@ size comes to the driver.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.functions import ordered_index
+from topicspark.functions import measured_broadcast, ordered_index
+from topicspark.functions.ids import BROADCAST_BYTES
 from topicspark.operators import chain
 from topicspark.session import ensure_checkpoint_dir
 
@@ -33,49 +36,86 @@ def run_name(run: dict) -> str:
     return f"k{run['topics']}_a{run['alpha']}_var{run['topic_var']}"
 
 
-def mixture(counts: np.ndarray, probs: np.ndarray, alpha: float, rounds: int = DOC_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """A document's topic weights (they add up to 1) and what each of its words
-    gives to each topic, for word ``counts`` and their probabilities (words x topics)."""
-    theta = np.full(probs.shape[1], 1 / probs.shape[1])
+def mixtures(counts: np.ndarray, probs: np.ndarray, starts: np.ndarray, alpha: float, rounds: int = DOC_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Topic weights of documents (topics x documents; each one's add up to 1) and
+    what each of their words gives to each topic (topics x words), for word
+    ``counts`` and their probabilities (topics x words). A document's words are
+    next to each other; ``starts`` has the place of its first one."""
+    own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(counts))))
+    theta = np.full((len(probs), len(starts)), 1 / len(probs))
     for _ in range(rounds):
-        given = probs * theta
-        given *= (counts / np.maximum(given.sum(axis=1), 1e-300))[:, None]
-        theta = given.sum(axis=0) + alpha
-        theta /= theta.sum()
+        given = probs * theta[:, own]
+        given *= counts / np.maximum(given.sum(axis=0), 1e-300)
+        theta = np.add.reduceat(given, starts, axis=1) + alpha
+        theta /= theta.sum(axis=0)
     return theta, given
 
 
-def _mixtures(topics: int, alpha: float):
+def mixture(counts: np.ndarray, probs: np.ndarray, alpha: float, rounds: int = DOC_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """``mixtures`` of one document, with ``probs`` and the result as words x topics."""
+    theta, given = mixtures(counts, np.ascontiguousarray(probs.T), np.zeros(1, int), alpha, rounds)
+    return theta[:, 0], given.T
+
+
+def _documents(batches, topics: int, alpha: float):
+    """(rows, starts, theta, given) for rows <_doc, cnt, b ...> of whole documents, which are next to each other."""
+    def done(rows, starts):
+        probs = np.asarray(pc.list_flatten(rows.column("b"))).reshape(-1, topics).T
+        return rows, starts, *mixtures(rows.column("cnt").to_numpy().astype(float), np.ascontiguousarray(probs), starts, alpha)
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
+        if not rows.num_rows:
+            continue
+        doc = rows.column("_doc").to_numpy()
+        starts = np.append(0, np.flatnonzero(doc[1:] != doc[:-1]) + 1)
+        # the last document may go on in the next batch
+        held, whole = rows.slice(int(starts[-1])), starts[:-1]
+        if len(whole):
+            yield done(rows.slice(0, int(starts[-1])), whole)
+    if held is not None:
+        yield done(held, np.zeros(1, int))
+
+
+def _word_gifts(topics: int, alpha: float):
+    def run(batches):
+        names = ["step", "word_id", *[f"n{k}" for k in range(topics)]]
+        for rows, _, _, given in _documents(batches, topics, alpha):
+            out = [rows.column("step"), rows.column("word_id"), *[pa.chunked_array([pa.array(n)]) for n in given]]
+            yield from pa.Table.from_arrays(out, names).combine_chunks().to_batches()
+    return run
+
+
+def _doc_weights(topics: int, alpha: float):
     def run(batches):
-        for pdf in batches:
-            out = []
-            for doc, step, counts, probs in zip(pdf["_doc"], pdf["step"], pdf["cnt"], pdf["b"]):
-                theta, given = mixture(np.asarray(counts, float), np.concatenate(list(probs)).reshape(-1, topics), alpha)
-                out.append((doc, step, theta.tolist(), given.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["_doc", "step", "theta", "given"])
+        for rows, starts, theta, _ in _documents(batches, topics, alpha):
+            weights = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * topics, pa.int32()), pa.array(theta.T.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(rows.column("_doc").to_numpy()[starts]), weights], ["_doc", "theta"])
     return run
 
 
 def _counted(docs: DataFrame, tokens: str, key: str, step: str | None) -> tuple[DataFrame, DataFrame]:
     """Words <word_id, word>, and documents <_doc, key, step, word_ids, cnt>; documents without words are left out."""
     at = F.lit(0) if step is None else F.col(step)
-    words = docs.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    voc = ordered_index(words, [F.desc("n"), "word"], "word_id").select("word_id", "word")
     rows = docs.withColumn("_doc", F.monotonically_increasing_id()).select("_doc", key, at.alias("step"), tokens).checkpoint(eager=True)
-    each = rows.select("_doc", F.explode(tokens).alias("word")).groupBy("_doc", "word").agg(F.count(F.lit(1)).alias("cnt")).join(voc, "word")
+    words = rows.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    voc = ordered_index(words, [F.desc("n"), "word"], "word_id").select("word_id", "word")
+    voc = voc.checkpoint(eager=True)
+    each = rows.select("_doc", F.explode(tokens).alias("word")).join(measured_broadcast(voc), "word").groupBy("_doc", "word_id").agg(F.count(F.lit(1)).alias("cnt"))
     own = each.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("word_id", "cnt"))).alias("w"))
     out = own.join(rows.select("_doc", key, "step"), "_doc")
-    return voc.checkpoint(eager=True), out.select("_doc", key, "step", F.col("w.word_id").alias("word_ids"), F.col("w.cnt").alias("cnt")).where("step is not null").checkpoint(eager=True)
+    return voc, out.select("_doc", key, "step", F.col("w.word_id").alias("word_ids"), F.col("w.cnt").alias("cnt")).where("step is not null").checkpoint(eager=True)
 
 
-def _round(own: DataFrame, matrix: DataFrame, topics: int, alpha: float) -> DataFrame:
-    """<_doc, step, theta, word_ids, given>: each document's mixture and its words' shares under ``matrix``."""
-    asked = own.select("_doc", "step", F.posexplode("word_ids").alias("pos", "word_id"))
-    # a document's words: at most as many as it has
-    found = asked.join(matrix, ["step", "word_id"]).groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("pos", "b"))).alias("b"))
-    ready = own.join(found, "_doc").select("_doc", "step", "cnt", F.col("b.b").alias("b"))
-    step_type = own.schema["step"].dataType.simpleString()
-    return ready.mapInPandas(_mixtures(topics, alpha), f"_doc long, step {step_type}, theta array<double>, given array<double>")
+def _asked(own: DataFrame, matrix: DataFrame, on: list[str], n_rows: int, topics: int) -> DataFrame:
+    """<_doc, step, word_id, cnt, b>: documents' words with their row of ``matrix``
+    (``n_rows`` at most), a document's next to each other."""
+    pairs = own.select("_doc", "step", F.explode(F.arrays_zip("word_ids", "cnt")).alias("w")).select("_doc", "step", "w.word_ids", "w.cnt").withColumnRenamed("word_ids", "word_id")
+    cols = ["_doc", "step", "word_id", "cnt", "b"]
+    if n_rows * (8 * topics + 64) <= BROADCAST_BYTES:  # documents stay as they are
+        return pairs.join(F.broadcast(matrix), on).select(*cols)
+    return pairs.join(matrix, on).select(*cols).repartition("_doc").sortWithinPartitions("_doc", "word_id")
 
 
 def _shares(counts: DataFrame, steps: DataFrame, topics: int, n_words: int, chain_var: float, word_prior: float) -> DataFrame:
@@ -119,23 +159,24 @@ def fit_topics_grid(docs: DataFrame, runs: list[dict], tokens: str = "tokens", k
     n_words = max(1, voc.count())
     # one row for each step
     steps = ordered_index(own.select("step").distinct(), ["step"], "place").withColumn("place", F.col("place").cast("int")).checkpoint(eager=True)
+    n_steps = max(1, steps.count())
     tts, dts = [], []
     for run in runs:
         topics, alpha, name = int(run["topics"]), float(run["alpha"]), run_name(run)
-        # seeded start: about even shares; the same in all steps, but only for words that the corpus has there
+        # seeded start: about even shares, the same in all steps
         noise = F.transform(F.sequence(F.lit(0), F.lit(topics - 1)), lambda k: (1 + F.pmod(F.xxhash64(F.lit(seed), "word", k), F.lit(1000)) / 1000) / (1.5 * n_words))
-        words = voc.select("word_id", noise.alias("b"))
-        matrix = own.select("step", F.explode("word_ids").alias("word_id")).distinct().join(words, "word_id").select("step", "word_id", "b").checkpoint(eager=True)
-        last = max(1, max_iter) - 1
-        for i in range(last + 1):
-            mixed = _round(own, matrix, topics, alpha)
-            if i == last:  # read twice
-                mixed = mixed.checkpoint(eager=True)
-            given = mixed.join(own.select("_doc", "word_ids"), "_doc").select("step", F.posexplode("word_ids").alias("i", "word_id"), "given")
-            given = given.select("step", "word_id", *[F.get("given", F.col("i") * topics + k).alias(f"n{k}") for k in range(topics)])
-            counts = given.groupBy("step", "word_id").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(topics)])
+        matrix, on, n_rows = voc.select("word_id", noise.alias("b")), ["word_id"], n_words
+        step_type = own.schema["step"].dataType.simpleString()
+        sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(topics)]
+        for _ in range(max(1, max_iter)):
+            asked = _asked(own, matrix, on, n_rows, topics)
+            given = asked.mapInArrow(_word_gifts(topics, alpha), f"step {step_type}, word_id long, " + ", ".join(f"n{k} double" for k in range(topics)))
+            counts = given.groupBy("step", "word_id").agg(*sums)
             counts = counts.select("step", "word_id", F.array(*[F.col(f"n{k}") for k in range(topics)]).alias("n")).checkpoint(eager=True)
             matrix = _shares(counts, steps, topics, n_words, float(run["topic_var"]) if step else 0.0, word_prior)
+            on, n_rows = ["step", "word_id"], n_words * n_steps
+        # the mixtures behind the last round's counts, made when they are read
+        mixed = asked.mapInArrow(_doc_weights(topics, alpha), "_doc long, theta array<double>")
         tt = matrix.join(voc, "word_id").select(F.lit(name).alias("model"), F.posexplode("b").alias("topic", "prob"), "step", "word_id", "word")
         tts.append(tt.select("model", "topic", *(["step"] if step else []), "word_id", "word", "prob"))
         dt = mixed.join(own.select("_doc", key), "_doc").select(F.lit(name).alias("model"), key, F.posexplode("theta").alias("topic", "weight"))
