@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from topicspark.functions import bounded_broadcast, ordered_index
+from topicspark.functions import measured_broadcast, ordered_index
 
 
 def split_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
@@ -21,7 +22,8 @@ def split_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> Data
 
 
 def tokens_long(df: DataFrame, tokens: str = "tokens", key: str = "doc_id", keep=()) -> DataFrame:
-    return df.select(key, *keep, F.posexplode(tokens).alias("pos", "w"))
+    # an outer explode, as the other one has its array computed once more to filter on its size
+    return df.select(key, *keep, F.posexplode_outer(tokens).alias("pos", "w")).where("pos is not null")
 
 
 def word_counts(tok: DataFrame) -> DataFrame:
@@ -34,6 +36,11 @@ def vocab(tok: DataFrame, min_freq: int = 150, order: str = "doc_order") -> Data
 
     First appearance = min (doc order, position). Returns <word_id, word, cnt>.
     """
+    if isinstance(tok.schema[order].dataType, IntegralType):
+        # order and position in one number: combined in the scan's tasks, so one row per word and task is exchanged
+        place = F.col(order).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
+        kept = tok.groupBy("w").agg(F.count(F.lit(1)).alias("cnt"), F.min(place).alias("_p")).filter(F.col("cnt") > min_freq)
+        return ordered_index(kept, ["_p"], name="word_id").select("word_id", F.col("w").alias("word"), "cnt")
     # two hash aggregates (numeric buffers, partial aggregation on the map
     # side) instead of one sort-based min over a struct
     per_doc = tok.groupBy("w", order).agg(F.count(F.lit(1)).alias("_c"), F.min("pos").alias("_p"))
@@ -47,13 +54,17 @@ def vocab(tok: DataFrame, min_freq: int = 150, order: str = "doc_order") -> Data
 def doc_term_counts(tok: DataFrame, voc: DataFrame, key: str = "doc_id", keep=()) -> DataFrame:
     """<doc, word_id, cnt, first_pos> within the vocabulary.
 
-    Aggregates per (doc, word) before joining the vocabulary, so the join sees
-    distinct pairs only; AQE broadcasts the vocabulary when it is small.
+    A vocabulary of bounded size is broadcast to the tokens, so that words outside
+    it and all words' text stay in the scan's tasks and (doc, word_id) is what is
+    counted. A larger one meets the counts per (doc, word) in a join, as does one
+    in which ids repeat. The vocabulary is read first, to measure it.
     """
+    v = voc.select(F.col("word").alias("w"), "word_id")
+    small = measured_broadcast(v)
+    if small is not v and v.groupBy("word_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        g = tok.join(small, "w").groupBy(key, *keep, "word_id").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
+        return g.select(key, *keep, "cnt", "first_pos", "word_id")
     g = tok.groupBy(key, *keep, "w").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
-    # the vocabulary is broadcast after a row-count check (it is bounded by
-    # min_freq); the token side then keeps its partitioning by document
-    v = bounded_broadcast(voc.select(F.col("word").alias("w"), "word_id"))
     return g.join(v, "w").drop("w")
 
 
