@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.functions import line_index
+from topicspark.functions import line_index, measured_broadcast
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str | None = None, schema=None, multiline: bool = True) -> DataFrame:
@@ -216,12 +216,14 @@ def parse_bow(lines: DataFrame, vocab: DataFrame) -> DataFrame:
     """Sparse dataset back to words, each repeated count times: <doc_idx, tokens>.
     A word id that the vocabulary lacks fails the query and is named in the error."""
     lines = _filled(lines)
+    # an outer explode, as the other one has its array computed once more to filter on its size
     pairs = lines.select(F.col("line").alias("doc_idx"),
-                         F.posexplode(F.slice(F.split(F.trim("value"), " "), 2, 1 << 30)).alias("k", "pair"))
+                         F.posexplode_outer(F.slice(F.split(F.trim("value"), " "), 2, 1 << 30)).alias("k", "pair")).where("k is not null")
     ic = pairs.select("doc_idx", "k", F.split("pair", ":")[0].cast("long").alias("word_id"),
                       F.split("pair", ":")[1].cast("int").alias("count"))
     unknown = F.raise_error(F.concat(F.lit("word id not in the vocabulary: "), F.coalesce(F.col("word_id").cast("string"), F.lit("null"))))
-    j = ic.join(vocab.select("word_id", "word"), "word_id", "left").withColumn(
+    # with a vocabulary of bounded size the pairs stay where they are; in a sort-merge join a frequent word is one task's work
+    j = ic.join(measured_broadcast(vocab.select("word_id", "word")), "word_id", "left").withColumn(
         "word", F.when(F.col("word").isNotNull(), F.col("word")).otherwise(unknown.cast("string")))
     return j.groupBy("doc_idx").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "word", "count"))),
                                                           lambda x: F.array_repeat(x["word"], x["count"]))).alias("tokens"))
