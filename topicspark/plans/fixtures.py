@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicspark.functions import LETTER_SPLIT, ordered_index, tokens
+from topicspark.functions import LETTER_SPLIT, measured_broadcast, ordered_index, tokens
 
 N_TOPICS = 6
 VOCAB_MIN_COUNT = 20
@@ -30,7 +30,8 @@ def fx_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_tokens(corpus: DataFrame) -> DataFrame:
     """One row per token: lower(text) split on non-letters, 0-based pos."""
     arr = tokens("text", LETTER_SPLIT)
-    return corpus.select("doc_id", "lang", "source", "step", F.posexplode(arr).alias("pos", "w"))
+    # an outer explode, as the other one has its array computed once more to filter on its size
+    return corpus.select("doc_id", "lang", "source", "step", F.posexplode_outer(arr).alias("pos", "w")).where("pos is not null")
 
 
 def fx_vocab(tok: DataFrame, min_count: int = VOCAB_MIN_COUNT) -> DataFrame:
@@ -51,22 +52,25 @@ def fx_doc_topic(corpus: DataFrame) -> DataFrame:
     return d.select("doc_id", "step", "topic", w.alias("weight"))
 
 
+def _word_shares(words: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
+    """<keys, word_id, word, prob>: each vocabulary word's share of its group's words ``w``."""
+    # other words than the vocabulary's are dropped before they are counted, and words are counted by their ids
+    v = measured_broadcast(vocab.select("word_id", F.col("word").alias("w")))
+    c = words.join(v, "w").groupBy(*keys, "word_id").agg(F.count(F.lit(1)).alias("c"))
+    tot = F.sum("c").over(Window.partitionBy(*keys))
+    return c.select(*keys, "word_id", (F.col("c") / tot).alias("prob")).join(v, "word_id").select(*keys, "word_id", F.col("w").alias("word"), "prob")
+
+
 def fx_topic_term(tok: DataFrame, vocab: DataFrame) -> DataFrame:
     """Per (topic, step): prob of each vocabulary word = count / total."""
-    c = tok.select(topic_of_source().alias("topic"), "step", "w").groupBy("topic", "step", "w").agg(F.count(F.lit(1)).alias("c"))
-    j = c.join(vocab.select("word_id", F.col("word").alias("w")), "w")
-    tot = F.sum("c").over(Window.partitionBy("topic", "step"))
-    return j.select("topic", "step", "word_id", F.col("w").alias("word"), (F.col("c") / tot).alias("prob"))
+    return _word_shares(tok.select(topic_of_source().alias("topic"), "step", "w"), vocab, ["topic", "step"])
 
 
 def fx_model(tok: DataFrame, vocab: DataFrame, n_models: int = 2) -> DataFrame:
     """Static models: model = floor(doc_id / 20) % n_models, prob per (model, topic)."""
     own = tok.select(
         (F.floor(F.col("doc_id") / 20) % n_models).cast("int").alias("model"), topic_of_source().alias("topic"), "w")
-    c = own.groupBy("model", "topic", "w").agg(F.count(F.lit(1)).alias("c"))
-    j = c.join(vocab.select("word_id", F.col("word").alias("w")), "w")
-    tot = F.sum("c").over(Window.partitionBy("model", "topic"))
-    return j.select("model", "topic", "word_id", F.col("w").alias("word"), (F.col("c") / tot).alias("prob"))
+    return _word_shares(own, vocab, ["model", "topic"])
 
 
 def fx_word_vec(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
