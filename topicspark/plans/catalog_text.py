@@ -126,7 +126,8 @@ def q_filter_tokens(spark, sf_dir):
 def plural_lemmas(spark, sf_dir):
     """Lemma table derived from the corpus: ``<stem>s`` -> ``<stem>`` when the stem is a word too."""
     d = Ctx(spark, sf_dir).t("documents")
-    words = d.select(F.explode(F.array_distinct(F.split(F.lower("text"), TOKEN_PATTERN))).alias("w")).where("w <> ''")
+    # an outer explode, as the other one has its array computed once more to filter on its size
+    words = d.select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), TOKEN_PATTERN))).alias("w")).where("w <> ''")
     # each word, and a word on -s once more as its stem: both meet in one aggregate
     stem = F.expr("substring(w, 1, length(w) - 1)")
     own = F.struct(F.col("w").alias("k"), F.lit(1).alias("word"), F.lit(0).alias("stem"))
