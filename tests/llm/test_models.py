@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -375,6 +376,63 @@ def test_links_of_a_label_do_not_depend_on_others(spark):
     assert all(alone[i] == got[i] for i in alone)
 
 
+def _pairs_at(rng, count, cosine, dim=64):
+    for _ in range(count):
+        u, w = (x / np.linalg.norm(x) for x in rng.standard_normal((2, dim)))
+        w = w - (w @ u) * u
+        yield u, cosine * u + math.sqrt(1 - cosine**2) * w / np.linalg.norm(w)
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_links_do_not_depend_on_the_size_of_their_label(spark, monkeypatch, block):
+    """Pairs at the very threshold link in a label of 1,600 vectors and of 160: with blocks
+    of 8, bands stood in for the blocks above 96 and lost some."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rows = [(2 * k + side, v.tolist(), 1) for k, pair in enumerate(_pairs_at(np.random.default_rng(12), 800, 0.9301)) for side, v in enumerate(pair)]
+    few = {k for k in range(1600) if k // 2 % 10 == 0}
+    for some in (rows, [r for r in rows if r[0] in few]):
+        got = embedding_dedup.link_vectors(spark.createDataFrame(some, "vec_id bigint, embedding array<double>, label int")).collect()
+        assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, 1, i // 2 * 2) for i, _, _ in some}
+
+
+def test_clusters_over_tiles_equal_brute_force(spark, monkeypatch):
+    """Chains and clusters of near copies over several blocks and tiles, copies in them."""
+    for name, value in (("BLOCK", 16), ("BLOCKS", 3), ("GROWN", 2), ("TILE", 10), ("FULL_TILE", 7)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(13)
+    vecs = [rng.standard_normal(8) + rng.standard_normal(8) * 0.2 * k for k in range(30)]
+    base = rng.standard_normal((4, 8))
+    vecs += [base[k % 4] + rng.standard_normal(8) * 0.3 for k in range(120)]
+    vecs += [np.array([math.cos(k / 4), math.sin(k / 4), 0, 0, 0, 0, 0, 0]) for k in range(12)]
+    rows = [(int(i), v.tolist(), 1 + k % 2) for k, (i, v) in enumerate(zip(rng.permutation(len(vecs)), vecs))]
+    rows += [(1000 + k, rows[k][1], rows[k][2]) for k in range(0, len(rows), 5)]
+    n, root = brute_links(rows)
+    got = embedding_dedup.link_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(4)).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, n[i], root(i)) for i, _, _ in rows}
+    assert sum(n.values()) > 1000
+
+
+@pytest.mark.parametrize("dim", [2, 64, 300, 1001])
+def test_no_pair_at_the_threshold_falls_below_its_bounds(dim):
+    for cosine in (0.93 + 1e-9, 0.95, 0.9999999):
+        u = np.array([v for pair in _pairs_at(np.random.default_rng(14), 150, cosine, dim) for v in pair])
+        packed, width = embedding_dedup.quarters(u)
+        corner, turned = embedding_dedup.rough(packed, width, dim)
+        factor = embedding_dedup.codes(u)[1].astype("<f4")
+        for k in range(0, len(u), 2):
+            two = slice(k, k + 2)
+            group = {"b1": np.zeros(2, int), "b2": np.ones(2, int), "block": np.arange(2), "factor": factor[two], "width": width[two], "corner": corner[two], "turned": turned[two]}
+            assert embedding_dedup._likely(group, 0.93).tolist() == [0, 1]
+
+
+def test_groups_are_whole_over_batches():
+    rows = [(1, 8, 0, 0)] * 5 + [(1, 8, 0, 1)] * 2 + [(2, 8, 0, 1)] + [(2, 16, 0, 1)] * 6
+    table = pa.table([list(c) for c in zip(*rows)], names=embedding_dedup._GROUP)
+    for size in (1, 2, 3, 5, 100):
+        got = [t.num_rows for t in embedding_dedup._groups(iter(table.to_batches(max_chunksize=size)))]
+        assert got == [5, 2, 1, 6]
+
+
 def test_bands_reach_the_recall():
     for n in (1, 100, 10_000, 10**9):
         bits, bands = embedding_dedup.bands_for(n)

@@ -3,22 +3,20 @@
 A unit vector o is rotated by a random orthogonal matrix and its signs are kept:
 they name the corner x of the cube {+-1/sqrt(D)}^D next to it. With the stored
 correction factor f = <x, o>, <x, q> / f estimates <o, q> for any unit q without
-bias, and misses it by more than eps * sqrt((1 - f^2) / f^2 / (D - 1)) only with
-a probability that falls as exp(-c * eps^2). Pairs whose upper bound stays below
-the threshold are done; the others are computed in double precision.
-
-Pairs are looked at only within buckets: bands of sign bits of further random
-rotations. Bits and bands follow from the size of a vector's own label and
-``RECALL``, so buckets of unlike vectors stay small at every size. A bucket of any
-size is split into blocks, and a task takes two blocks at a time; a label of no
-more blocks than it would have bands (some 12,000 vectors) is one bucket, which
-moves less and loses nothing.
-
-First only codes go to the buckets: a rotated vector in four bits a dimension,
-its sign foremost, and its correction factor. Their bounds (wider by what four
-bits leave open) name the rows that have a pair to compute. Then the vectors of
-these rows follow; counts and a spanning star leave the second step. So neither
-step writes pairs, and vectors move only where a link is likely.
+bias. A linked q is at most acos(threshold) from o, and o is acos(f) from x, so
+<x, q> is at least the cosine of the sum: a bound that no link falls below.
+
+All vectors of a label are compared, at every size: whether two of them link
+depends on these two only. A label is split into blocks, and a task takes two
+blocks at a time, in tiles; blocks grow with the label, up to a bound, so that
+its codes are copied to few of them. The work is the square of a label's size.
+
+First only codes go to the blocks: a rotated vector in four bits a dimension,
+its sign foremost, and its correction factor. The signs' bound, then that of all
+four bits (both with all that four bits leave open) name the rows that have a
+pair to compute. Then the vectors of these rows follow, in double precision;
+counts and a spanning star leave the second step. So neither step writes pairs,
+and vectors move only where a link is likely.
 """
 
 from __future__ import annotations
@@ -27,7 +25,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -36,10 +33,14 @@ from pyspark.sql import functions as F
 from topicspark.llm.common import small_batches, written
 from topicspark.llm.components import components
 
-#: Cosine of a link; share of the pairs at that very cosine to find (closer ones: more); eps of the confidence bound.
+#: Cosine of a link; share of the pairs at that very cosine to find (closer ones: more) by bands; eps of the confidence bound.
 THRESHOLD, RECALL, EPS, SEED = 0.93, 0.995, 4.0, 7
 #: Unlike vectors per bucket aimed at; vectors per block.
 BUCKET, BLOCK = 32, 1024
+#: A label has up to so many blocks before they grow; then up to so many times ``BLOCK`` vectors and so many bytes.
+BLOCKS, GROWN, BLOCK_BYTES = 8, 64, 32 << 20
+#: Rows of a tile of codes, of vectors.
+TILE, FULL_TILE = 2048, 1024
 _SLACK = 1e-6
 
 
@@ -50,15 +51,17 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 
 
 def bands_for(largest: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a band's key, bands) for a label of ``largest`` vectors."""
+    """(bits of a band's key, bands) for a label of ``largest`` vectors. Says what bands
+    would take; ``link_vectors`` has none, as they lose links."""
     bits = min(31, max(8, math.ceil(math.log2(max(1, largest) / BUCKET))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
 def plan_for(n: int, block: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """(bits, bands) for a label of ``n`` vectors; one bucket, without loss, where
-    its blocks take no more copies of a code than its bands would."""
+    """(bits, bands) for a label of ``n`` vectors; (0, 1) where its blocks take no more
+    copies of a code than its bands would. Not asked by ``link_vectors``: no result
+    may follow from it."""
     bits, bands = bands_for(n, threshold, recall)
     return (0, 1) if n <= block * bands else (bits, bands)
 
@@ -92,15 +95,6 @@ def rough(packed: np.ndarray, width: np.ndarray, dim: int) -> tuple[np.ndarray,
     return sign / np.float32(math.sqrt(dim)), sign * ((steps & 7) + np.float32(0.5)) * width[:, None]
 
 
-def band_keys(unit: np.ndarray, bits: int, bands: int) -> np.ndarray:
-    """Keys (rows x bands) of sign bits; each rotation gives as many bits as there are dimensions."""
-    if not bits:
-        return np.zeros((len(unit), bands), "<u4")
-    dim, need = unit.shape[1], bits * bands
-    signs = np.concatenate([unit @ rotation(dim, SEED + 1 + i).T > 0 for i in range(math.ceil(need / dim))], axis=1)[:, :need]
-    return (signs.reshape(len(unit), bands, bits) @ (1 << np.arange(bits, dtype=np.int64))).astype("<u4")
-
-
 def upper_bounds(code: np.ndarray, factor: np.ndarray, unit: np.ndarray) -> np.ndarray:
     """Upper confidence bounds of <o, q> for the coded vectors o (rows) and the unit vectors q (columns)."""
     dim = unit.shape[1]
@@ -110,202 +104,180 @@ def upper_bounds(code: np.ndarray, factor: np.ndarray, unit: np.ndarray) -> np.n
     return estimate + margin[:, None].astype(np.float32) + np.float32(_SLACK)
 
 
-def linked(a: dict, b: dict, threshold: float) -> np.ndarray:
-    """Boolean matrix: cosine in double precision at least ``threshold``."""
-    may = upper_bounds(a["code"], a["factor"], b["unit"]) >= threshold
-    may &= (upper_bounds(b["code"], b["factor"], a["unit"]) >= threshold).T
-    out = np.zeros(may.shape, bool)
-    i, j = np.nonzero(may)
-    if len(i) * 16 > may.size:  # many pairs: one matrix product is cheaper than so many rows
-        out[i, j] = (a["unit"] @ b["unit"].T)[i, j] >= threshold
-    else:
-        for k in range(0, len(i), 1 << 16):
-            p, q = i[k:k + (1 << 16)], j[k:k + (1 << 16)]
-            out[p, q] = np.einsum("ij,ij->i", a["unit"][p], b["unit"][q]) >= threshold
-    return out
-
-
-def _new(a: dict, b: dict, band: int) -> np.ndarray:
-    """Pairs that share no earlier band, so that each counts once."""
-    fresh = np.ones((len(a["rep"]), len(b["rep"])), bool)
-    for k in range(band):
-        fresh &= a["keys"][:, k, None] != b["keys"][None, :, k]
-    return fresh
-
-
-def _spanning(link: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(member, root) of a forest over the rows of a symmetric matrix."""
-    left = link.any(axis=1)
-    while left.any():
-        root = int(np.argmax(left))
-        seen = np.zeros(len(link), bool)
-        seen[root] = True
-        wave = seen.copy()
-        while wave.any():
-            wave = link[wave].any(axis=0) & ~seen
-            seen |= wave
-        left &= ~seen
-        for m in np.flatnonzero(seen):
-            if m != root:
-                yield int(m), root
-
-
-def _block(rows: pd.DataFrame, threshold: float, kind: str) -> list[tuple[int, int, int]]:
-    """(rep, links, rep of a linked vector) of one group of rows: a block, or two blocks of one bucket."""
-    side = rows["block"].to_numpy()
-    data = {"rep": rows["rep"].to_numpy(), "copies": rows["copies"].to_numpy(), "unit": units(rows["vec"].tolist(), kind),
-            "code": np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1), "factor": rows["factor"].to_numpy(),
-            "keys": np.frombuffer(b"".join(rows["keys"]), "<u4").reshape(len(rows), -1)}
-    band, (first, second) = int(rows["band"].iloc[0]), (rows["b1"].iloc[0], rows["b2"].iloc[0])
-    a = {k: v[side == first] for k, v in data.items()}
-    b = a if first == second else {k: v[side == second] for k, v in data.items()}
-    if not len(a["rep"]) or not len(b["rep"]):
-        return []
-    link = linked(a, b, threshold)
-    if first == second:
-        np.fill_diagonal(link, False)
-    if not link.any():
-        return []
-    link &= _new(a, b, band)
-    n_a = link @ b["copies"]
-    if first == second:
-        reps, counts, both = a["rep"], n_a, link
-    else:
-        reps, counts = np.concatenate([a["rep"], b["rep"]]), np.concatenate([n_a, a["copies"] @ link])
-        both = np.zeros((len(reps),) * 2, bool)
-        both[:len(a["rep"]), len(a["rep"]):] = link
-        both |= both.T
-    root = dict(_spanning(both))
-    return [(int(reps[i]), int(counts[i]), int(reps[root.get(i, i)])) for i in np.flatnonzero(counts)]
-
-
-_GROUP = ["label", "size", "band", "key", "b1", "b2"]
+def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Boolean matrix: cosine of the unit vectors in double precision at least ``threshold``."""
+    cosine = a @ b.T
+    i, j = np.nonzero(np.abs(cosine - threshold) < 1e-12)  # where a product's rounding, which its shape sways, would decide
+    cosine[i, j] = np.einsum("ij,ij->i", a[i], b[j])
+    return cosine >= threshold
+
+
+def _joined(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of ``i`` and ``j`` in ``up``, the root of each row."""
+    while len(i):
+        a, b = up[i], up[j]
+        new = a != b
+        i, j, a, b = i[new], j[new], a[new], b[new]
+        up[np.maximum(a, b)] = np.minimum(a, b)
+        while (up[up] != up).any():
+            up[:] = up[up]
+
+
+_GROUP = ["label", "size", "b1", "b2"]
+
+
+def _groups(batches) -> Iterator[pa.Table]:
+    """The groups of contiguous rows, each whole."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        ends = np.zeros(rows.num_rows, bool)
+        for c in _GROUP:
+            x = rows.column(c)
+            ends[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy()
+            ends[0] |= bool(held) and held[-1].column(c)[-1] != x[0]
+        at = [0, *np.flatnonzero(ends).tolist(), rows.num_rows]
+        for s, e in zip(at[:-1], at[1:]):
+            if ends[s] and held:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            if e > s:
+                held.append(rows.slice(s, e - s))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _tiles(rows: pa.Table, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows of two tiles of a group, a tile of one block and one of the
+    other; of a block with itself each pair of tiles once."""
+    first, second = rows.column("b1")[0].as_py(), rows.column("b2")[0].as_py()
+    block = rows.column("block").to_numpy()
+    i, j = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    for s in range(0, len(i), size):
+        for t in range(s if first == second else 0, len(j), size):
+            yield i[s:s + size], j[t:t + size]
 
 
 def _blocks(threshold: float, kind: str):
+    """(rep, links, rep of a linked vector) of the groups: a block, or two blocks of one label."""
     def run(batches):
-        held = None
-        def out(found):
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["rep", "links", "root"])
-        for batch in batches:
-            rows = batch.to_pandas()
-            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            if rows.empty:
+        for rows in _groups(batches):
+            if rows.num_rows < 2:
                 continue
-            change = (rows[_GROUP] != rows[_GROUP].shift()).any(axis=1).to_numpy().nonzero()[0]
-            # groups are contiguous; the last one may go on in the next batch
-            found = []
-            for s, e in zip(change[:-1], change[1:]):
-                if e - s > 1:
-                    found += _block(rows.iloc[s:e], threshold, kind)
-            yield from out(found)
-            held = rows.iloc[change[-1]:]
-        if held is not None and len(held) > 1:
-            yield from out(_block(held, threshold, kind))
+            vec, copies, rep = rows.column("vec"), rows.column("copies").to_numpy(), rows.column("rep").to_numpy()
+            links, up, at = np.zeros(len(rep), np.int64), np.arange(len(rep)), None
+            for i, j in _tiles(rows, FULL_TILE):
+                if at is None or at[0] != i[0]:
+                    at = i
+                    a = units(vec.take(pa.array(i)).to_pylist(), kind)
+                b = a if i[0] == j[0] else units(vec.take(pa.array(j)).to_pylist(), kind)
+                link = linked(a, b, threshold)
+                if i[0] == j[0]:
+                    np.fill_diagonal(link, False)
+                if not link.any():
+                    continue
+                links[i] += link @ copies[j]
+                if i[0] != j[0]:
+                    links[j] += copies[i] @ link
+                x, y = np.nonzero(link)
+                _joined(up, i[x], j[y])
+            got = np.flatnonzero(links)
+            if len(got):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[got]), pa.array(links[got]), pa.array(rep[up[got]])], ["rep", "links", "root"])
     return run
 
 
 def _likely(group: dict, threshold: float) -> np.ndarray:
-    """Places of the rows of a group that have a pair to compute: one that shares
-    no earlier band and whose bounds by the codes both reach the threshold."""
+    """Places of the rows of a group that have a pair to compute: one whose bounds by
+    the signs and by all four bits reach the threshold. No link falls below these."""
     first, second = group["b1"][0], group["b2"][0]
     i, j = np.flatnonzero(group["block"] == first), np.flatnonzero(group["block"] == second)
     if not len(i) or not len(j):
         return i[:0]
-    dim = group["corner"].shape[1]
-    margin = EPS * (np.sqrt(np.maximum(0, 1 - group["factor"]**2)) / math.sqrt(max(1, dim - 1)) / group["factor"])
-    # an estimate misses further by the rounding of the other vector, even within a step
-    loose = EPS / math.sqrt(12) * group["width"]
-
-    def upper(a, b):
-        f = group["factor"][a][:, None]
-        return (group["corner"][a] @ group["turned"][b].T + loose[b][None, :]) / f + margin[a][:, None] + np.float32(_SLACK)
-    may = upper(i, j) >= threshold
-    may &= (upper(j, i) >= threshold).T
+    corner, turned, width, factor = group["corner"], group["turned"], group["width"], group["factor"]
+    dim = corner.shape[1]
+    slack = _SLACK + dim * 2.0**-22  # of sums in single precision
+
+    def beside(rows, *columns):
+        return np.column_stack([rows, *columns]).astype(np.float32)
+    # <code, vector> >= cos(angle of the code's own vector + angle of a link); four bits miss a vector by half a step a dimension
+    own = np.arccos(np.clip(factor - 1e-6, 0, 1))  # never too small by the factor's rounding
+    least = np.cos(np.minimum(math.pi, own + math.acos(min(1, max(-1, threshold)))))
+    half, one = width / 2, np.ones(len(width))
+    may = beside(corner[i], one[i], -least[i]) @ beside(turned[j], half[j] * math.sqrt(dim), one[j]).T >= -slack
     if first == second:
-        np.fill_diagonal(may, False)
-    if not may.any():
-        return i[:0]
+        may &= ~np.tri(len(i), dtype=bool)
+    # <q, r> misses by half a step of r times the sum of q's sizes, and by half a step of q times that of the sizes r stands for
+    a = beside(turned[i], np.abs(turned[i]).sum(axis=1), half[i])
+    b = beside(turned[j], half[j], factor[j] * math.sqrt(dim))
+    if np.count_nonzero(may) * 16 > may.size:  # many pairs: one matrix product is cheaper than so many rows
+        may &= a @ b.T >= threshold - slack
+        return np.union1d(i[may.any(axis=1)], j[may.any(axis=0)])
     x, y = np.nonzero(may)
-    earlier = group["earlier"]
-    if earlier.shape[1]:
-        new = np.concatenate([(earlier[i[x[k:k + 65536]]] != earlier[j[y[k:k + 65536]]]).all(axis=1) for k in range(0, len(x), 65536)])
-        x, y = x[new], y[new]
-    return np.union1d(i[x], j[y])
+    new = [np.einsum("ij,ij->i", a[x[k:k + 65536]], b[y[k:k + 65536]]) >= threshold - slack for k in range(0, len(x), 65536)]
+    new = np.concatenate([np.zeros(0, bool), *new])
+    return np.union1d(i[x[new]], j[y[new]])
 
 
 def _survivors(threshold: float):
-    """Rows <label, size, band, key, b1, b2, block, rep> with a pair to compute."""
+    """Rows <label, size, b1, b2, block, rep> with a pair to compute, each once a group."""
     keep = [*_GROUP, "block", "rep"]
 
     def run(batches):
-        held = None
-
-        def out(rows: pa.Table, ends: np.ndarray):
-            col = {c: rows.column(c).to_numpy() for c in ("size", "band", "b1", "b2", "block", "factor", "width", "dim")}
-            packed, earlier, found = rows.column("quarters").to_pylist(), rows.column("earlier").to_pylist(), []
-            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                if e - s < 2:
-                    continue
-                dim, band = int(col["dim"][s]), int(col["band"][s])
-                group = {c: col[c][s:e] for c in ("b1", "b2", "block", "factor", "width")}
-                codes_ = np.frombuffer(b"".join(packed[s:e]), np.uint8).reshape(e - s, -1)
-                group["corner"], group["turned"] = rough(codes_, group["width"], dim)
-                group["earlier"] = np.frombuffer(b"".join(earlier[s:e]), "<u4").reshape(e - s, band)
-                at = _likely(group, threshold)
-                if len(at):
-                    found.append(s + at)
-            if found:
-                yield from rows.select(keep).take(pa.array(np.concatenate(found))).combine_chunks().to_batches()
-
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
-            if not rows.num_rows:
+        for rows in _groups(batches):
+            if rows.num_rows < 2:
                 continue
-            change = np.zeros(rows.num_rows, bool)
-            change[0] = True
-            for c in _GROUP:
-                x = rows.column(c)
-                change[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy()
-            ends = np.flatnonzero(change)
-            # groups are contiguous; the last one may go on in the next batch
-            yield from out(rows, ends)
-            held = rows.slice(int(ends[-1]))
-        if held is not None and held.num_rows > 1:
-            yield from out(held, np.array([0, held.num_rows]))
+            factor, width, dim = (rows.column(c).to_numpy() for c in ("factor", "width", "dim"))
+            packed = np.frombuffer(b"".join(rows.column("quarters").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+            alive = np.zeros(rows.num_rows, bool)
+            for i, j in _tiles(rows, TILE):
+                one = i[0] == j[0]
+                at = i if one else np.concatenate([i, j])
+                side = np.repeat([0, 1], [len(i), len(at) - len(i)])
+                group = {"b1": np.zeros(len(at), int), "b2": np.full(len(at), 0 if one else 1), "block": side, "factor": factor[at], "width": width[at]}
+                group["corner"], group["turned"] = rough(packed[at], width[at], int(dim[0]))
+                alive[at[_likely(group, threshold)]] = True
+            at = np.flatnonzero(alive)
+            if len(at):
+                # several vectors of one vec_id come as one row: it brings all of them
+                at = at[np.unique(rows.column("rep").to_numpy()[at], return_index=True)[1]]
+                yield from rows.select(keep).take(pa.array(at)).combine_chunks().to_batches()
     return run
 
 
-def _encode(threshold: float, recall: float, block: int, kind: str):
-    """Codes of the vectors: <label, size, rep, copies, dim, bands, code, factor, quarters, width, keys>."""
-    own = ["label", "size", "rep", "copies"]
+def _encode(kind: str):
+    """Codes of the vectors: <label, size, rep, blocks, dim, factor, quarters, width>."""
+    own = ["label", "size", "rep", "blocks"]
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            vecs, sizes, labels = b.column("vec").to_pylist(), np.asarray(b.column("size")), np.asarray(b.column("n"))
+            vecs, sizes = b.column("vec").to_pylist(), np.asarray(b.column("size"))
             n = len(vecs)
-            code, factor, keys, packed = [None] * n, np.zeros(n), [None] * n, [None] * n
-            width, dims, bands = np.zeros(n, "<f4"), np.zeros(n, np.int32), np.zeros(n, np.int32)
-            for size, count in {*zip(sizes.tolist(), labels.tolist())}:
-                at = np.flatnonzero((sizes == size) & (labels == count))
+            packed, factor, width, dims = [None] * n, np.zeros(n, "<f4"), np.zeros(n, "<f4"), np.zeros(n, np.int32)
+            for size in {*sizes.tolist()}:
+                at = np.flatnonzero(sizes == size)
                 u = units([vecs[i] for i in at], kind)
-                bits, bands[at] = plan_for(count, block, threshold, recall)
-                c, factor[at] = codes(u)
+                factor[at] = codes(u)[1]
                 q, width[at] = quarters(u)
-                k = band_keys(u, bits, int(bands[at[0]]))
                 dims[at] = u.shape[1]
                 for m, i in enumerate(at):
-                    code[i], keys[i], packed[i] = c[m].tobytes(), k[m].tobytes(), q[m].tobytes()
+                    packed[i] = q[m].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in own], pa.array(dims), pa.array(bands), pa.array(code, pa.binary()), pa.array(factor), pa.array(packed, pa.binary()), pa.array(width), pa.array(keys, pa.binary())],
-                [*own, "dim", "bands", "code", "factor", "quarters", "width", "keys"])
+                [*[b.column(c) for c in own], pa.array(dims), pa.array(factor), pa.array(packed, pa.binary()), pa.array(width)],
+                [*own, "dim", "factor", "quarters", "width"])
     return run
 
 
+def _blocks_of(n, size):
+    """Blocks of a label of ``n`` vectors of ``size`` bytes: ``BLOCK`` vectors each, larger ones from ``BLOCKS`` on."""
+    most = F.greatest(F.lit(BLOCK), F.least(F.lit(GROWN * BLOCK), F.floor(F.lit(BLOCK_BYTES) / size).cast("int")))
+    return F.least(F.ceil(n / F.lit(BLOCK)), F.greatest(F.lit(BLOCKS), F.ceil(n / most))).cast("int")
+
+
 def _bytes(kind: str):
     """Vectors as bytes of numbers of ``kind``; null for those that link with nothing."""
     def run(batches):
@@ -321,7 +293,7 @@ def _bytes(kind: str):
     return run
 
 
-def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``vectors`` <vec_id bigint, embedding, label>: vec_id,
     n_links, component_id, kept.
 
@@ -332,11 +304,9 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     of copies, which link with each other (for a threshold of at most 1); rows
     that repeat a vec_id count as copies; with other vectors or labels under one
     vec_id all its rows share one component, and links of any of them count for
-    each. No pair below the threshold is
-    linked; of the pairs at the threshold a share of ``recall`` is found, of
-    closer ones more; in a label compared whole (``plan_for``) all but what the
-    bounds miss. A label's links don't depend on other labels. No rows: no rows. Other
-    columns are not read.
+    each. All pairs of a label at the threshold are linked and none below it,
+    whatever the label's size; a label's links don't depend on other labels. No
+    rows: no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -350,27 +320,20 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     classes = rows.where("vec is not null and vec_id is not null").groupBy("label", "vec").agg(
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes.withColumn("size", F.octet_length("vec")).withColumn("digest", digest), "classes")
-    sizes = classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n"))
-    coded = written(classes.drop("digest").join(sizes, ["label", "size"]).mapInArrow(
-        _encode(threshold, recall, BLOCK, kind),
-        f"label {label_type}, size int, rep bigint, copies bigint, dim int, bands int, code binary, factor double, quarters binary, width float, keys binary"), "codes")
-
-    keyed = coded.select("label", "size", "rep", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("band"), "keys").select(
-        "label", "size", "rep", "band", F.substring("keys", F.col("band") * 4 + 1, F.lit(4)).alias("key"))
-    bucket, own = ["label", "size", "band", "key"], ["label", "size", "rep"]
-    counts = keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = (keyed.join(counts, bucket).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-              .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # a label's size says into how many blocks it is split, not which pairs are compared
+    sizes = classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", _blocks_of(F.col("n"), F.col("size")))
+    coded = written(classes.drop("digest", "copies").join(sizes.drop("n"), ["label", "size"]).mapInArrow(
+        _encode(kind), f"label {label_type}, size int, rep bigint, blocks int, dim int, factor float, quarters binary, width float"), "codes")
+
+    own = ["label", "size", "rep"]
+    placed = (coded.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select(*bucket, "rep", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")))
+              .select(*own, "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "dim", "factor", "quarters", "width"))
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(*[F.col(c) for c in _GROUP]).sortWithinPartitions(*_GROUP)
-    rough_codes = placed.join(coded.select(*own, "dim", F.col("factor").cast("float").alias("factor"), "quarters", "width", "keys"), own) \
-        .withColumn("earlier", F.substring("keys", F.lit(1), F.col("band") * 4)).drop("keys")
-    likely = written(dealt(rough_codes).mapInArrow(
-        _survivors(threshold), f"label {label_type}, size int, band int, key binary, b1 int, b2 int, block int, rep bigint"), "likely")
-    full = likely.join(coded.select(*own, "copies", "code", "factor", "keys"), own).join(classes.select(*own, "vec"), own)
+    likely = written(dealt(placed).mapInArrow(_survivors(threshold), f"label {label_type}, size int, b1 int, b2 int, block int, rep bigint"), "likely")
+    full = likely.join(classes.select(*own, "copies", "vec"), own)
     found = written(dealt(full).mapInArrow(_blocks(threshold, kind), "rep bigint, links bigint, root bigint"), "links")
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
