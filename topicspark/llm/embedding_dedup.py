@@ -38,7 +38,7 @@ THRESHOLD, RECALL, EPS, SEED = 0.93, 0.995, 4.0, 7
 #: Unlike vectors per bucket aimed at; vectors per block.
 BUCKET, BLOCK = 32, 1024
 #: A label has up to so many blocks before they grow; then up to so many times ``BLOCK`` vectors and so many bytes.
-BLOCKS, GROWN, BLOCK_BYTES = 8, 64, 32 << 20
+BLOCKS, GROWN, BLOCK_BYTES = 4, 64, 32 << 20
 #: Rows of a tile of codes, of vectors.
 TILE, FULL_TILE = 2048, 1024
 _SLACK = 1e-6
@@ -212,13 +212,9 @@ def _likely(group: dict, threshold: float) -> np.ndarray:
     # <q, r> misses by half a step of r times the sum of q's sizes, and by half a step of q times that of the sizes r stands for
     a = beside(turned[i], np.abs(turned[i]).sum(axis=1), half[i])
     b = beside(turned[j], half[j], factor[j] * math.sqrt(dim))
-    if np.count_nonzero(may) * 16 > may.size:  # many pairs: one matrix product is cheaper than so many rows
+    if may.any():
         may &= a @ b.T >= threshold - slack
-        return np.union1d(i[may.any(axis=1)], j[may.any(axis=0)])
-    x, y = np.nonzero(may)
-    new = [np.einsum("ij,ij->i", a[x[k:k + 65536]], b[y[k:k + 65536]]) >= threshold - slack for k in range(0, len(x), 65536)]
-    new = np.concatenate([np.zeros(0, bool), *new])
-    return np.union1d(i[x[new]], j[y[new]])
+    return np.union1d(i[may.any(axis=1)], j[may.any(axis=0)])
 
 
 def _survivors(threshold: float):
