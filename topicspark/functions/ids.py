@@ -83,14 +83,17 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if size <= max_bytes else df
 
 
-def measured_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``bounded_broadcast`` by the real size: estimates of a table made by joins
-    are far too large. Runs one small aggregate, so ``df`` should be stored
-    (checkpointed, persisted or read from files). Columns are numbers, strings
-    or arrays of numbers."""
+def measured_bytes(df: DataFrame) -> int:
+    """The real size of a table whose columns are numbers, strings or arrays of numbers,
+    by one small aggregate: ``df`` should be stored (checkpointed, persisted or read from files)."""
     def width(c):
         kind = df.schema[c].dataType.typeName()
         own = F.octet_length(F.col(c)) if kind == "string" else F.size(F.col(c)) * 8 if kind == "array" else F.lit(0)
         return F.coalesce(own, F.lit(0)).cast("long") + 16
-    size = df.select(F.sum(sum((width(c) for c in df.columns), F.lit(0)))).first()[0]
-    return F.broadcast(df) if (size or 0) <= max_bytes else df
+    return df.select(F.sum(sum((width(c) for c in df.columns), F.lit(0)))).first()[0] or 0
+
+
+def measured_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``bounded_broadcast`` by the real size (``measured_bytes``): estimates of a table
+    made by joins are far too large."""
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df

@@ -11,6 +11,7 @@ still add up to one.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +62,14 @@ def smoothed(shares: Column, weights: Column) -> Column:
             return F.when(F.size(acc) == 0, F.array(z["m"])).otherwise(F.array_append(acc, z["m"] + z["back"] * (F.element_at(acc, -1) - z["m"])))
         return F.reverse(F.aggregate(own, none, step))
     return let(let(shares, forward), backward)
+
+
+def smoothed_rows(shares: np.ndarray, gain: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """``smoothed`` of many series at once (series x steps x topics), with the ``gains``
+    of their topics (steps x topics)."""
+    out = gain * shares
+    for i in range(1, len(gain)):
+        out[:, i] = out[:, i - 1] + gain[i] * (shares[:, i] - out[:, i - 1])
+    for i in range(len(gain) - 2, -1, -1):
+        out[:, i] += back[i] * (out[:, i + 1] - out[:, i])
+    return out

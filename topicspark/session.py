@@ -6,9 +6,12 @@ used as is; only ``spark.checkpoint.dir`` is read from it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str = "local[8]", app: str = "topicspark", shuffle_partitions: int = 8,
@@ -57,3 +60,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             pass
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` written as Parquet to the checkpoint folder, and a function that deletes
+    these files. For large tables that are read a few times: they take a fraction of a
+    checkpoint's bytes, whose rows are neither coded nor compressed."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffle files and checkpoints of frames that are gone: Spark deletes
+    them when the driver's garbage is collected, which rounds of small plans seldom cause."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
