@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from topicspark.functions import measured_broadcast
 from topicspark.operators import checks as K
 from topicspark.operators import labels as L
 from topicspark.operators import vocab as V
@@ -121,9 +120,7 @@ def q_topic_label_shares(spark, sf_dir):
 def _fitted(spark, sf_dir, step=None):
     """A two-row grid over the documents' vocabulary words; with ``step``, along the steps."""
     c = Ctx(spark, sf_dir)
-    words = c.tokens.join(measured_broadcast(c.vocab.select(F.col("word").alias("w"))), "w")
-    docs = words.groupBy("doc_id").agg(
-        F.first("step").alias("step"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("tokens"))
+    docs = fx.fx_vocab_docs(c.corpus, c.vocab)
     runs = [{"topics": 4, "alpha": 0.1, "topic_var": 0.05}, {"topics": 6, "alpha": 0.01, "topic_var": 0.05}]
     return fit_topics_grid(docs, runs, max_iter=5 if step is None else 2, step=step)
 

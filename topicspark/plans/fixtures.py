@@ -6,10 +6,13 @@ Each one is a plain Spark expression with a DuckDB twin in
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicspark.functions import LETTER_SPLIT, measured_broadcast, ordered_index, tokens
+from topicspark.functions.ids import BROADCAST_BYTES, measured_bytes
+from topicspark.functions.runs import together
 
 N_TOPICS = 6
 VOCAB_MIN_COUNT = 20
@@ -41,6 +44,40 @@ def fx_vocab(tok: DataFrame, min_count: int = VOCAB_MIN_COUNT) -> DataFrame:
     return ids.select("word_id", F.col("w").alias("word"), "cnt")
 
 
+def _listed(batches):
+    """<doc_id, step, tokens> of rows <_row, doc_id, step, w>, a row's next to each other."""
+    for rows, starts in together(batches, "_row"):
+        offsets = pa.array([*starts, rows.num_rows], pa.int32())
+        own = rows.select(["doc_id", "step"]).take(starts).combine_chunks()
+        listed = pa.ListArray.from_arrays(offsets, rows.column("w").combine_chunks())
+        yield from pa.table([*own.columns, listed], ["doc_id", "step", "tokens"]).to_batches()
+
+
+def fx_vocab_docs(corpus: DataFrame, vocab: DataFrame) -> DataFrame:
+    """<doc_id, step, tokens>: each document's vocabulary words in their order. Rows of
+    one doc_id are one document; documents without such words are left out.
+
+    A vocabulary of bounded size is broadcast, and a row's words stay in its task. Only
+    documents whose doc_id repeats are gathered by it."""
+    words = vocab.select(F.col("word").alias("w"))
+
+    def gathered(rows, words):
+        return fx_tokens(rows).join(words, "w").groupBy("doc_id").agg(
+            F.first("step").alias("step"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("tokens"))
+    if measured_bytes(words) > BROADCAST_BYTES:
+        return gathered(corpus, words)
+    words = F.broadcast(words)
+    again = corpus.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")).checkpoint(eager=True)
+    some, again = not again.isEmpty(), measured_broadcast(again)
+    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    once = corpus.join(again, same, "left_anti") if some else corpus
+    once = once.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "step", "text")
+    each = once.select("_row", "doc_id", "step", F.explode_outer(tokens("text", LETTER_SPLIT)).alias("w")).join(words, "w")
+    kind = corpus.schema["doc_id"].dataType.simpleString()
+    docs = each.select("_row", "doc_id", "step", "w").mapInArrow(_listed, f"doc_id {kind}, step int, tokens array<string>")
+    return docs.unionByName(gathered(corpus.join(again, same, "left_semi"), words)) if some else docs
+
+
 def topic_of_source(source="source") -> F.Column:
     return (F.substring(F.col(source), 4, 100).cast("int") % N_TOPICS).cast("int")
 
